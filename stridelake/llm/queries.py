@@ -6,17 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .simhash import near_dedup
+from .token_records import token_records
+from .warc import warc_round
+
+#: The id that closes each document's ids.
+END_ID = 2
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), END_ID)
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op2_token_records": op2_token_records,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_simhash_dedup": op10_simhash_dedup,
+}
 
 BLANK = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL = {
+    "op8_warc_revisits": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        o AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS origin FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT), 1) FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> origin THEN origin END AS refers_to
+        FROM o
+    """,
     "op9_exact_dedup": rf"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replace(coalesce(text, ''), '{BLANK}', '', 'g')) AS text_sha256 FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id) AS k,
