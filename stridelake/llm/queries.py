@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import MASKS, MIN_SCORE, MIN_WORDS, contaminated
 from .exact_dedup import exact_dedup
+from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .licenses import COPYRIGHT_LINE, license_scan
+from .quality_crf import quality
 from .simhash import near_dedup
+from .token_counts import section_tokens
 from .token_records import token_records
 from .warc import warc_round
 
@@ -20,10 +25,26 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), END_ID)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -37,7 +58,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_section_tokens": op1_section_tokens,
     "op2_token_records": op2_token_records,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_license_scan": op5_license_scan,
+    "op7_quality_crf": op7_quality_crf,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
@@ -45,7 +70,58 @@ QUERIES = {
 
 BLANK = r"[\x20\x09-\x0D]"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    line = f"regexp_replace(lower(x), '{COPYRIGHT_LINE}', '')"
+    for spelling, kept in SPELLINGS:
+        line = f"replace({line}, '{spelling}', '{kept}')"
+    line = rf"trim(regexp_replace({line}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line}), lambda x: x <> '')"
+    texts = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEXTS.items())
+    notices = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, own in NOTICES.items() for t in own)
+    return f"""
+        WITH d AS (SELECT doc_id, {lines} AS lines FROM documents),
+        known AS (SELECT license_id, sha256(array_to_string({lines}, ' ')) AS text_digest FROM (VALUES {texts}) AS t(license_id, text)),
+        notice AS (SELECT DISTINCT name, array_to_string({lines}, ' ') AS line FROM (VALUES {notices}) AS t(name, text)),
+        found AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(*) AS notice_lines
+                  FROM (SELECT doc_id, unnest(lines) AS line FROM d) JOIN notice USING (line) GROUP BY doc_id)
+        SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest, license_id, coalesce(notices, '') AS notices, coalesce(notice_lines, 0) AS notice_lines
+        FROM d LEFT JOIN known ON known.text_digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN found USING (doc_id)
+    """
+
+
+def _decontamination_sql() -> str:
+    def words(text):
+        return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: x <> '')"
+
+    def seeds(table, key):
+        return " UNION ALL ".join(
+            f"SELECT {key}, i, '{k}:' || " + " || ' ' || ".join(f"w[i + {o + 1}]" for o, c in enumerate(m) if c == "1") + f" AS seed FROM (SELECT {key}, w, unnest(range(len(w) - {len(m) - 1})) AS i FROM {table} WHERE len(w) >= {len(m)})"
+            for k, m in enumerate(MASKS)
+        ) + f" UNION ALL SELECT {key}, i, 's' || n || ':' || array_to_string(w[i + 1 : i + n], ' ') FROM (SELECT {key}, w, n, unnest(range(len(w) - n + 1)) AS i FROM {table}, short WHERE len(w) >= n" + (" AND len(w) = n" if key == "item_id" else "") + ")"
+
+    return f"""
+        WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents), b AS (SELECT item_id, {words("text")} AS w FROM benchmark WHERE len({words("text")}) >= {MIN_WORDS}),
+        short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) < {max(map(len, MASKS))}),
+        hits AS (SELECT DISTINCT doc_id, item_id, x.i - y.i AS diagonal FROM ({seeds("d", "doc_id")}) x JOIN ({seeds("b", "item_id")}) y USING (seed)),
+        cells AS (SELECT doc_id, item_id, diagonal, j, len(b.w) AS n, d.w[diagonal + j + 1] = b.w[j + 1] AS same
+                  FROM (SELECT hits.*, unnest(range(greatest(0, -diagonal), least(len(b.w), len(d.w) - diagonal))) AS j FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)) JOIN d USING (doc_id) JOIN b USING (item_id)),
+        sums AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS s FROM cells),
+        best AS (SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM sums),
+        per AS (SELECT doc_id, item_id, diagonal, max(run) AS score, count(*) FILTER (same) AS equal_words, min(j + diagonal) AS opens, max(n) AS n FROM best GROUP BY ALL)
+        SELECT doc_id, item_id, max(score)::INT AS score, max(equal_words)::INT AS equal_words, min(opens)::INT AS first_word, max(n)::INT AS item_words
+        FROM per WHERE score >= least({MIN_SCORE}, n) GROUP BY doc_id, item_id
+    """
+
+
 ORACLE_SQL = {
+    "op3_benchmark_decontamination": _decontamination_sql(),
+    "op5_license_scan": _license_sql(),
     "op8_warc_revisits": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
         o AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS origin FROM p)

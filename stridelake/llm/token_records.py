@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import file_system, shared_dir, shuffle_partitions, task_file
-from .unit_encoder import UnitEncoder
+from .unit_encoder import unit_encoder
 
 MAGIC = b"TIDREC1\n"
 INDEX = "<QQQqB7x"
@@ -59,7 +59,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, wid
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = UnitEncoder(tokenizer, code), struct.pack("<" + code, end_id)
+        encoder, end = unit_encoder(tokenizer, code), struct.pack("<" + code, end_id)
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         name, out, index, docs_n, tokens = task_file(base, "ids"), None, None, 0, 0
