@@ -11,6 +11,7 @@ from .license_texts import NOTICES, SPELLINGS, TEXTS
 from .licenses import COPYRIGHT_LINE, license_scan
 from .quality_crf import quality
 from .simhash import near_dedup
+from .substring_dedup import substring_digests
 from .token_counts import section_tokens
 from .token_records import token_records
 from .warc import warc_round
@@ -37,6 +38,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_section_tokens": op1_section_tokens,
     "op2_token_records": op2_token_records,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scan": op5_license_scan,
     "op7_quality_crf": op7_quality_crf,
     "op8_warc_revisits": op8_warc_revisits,
@@ -120,6 +126,16 @@ def _decontamination_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op4_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+        gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+        cover AS (SELECT DISTINCT doc_id, i + k AS j FROM gone, range(50) AS r(k)),
+        cut AS (SELECT doc_id, list(j) AS js FROM cover GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE [w[j + 1] FOR j IN range(len(w)) IF NOT list_contains(js, j)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)
+    """,
     "op3_benchmark_decontamination": _decontamination_sql(),
     "op5_license_scan": _license_sql(),
     "op8_warc_revisits": """
