@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import MASKS, MIN_SCORE, MIN_WORDS, contaminated
@@ -10,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 from .licenses import COPYRIGHT_LINE, license_scan
 from .quality_crf import quality
+from .sentencepiece_scan import decode, encode
 from .simhash import near_dedup
 from .substring_dedup import substring_digests
 from .token_counts import section_tokens
@@ -46,6 +48,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_hash, and digest and length of the text that the ids decode to."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return back.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"), F.length("text").alias("decoded_chars"))
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +77,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_crf": op7_quality_crf,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_exact_dedup": op9_exact_dedup,
