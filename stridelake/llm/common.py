@@ -6,7 +6,8 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key() -> Column:
+    """Tells rows with one doc_id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, text_key, copies) names, one of each; all columns of docs, in their order.
+
+    Rows that docs has once, as is usual, are only joined; of those that it repeats, one is taken by summing within tasks
+    first.
+    """
+    named = kept.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.col("copies").alias("_copies"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key"))
+    joined = docs.withColumn("_key", text_key()).join(named, same)
+    once = joined.where("_copies = 1").select(docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    repeated = joined.where("_copies > 1").groupBy("doc_id", "_key").agg(F.first(F.struct(*others)).alias("_row"))
+    return once.unionByName(repeated.select("doc_id", *[F.col("_row")[c].alias(c) for c in others]).select(docs.columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_key
+
 #: Word positions that count; 8 of 12 each.
 MASKS = ("111010011011", "110110101011", "101101100111")
 MIN_WORDS, MIN_SCORE = 5, 8
@@ -84,6 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCO
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that overlap no benchmark item; all columns kept."""
-    leaks = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    """The rows of docs that overlap no benchmark item, with all columns; rows are told apart by id and text."""
+    row = F.xxhash64(F.col("doc_id").cast("long"), text_key())
+    leaks = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.withColumn("_row", row).join(leaks, F.col("_row") == F.col("_leaked"), "left_anti").select(docs.columns)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_dir, shuffle_partitions, task_file
+from .common import file_system, keep_rows, shared_dir, shuffle_partitions, task_file, text_key
 
 #: U+0020 and U+0009 to U+000D; UTF-8 uses these bytes for nothing else.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -170,19 +170,30 @@ def _digest(batches):
     for batch in batches:
         ids, cps, bodies = _normal(batch)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(cps, pa.int32()), pa.array([_key(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())],
-            names=["doc_id", "cp", "key", "sha"],
+            [pa.array(ids, pa.int64()), batch.column("text_key"), pa.array(cps, pa.int32()), pa.array([_key(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())],
+            names=["doc_id", "text_key", "cp", "key", "sha"],
         )
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 (of the text without blanks): one row per row of docs."""
+def _members(docs: DataFrame, capacity: int) -> DataFrame:
+    """doc_id, text_key, sha, copies (rows that repeat), keep_id, group_size, first (may stay): distinct rows of docs."""
     groups = build_index(docs, capacity).select("key", "sha", "keep_id", "keep_cp", "group_size")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest, "doc_id long, cp int, key long, sha binary")
-    # rows that repeat in full are counted and numbered, so that one of them stays
-    rows = rows.groupBy("doc_id", "cp", "key", "sha").agg(F.count("*").alias("copies"))
-    joined = rows.join(groups, ["key", "sha"])
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(_digest, "doc_id long, text_key long, cp int, key long, sha binary")
+    rows = rows.groupBy("doc_id", "text_key", "cp", "key", "sha").agg(F.count("*").alias("copies"))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("cp") == F.col("keep_cp"))
-    return joined.select("doc_id", "keep_id", "group_size", first.alias("first"), F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select(
-        "doc_id", "keep_id", "group_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"), "text_sha256"
-    )
+    return rows.join(groups, ["key", "sha"]).select("doc_id", "text_key", "sha", "copies", "keep_id", "group_size", first.alias("first"))
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 (of the text without blanks): one row per row of docs."""
+    rows = _members(docs, capacity)
+    # rows that repeat, or differ in blanks only under one id, are numbered, so that one of them stays
+    rows = rows.groupBy("doc_id", "sha", "keep_id", "group_size", "first").agg(F.sum("copies").cast("int").alias("copies"))
+    rows = rows.select("doc_id", "keep_id", "group_size", "first", F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, with all columns."""
+    best = _members(docs, capacity).where("first").groupBy("doc_id", "sha").agg(F.min(F.struct("text_key", "copies")).alias("row"))
+    return keep_rows(docs, best.select("doc_id", "row.text_key", "row.copies"))

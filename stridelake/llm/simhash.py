@@ -17,7 +17,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import keep_rows, saved, shuffle_partitions, text_key
 
 #: Buckets of up to so many fingerprints are compared shift by shift, larger ones block by block.
 SMALL_BUCKET, BLOCK = 64, 1024
@@ -38,7 +38,8 @@ def _fingerprint(words: list[bytes], size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp: A-Z lower-cased, words cut at U+0020 and U+0009 to U+000D, shingles with repeats."""
+    """doc_id, fp and, if docs has it, text_key: A-Z lower-cased, words cut at U+0020 and U+0009 to U+000D, shingles with repeats."""
+    keyed = [c for c in ("text_key",) if c in docs.columns]
 
     def run(batches):
         import pyarrow as pa
@@ -48,9 +49,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             text = pc.fill_null(batch.column("text"), "").cast(pa.binary())
             # bytes.lower() changes A-Z and bytes.split() cuts at those six characters, and at no others
             fp = [_fingerprint(x.as_py().lower().split(), shingle) for x in text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), *(batch.column(c) for c in keyed)], names=["doc_id", "fp", *keyed])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("long") for c in keyed])
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in keyed))
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -143,13 +145,30 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
+def _rooted(fps: DataFrame, most: int) -> DataFrame:
+    """fp, root: the component of every fingerprint, by its smallest member (as a signed long)."""
+    nodes = fps.select("fp").distinct()
+    roots = components(fingerprint_links(nodes, most))
+    # a fingerprint without links is its own root
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable)."""
     fps = saved(fingerprints(docs, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(fingerprint_links(nodes.select("fp"), most))
-    # a fingerprint without links is its own root
-    owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    owned = first.join(_rooted(fps, most), "fp")
     named = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = owned.join(named, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each component (null last), with all columns."""
+    fps = saved(fingerprints(docs.select("doc_id", "text", text_key().alias("text_key")), shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
+    owned = fps.groupBy("fp").agg(first).join(_rooted(fps, most), "fp")
+    best = owned.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_key")
+    copies = fps.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
+    best = best.join(copies, best.doc_id.eqNullSafe(copies.doc_id) & (best.text_key == copies.text_key)).select(best.doc_id, best.text_key, "copies")
+    return keep_rows(docs, best)
