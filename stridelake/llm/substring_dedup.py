@@ -119,19 +119,24 @@ def _window_rows(window: int):
 
 def removed_windows(texts: DataFrame, exchanged: DataFrame, window: int) -> DataFrame:
     """d, row, gone (array of first start, number of windows, bits of those removed): per text with removed windows."""
+
+    def apart(groups: DataFrame) -> DataFrame:
+        """Groups dealt out evenly, so that a join with their rows has exchanges of its own on both sides and hot keys split."""
+        return groups.repartition(shuffle_partitions(texts.sparkSession))
+
     found = runs(texts, window)  # made twice: for the keys, and for the runs of those that are shared
-    shared = found.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key")
+    shared = apart(found.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key"))
     matched = saved(found.join(shared, "key"), "matched-runs")
     kinds = matched.groupBy("key", "content").agg(F.min(F.struct("d", "row", "p")).alias("rep"), F.max("n").alias("n"))
-    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    several = apart(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key"))
     reps = kinds.join(several, "key").select("rep.d", "rep.row", F.struct("key", "content", F.col("rep.p").alias("p"), "n").alias("run"))
     reps = reps.groupBy("d", "row").agg(F.collect_list("run").alias("own"))  # no more than the document has runs
     # the same columns as in the last join, so that Spark reads the same exchange
     rows = exchanged.join(reps.hint("shuffle_hash"), ["d", "row"]).select("doc_id", "text", "own").mapInArrow(_window_rows(window), "w1 long, w2 long, d long, key long, content long, nth int")
-    least = rows.groupBy("w1", "w2").agg(F.min("d").alias("least"))
+    least = apart(rows.groupBy("w1", "w2").agg(F.min("d").alias("least")))
     partly = rows.join(least, ["w1", "w2"]).where("least < d").groupBy("key", "content").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("bits"))
     first = kinds.select("key", "content", F.col("rep.d").alias("first")).join(partly, ["key", "content"], "left")
-    gone = matched.join(first, ["key", "content"]).select("d", "row", "p", "n", F.when(F.col("d") > F.col("first"), F.lit(-1)).otherwise(F.col("bits")).alias("bits"))
+    gone = matched.join(apart(first), ["key", "content"]).select("d", "row", "p", "n", F.when(F.col("d") > F.col("first"), F.lit(-1)).otherwise(F.col("bits")).alias("bits"))
     return gone.where("bits is not null").groupBy("d", "row").agg(F.collect_list(F.struct("p", "n", "bits")).alias("gone"))
 
 
