@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.names import best_epoch
 
@@ -25,6 +26,8 @@ def decoded_frames(files: DataFrame, decoder: Callable, schema: str) -> DataFram
     decoder(path, content) yields dicts of the schema's columns; the schema has path and error.
     """
 
+    columns = StructType.fromDDL(schema).names
+
     def run(batches):
         import pandas as pd
 
@@ -35,7 +38,7 @@ def decoded_frames(files: DataFrame, decoder: Callable, schema: str) -> DataFram
                 except Exception as e:  # noqa: BLE001  one bad file does not stop the others
                     rows = [{"path": path, "error": str(e)[:500]}]
                 if rows:
-                    yield pd.DataFrame(rows)
+                    yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, schema)
 

@@ -14,13 +14,13 @@ def event_stream(spark: SparkSession, folder: str, schema: str = EVENT, files: i
 
 def windowed_means(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """start, event_type, n, mean by tumbling windows."""
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """user_id, start, end, n by sessions that end after a gap."""
-    g = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
