@@ -736,3 +736,131 @@ def ablation_grid(spark, sf):
     scored = train.ablation(*_videos(spark, sf))
     c = metrics.rates(metrics.counts(scored, F.col("score") > 0.5, "variant"))
     return c.select("variant", "tp", "fp", "tn", "fn", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
+
+
+# --- reports and plot data -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {q.SCORED}, {q.CURVE} SELECT score AS threshold, {q.r('tp / (tp + fp)::DOUBLE')} AS precision, {q.r('tp / n_pos::DOUBLE')} AS recall FROM t")
+def pr_curve(spark, sf):
+    t = metrics.running_totals(scored_pairs(spark, sf))
+    return t.select(F.col("score").alias("threshold"), r6(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), r6(F.col("tp") / F.col("n_pos")).alias("recall"))
+
+
+@query(f"WITH {q.LABELS} SELECT {q.r('avg(label)')} AS positive_share, count(*) AS n FROM sp")
+def pr_baseline(spark, sf):
+    return label_scores(spark, sf).agg(r6(F.avg("label")).alias("positive_share"), F.count("*").alias("n"))
+
+
+@query(f"WITH {q.SCORED} SELECT {q.r('avg(score)')} AS overall, {q.r('avg(score) FILTER (label = 1)')} AS authentic, {q.r('avg(score) FILTER (label = 0)')} AS fake FROM sp")
+def mean_similarity(spark, sf):
+    s, y = F.col("score"), F.col("label")
+    return scored_pairs(spark, sf).agg(r6(F.avg(s)).alias("overall"), r6(F.avg(F.when(y == 1, s))).alias("authentic"), r6(F.avg(F.when(y == 0, s))).alias("fake"))
+
+
+@query(f"SELECT user_id, event_type, {q.r('sum(value * event_id) / sum(event_id)')} AS weighted_mean FROM events GROUP BY ALL HAVING sum(event_id) <> 0")
+def running_weighted_mean(spark, sf):
+    g = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("value") * F.col("event_id")).alias("s"), F.sum("event_id").alias("w"))
+    return g.where("w <> 0").select("user_id", "event_type", r6(F.col("s") / F.col("w")).alias("weighted_mean"))
+
+
+@query(_FOLDS + f" SELECT arg_max(test_person, (accuracy, test_person)) AS best, {q.r('max(accuracy) - avg(accuracy)')} AS over_mean FROM m")
+def best_variant(spark, sf):
+    return fold_metrics(scored_pairs(spark, sf)).agg(F.max_by("test_person", F.struct("accuracy", "test_person")).alias("best"), r6(F.max("accuracy") - F.avg("accuracy")).alias("over_mean"))
+
+
+@query(_FOLDS + " SELECT test_person, unnest(['accuracy', 'f1', 'auc']) AS name, unnest([accuracy, f1, auc]) AS value FROM m")
+def metrics_long(spark, sf):
+    return fold_metrics(scored_pairs(spark, sf)).select("test_person", F.expr("stack(3, 'accuracy', accuracy, 'f1', f1, 'auc', auc) as (name, value)"))
+
+
+@query(_FOLDS + " SELECT format('{:<8} {:>8.2f} {:>8.2f} {:>6d}', test_person, 100 * accuracy, 100 * f1, n_samples) AS line FROM m")
+def report_table(spark, sf):
+    return fold_metrics(scored_pairs(spark, sf)).select(F.format_string("%-8s %8.2f %8.2f %6d", "test_person", 100 * F.col("accuracy"), 100 * F.col("f1"), "n_samples").alias("line"))
+
+
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (value > 10) AS succeeded, count(*) - count(*) FILTER (value > 10) AS failed, count(DISTINCT user_id) AS videos FROM events GROUP BY event_type")
+def extraction_totals(spark, sf):
+    ok = F.coalesce(F.sum(F.when(F.col("value") > 10, 1)), F.lit(0)).cast("long")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), ok.alias("succeeded"), (F.count("*") - ok).alias("failed"), F.count_distinct("user_id").alias("videos"))
+
+
+@query("SELECT label::VARCHAR AS identity, count(DISTINCT len(embedding)) AS shapes, max(len(embedding))::INT AS size FROM embeddings GROUP BY label")
+def shape_consistency(spark, sf):
+    return vectors(spark, sf).groupBy("identity").agg(F.count_distinct(F.size("e")).alias("shapes"), F.max(F.size("e")).alias("size"))
+
+
+@query(f"WITH {q.SCORED} SELECT identity, {q.r('sqrt(sum(list_dot_product(e, e)))')} AS norm FROM v GROUP BY identity")
+def global_norm(spark, sf):
+    return vectors(spark, sf).groupBy("identity").agg(r6(F.sqrt(F.sum(geo.dot(F.col("e"), F.col("e"), 64)))).alias("norm"))
+
+
+ROOTS = [("original", "v/Ann_F1.mp4"), ("original", "v/Bob_S1.mp4"), ("augmented", "w/Ann_F1.mp4"), ("augmented", "w/Ann_F1_hflip.mp4")]
+
+
+@query(f"WITH n(root, path) AS {values(ROOTS)} SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '') AS stem, min(path) AS path FROM n GROUP BY 1")
+def union_roots(spark, sf):
+    """Videos of both roots, one of each stem: originals are copied among the augmented ones."""
+    rows = literal(spark, ROOTS, "root string, path string")
+    both = rows.where("root = 'original'").unionByName(rows.where("root = 'augmented'"))
+    return both.groupBy(names.stem(F.col("path")).alias("stem")).agg(F.min("path").alias("path"))
+
+
+@query(f"WITH {q.PF} SELECT video_id, arg_max(frame_idx, (round(abs(e[1] - e[4]) * abs(e[38] - e[2]), 9), -frame_idx)) AS frame_idx FROM pf GROUP BY video_id")
+def largest_face(spark, sf):
+    lm = F.col("lm")
+    area = F.round(F.abs(lm[0]["x"] - lm[1]["x"]) * F.abs(lm[12]["y"] - lm[0]["y"]), 9)
+    return pose_frames(spark, sf).groupBy("video_id").agg(F.max_by("frame_idx", F.struct(area.alias("a"), (-F.col("frame_idx")).alias("f"))).alias("frame_idx"))
+
+
+@query(f"WITH {q.SERIES}, at8 AS ({_placed(8)}) SELECT at8.user_id, i, a.event_id, {q.r('100 * p / at8.n::DOUBLE')} AS cycle_percent, {q.r('p / 30e0')} AS seconds FROM at8 JOIN s a ON a.user_id = at8.user_id AND a.frame_idx = p")
+def display_frames(spark, sf):
+    f = sequence.sample_uniform(sequence.with_length(series(spark, sf), "user_id").withColumnRenamed("n", "frames"), "user_id", 8)
+    return f.select("user_id", F.col("i").cast("long").alias("i"), "event_id", r6(100 * F.col("frame_idx") / F.col("frames")).alias("cycle_percent"), r6(F.col("frame_idx") / 30.0).alias("seconds"))
+
+
+@query(f"WITH {q.PF} SELECT identity, frame_idx, {q.r('avg(e[1])')} AS x0, count(DISTINCT video_id) AS num_videos FROM pf WHERE video_id NOT LIKE '%_2' GROUP BY identity, frame_idx")
+def enroll_originals(spark, sf):
+    f = pose_frames(spark, sf).where("video_id not like '%_2'").select("identity", "video_id", "frame_idx", features.flat(F.col("lm")).alias("v"))
+    return enroll.frame_signatures(f, "v", 36).select("identity", "frame_idx", r6(F.col("sig")[0]).alias("x0"), "num_videos")
+
+
+@query("SELECT vec_id, label::VARCHAR AS identity FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 50)")
+def enrolled_only(spark, sf):
+    v = vectors(spark, sf).select("vec_id", "identity")
+    return v.join(v.groupBy("identity").count().where("count >= 50"), "identity", "left_semi").select("vec_id", "identity")
+
+
+@query(_PRESERVATION.replace(_TORSO, _TORSO.replace("ca[19]", "ca[7]").replace("ca[20]", "ca[8]").replace("ca[21]", "ca[9]").replace("ca[22]", "ca[10]").replace("ca[23]", "ca[11]").replace("ca[24]", "ca[12]")) + f" SELECT pair_id, {q.r('pck_score')} AS pck_score FROM v")
+def pck_by_torso(spark, sf):
+    return preserve.preservation(preservation_pairs(spark, sf), "shoulder_hip").select("pair_id", r6("pck_score").alias("pck_score"))
+
+
+@query(f"WITH {q.SCORED} SELECT vec_id, claimed_identity, {q.r('(list_dot_product(e, sig) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(sig, sig)) + 1e-8) + 1) / 2')} AS similarity FROM v, sig WHERE identity = claimed_identity")
+def unit_similarity(spark, sf):
+    v = vectors(spark, sf)
+    s = signatures(v).select("identity", "sig")
+    return v.join(s, "identity").select("vec_id", F.col("identity").alias("claimed_identity"), r6((geo.cosine(F.col("e"), F.col("sig"), 64) + 1) / 2).alias("similarity"))
+
+
+@query(f"""WITH {q.SCORED}, m AS (SELECT vec_id, max(score) FILTER (label = 1) * 5 AS a, max(score) FILTER (label = 0) * 5 AS b FROM sp GROUP BY vec_id)
+    SELECT vec_id, {q.r('exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b)))')} AS p_authentic, {q.r('greatest(exp(a - greatest(a, b)), exp(b - greatest(a, b))) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b)))')} AS confidence FROM m""")
+def softmax_confidence(spark, sf):
+    g = scored_pairs(spark, sf).groupBy("vec_id").agg(F.array(F.max(F.when(F.col("label") == 0, F.col("score"))) * 5, F.max(F.when(F.col("label") == 1, F.col("score"))) * 5).alias("z"))
+    return g.withColumn("p", geo.softmax(F.col("z"), 2)).select("vec_id", r6(F.col("p")[1]).alias("p_authentic"), r6(F.array_max("p")).alias("confidence"))
+
+
+@query()
+def embedding_plane(spark, sf):
+    """Two principal components of the pooled features, in place of a neighbour embedding."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = features.pooled(features.feature_frames(pose_frames(spark, sf))).withColumn("x", array_to_vector("feat"))
+    out = PCA(k=2, inputCol="x", outputCol="y").fit(v).transform(v).withColumn("y", vector_to_array("y"))
+    return out.select("video_id", "identity", r6(F.col("y")[0]).alias("y0"), r6(F.col("y")[1]).alias("y1"))
+
+
+@query()
+def ablation_scores(spark, sf):
+    return train.ablation(*_videos(spark, sf)).select("variant", "key", "claimed_identity", "label", r6("score").alias("score"))
