@@ -11,7 +11,7 @@ from .exact_dedup import exact_dedup
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 from .licenses import COPYRIGHT_LINE, license_scan
 from .quality_crf import quality
-from .sentencepiece_scan import decode, encode
+from .sentencepiece_scan import encode
 from .simhash import near_dedup
 from .substring_dedup import substring_digests
 from .token_counts import section_tokens
@@ -51,7 +51,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_hash, and digest and length of the text that the ids decode to."""
     model = tokenizer_path("piece_bpe_32k.model")
-    back = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    back = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, back=True)
     return back.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"), F.length("text").alias("decoded_chars"))
 
 

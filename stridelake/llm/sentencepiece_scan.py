@@ -32,9 +32,10 @@ from .common import saved, shuffle_partitions
 
 #: Characters of a chunk, and more than the longest piece.
 CHUNK, PAD = 16384, 32
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 UNIT = re.compile(r" *[^ ]+| +")
 ENCODED = "doc_id long, ids array<int>"
+BOTH = ENCODED + ", text string"
 
 
 @lru_cache(maxsize=2)
@@ -66,11 +67,16 @@ class PieceModel:
         self.id_of = {sp.id_to_piece(i).replace("▁", " "): i for i in usual}
         self.score = {p: sp.get_score(i) for p, i in self.id_of.items()}
         self.byte_id = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.spelt = [sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())]
+        for i in (i for i in range(len(self.spelt)) if sp.is_control(i)):
+            self.spelt[i] = b""
+        for b, i in enumerate(self.byte_id):
+            self.spelt[i] = bytes([b])
         self.longest = max(map(len, self.id_of))
         if self.longest >= PAD or any(" " in p.lstrip(" ") for p in self.id_of):
             raise ValueError("the model has pieces that reach over the start of a word")
         self.known = _Known(sp, self.id_of[" "])
-        self.fits = lru_cache(300_000)(self._fits)
+        self.fits = lru_cache(50_000)(self._fits)
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as native 32-bit integers."""
@@ -84,6 +90,10 @@ class PieceModel:
             units = [u[1:] for u in UNIT.findall(" " + text)]
         return b"".join(map(self.known.__getitem__, units))
 
+    def text(self, ids: list[int]) -> str:
+        """The text of some ids, with the space that encoding puts in front."""
+        return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
+
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored adjacent pair, of equal ones the first, is merged until none is a piece."""
         parts = list(text)
@@ -170,7 +180,7 @@ class PieceModel:
             first, last = cuts
             head, _ = self.sweep(text, begun, first)
             vector = np.max([w for (_, e), w in head.items() if e == first] or [np.full(len(ins), -np.inf)], axis=0)
-            vector = vector - len(self.ids(text[first + 1 : last])) // 4 if last > first else vector
+            # all paths share the units from first to last, so these need not be counted
             begun = {(last, last): vector}
         if final or end > (cuts[1] if cuts else -1):
             row, _ = self.sweep(text, begun, end)
@@ -220,7 +230,9 @@ def product(a, b):
     return np.max(a[:, :, None] + b[None, :, :], axis=1)
 
 
-def _plain(model: str):
+def _plain(model: str, back: bool):
+    """Rows of ids; with `back`, of the text that these decode to as well, so that one worker does both."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -232,7 +244,11 @@ def _plain(model: str):
                 raw = [pieces.ids(t or "") for t in part.column("text").to_pylist()]
                 offsets = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+                columns, names = [part.column("doc_id"), ids], ["doc_id", "ids"]
+                if back:
+                    columns.append(pa.array([pieces.text(array("i", x)).removeprefix(" ") for x in raw], pa.string()))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -259,7 +275,7 @@ def _transfers(model: str):
         pieces = piece_model(model)
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r in (x for at in range(0, batch.num_rows, 50) for x in batch.slice(at, 50).to_pylist()):
                 ins, outs, matrix = pieces.transfer(r["piece"], r["start"], r["start"] + r["size"], r["final"])
                 rows.append({"uid": r["uid"], "k": r["k"], "ins": [list(x) for x in ins], "outs": [list(x) for x in outs], "matrix": matrix.ravel().tolist()})
             schema = pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("ins", pa.list_(pa.list_(pa.int32()))), ("outs", pa.list_(pa.list_(pa.int32()))), ("matrix", pa.list_(pa.float64()))])
@@ -287,39 +303,43 @@ def _scan(group):
     return pd.DataFrame({"uid": group.uid, "k": group.k, "enter": enter, "leave": leave})
 
 
-def _backtraces(model: str):
+def _backtraces(model: str, back: bool):
     def run(batches):
         import pyarrow as pa
 
         pieces = piece_model(model)
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * back
         for batch in batches:
-            rows = [
-                {"uid": r["uid"], "doc_id": r["doc_id"], "k": r["k"], "ids": pieces.backtrace(r["piece"], r["start"], r["start"] + r["size"], r["final"], tuple(r["enter"]), tuple(r["leave"]))}
-                for r in batch.to_pylist()
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for at in range(0, batch.num_rows, 50):
+                rows = []
+                for r in batch.slice(at, 50).to_pylist():
+                    ids = pieces.backtrace(r["piece"], r["start"], r["start"] + r["size"], r["final"], tuple(r["enter"]), tuple(r["leave"]))
+                    rows.append({"uid": r["uid"], "doc_id": r["doc_id"], "k": r["k"], "ids": ids} | ({"text": pieces.text(ids)} if back else {}))
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
     return run
 
 
-def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """ENCODED rows of docs by the parallel scan: chunks are dealt out over all tasks."""
+def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, back: bool = False) -> DataFrame:
+    """ENCODED (BOTH) rows of docs by the parallel scan: chunks are dealt out over all tasks."""
     parts = shuffle_partitions(docs.sparkSession)
     # written once, so that the rows' numbers stay as they are
     cut = saved(chunks(docs, chunk).repartition(parts, "uid", "k"), "chunks")
     states = cut.repartition(parts, "uid", "k").mapInArrow(_transfers(model), "uid long, k int, ins array<array<int>>, outs array<array<int>>, matrix array<double>")
     states = states.groupBy("uid").applyInPandas(_scan, "uid long, k int, enter array<int>, leave array<int>")  # a few numbers a chunk
-    traced = cut.join(states, ["uid", "k"]).mapInArrow(_backtraces(model), "uid long, doc_id long, k int, ids array<int>")
-    whole = traced.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("of"))
-    return whole.select("doc_id", F.flatten(F.transform("of", lambda x: x["ids"])).alias("ids"))
+    traced = cut.join(states, ["uid", "k"]).mapInArrow(_backtraces(model, back), "uid long, doc_id long, k int, ids array<int>" + ", text string" * back)
+    whole = traced.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", *traced.columns[3:]))).alias("of"))
+    ids = F.flatten(F.transform("of", lambda x: x["ids"])).alias("ids")
+    # decoded chunk by chunk; the text has the space that encoding puts in front
+    return whole.select("doc_id", ids, *[F.expr("substring(array_join(transform(of, x -> x.text), ''), 2)").alias("text")] * back)
 
 
-def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """ENCODED rows: the ids that the model's own library gives for every whole text."""
+def encode(docs: DataFrame, model: str, chunk: int = CHUNK, back: bool = False) -> DataFrame:
+    """ENCODED rows: the ids that the model's own library gives for every whole text; with `back`, BOTH: decoded again."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= chunk
-    return rows.where(~giant).mapInArrow(_plain(model), ENCODED).union(encode_giant(rows.where(giant), model, chunk))
+    plain = rows.where(~giant).mapInArrow(_plain(model, back), BOTH if back else ENCODED)
+    return plain.union(encode_giant(rows.where(giant), model, chunk, back))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -327,12 +347,15 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         pieces = piece_model(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = pieces.library.decode(part.column("ids").to_pylist()) if part.num_rows else []
+                lists = pc.fill_null(part.column("ids"), [])
+                values, cuts = lists.flatten().to_numpy(zero_copy_only=False), [0, *pc.list_value_length(lists).to_numpy().cumsum().tolist()]
+                texts = [pieces.text(values[a:b].tolist()).removeprefix(" ") for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, ENCODED + ", text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, BOTH)

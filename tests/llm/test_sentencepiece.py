@@ -54,6 +54,8 @@ def test_product_is_associative():
 
 
 def test_round_trip_and_edges(spark):
+    both = scan.encode(frame(spark), MODEL, 1000, back=True).collect()
+    assert Counter((r.doc_id, r.text) for r in both) == Counter((i, t or "") for i, t, *_ in edge_docs())
     got = scan.decode(scan.encode(frame(spark), MODEL), MODEL).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t or "") for i, t, *_ in edge_docs())
     assert scan.encode(frame(spark, []), MODEL).count() == 0
