@@ -303,35 +303,33 @@ def _scan(group):
     return pd.DataFrame({"uid": group.uid, "k": group.k, "enter": enter, "leave": leave})
 
 
-def _backtraces(model: str, back: bool):
+def _backtraces(model: str):
     def run(batches):
         import pyarrow as pa
 
         pieces = piece_model(model)
-        fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * back
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 rows = []
                 for r in batch.slice(at, 50).to_pylist():
                     ids = pieces.backtrace(r["piece"], r["start"], r["start"] + r["size"], r["final"], tuple(r["enter"]), tuple(r["leave"]))
-                    rows.append({"uid": r["uid"], "doc_id": r["doc_id"], "k": r["k"], "ids": ids} | ({"text": pieces.text(ids)} if back else {}))
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+                    rows.append({"uid": r["uid"], "doc_id": r["doc_id"], "k": r["k"], "ids": ids})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
-def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, back: bool = False) -> DataFrame:
-    """ENCODED (BOTH) rows of docs by the parallel scan: chunks are dealt out over all tasks."""
+def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+    """ENCODED rows of docs by the parallel scan: chunks are dealt out over all tasks."""
     parts = shuffle_partitions(docs.sparkSession)
     # written once, so that the rows' numbers stay as they are
     cut = saved(chunks(docs, chunk).repartition(parts, "uid", "k"), "chunks")
-    states = cut.repartition(parts, "uid", "k").mapInArrow(_transfers(model), "uid long, k int, ins array<array<int>>, outs array<array<int>>, matrix array<double>")
+    states = cut.mapInArrow(_transfers(model), "uid long, k int, ins array<array<int>>, outs array<array<int>>, matrix array<double>")
     states = states.groupBy("uid").applyInPandas(_scan, "uid long, k int, enter array<int>, leave array<int>")  # a few numbers a chunk
-    traced = cut.join(states, ["uid", "k"]).mapInArrow(_backtraces(model, back), "uid long, doc_id long, k int, ids array<int>" + ", text string" * back)
-    whole = traced.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", *traced.columns[3:]))).alias("of"))
-    ids = F.flatten(F.transform("of", lambda x: x["ids"])).alias("ids")
-    # decoded chunk by chunk; the text has the space that encoding puts in front
-    return whole.select("doc_id", ids, *[F.expr("substring(array_join(transform(of, x -> x.text), ''), 2)").alias("text")] * back)
+    traced = cut.join(states, ["uid", "k"]).mapInArrow(_backtraces(model), "uid long, doc_id long, k int, ids array<int>")
+    whole = traced.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("of"))
+    return whole.select("doc_id", F.flatten(F.transform("of", lambda x: x["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, back: bool = False) -> DataFrame:
@@ -339,7 +337,8 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, back: bool = False)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= chunk
     plain = rows.where(~giant).mapInArrow(_plain(model, back), BOTH if back else ENCODED)
-    return plain.union(encode_giant(rows.where(giant), model, chunk, back))
+    others = encode_giant(rows.where(giant), model, chunk)
+    return plain.union(decode(others, model) if back else others)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
