@@ -284,13 +284,11 @@ def _transfers(model: str):
     return run
 
 
-def _scan(group):
-    """The state at every cut of one document, from its chunks' matrices."""
+def _states(rows: list[dict]) -> list[dict]:
+    """The state at every cut of one document, from its chunks' matrices in order."""
     import numpy as np
-    import pandas as pd
 
-    group = group.sort_values("k")
-    matrices = [np.array(m).reshape(len(i), len(o)) for i, o, m in zip(group.ins, group.outs, group.matrix)]
+    matrices = [np.array(r["matrix"]).reshape(len(r["ins"]), len(r["outs"])) for r in rows]
     ahead = [np.zeros((1, 1))]
     for m in matrices:
         ahead.append(product(ahead[-1], m))
@@ -298,9 +296,24 @@ def _scan(group):
     for m in reversed(matrices):
         behind.append(product(m, behind[-1]))
     best = [int(np.argmax(a.ravel() + b.ravel())) for a, b in zip(ahead, behind[::-1])]
-    enter = [[int(x) for x in i[b]] for i, b in zip(group.ins, best)]
-    leave = [[int(x) for x in o[b]] for o, b in zip(group.outs, best[1:])]
-    return pd.DataFrame({"uid": group.uid, "k": group.k, "enter": enter, "leave": leave})
+    return [{"uid": r["uid"], "k": r["k"], "enter": r["ins"][i], "leave": r["outs"][j]} for r, i, j in zip(rows, best, best[1:])]
+
+
+def _scan(batches):
+    """Transfer rows in order of document and chunk -> the states at each chunk's ends."""
+    import pyarrow as pa
+
+    schema = pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("enter", pa.list_(pa.int32())), ("leave", pa.list_(pa.int32()))])
+    held: list[dict] = []
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if held and held[-1]["uid"] != r["uid"]:
+                out += _states(held)
+                held = []
+            held.append(r)
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    yield pa.RecordBatch.from_pylist(_states(held) if held else [], schema=schema)
 
 
 def _backtraces(model: str):
@@ -326,7 +339,8 @@ def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     # written once, so that the rows' numbers stay as they are
     cut = saved(chunks(docs, chunk).repartition(parts, "uid", "k"), "chunks")
     states = cut.mapInArrow(_transfers(model), "uid long, k int, ins array<array<int>>, outs array<array<int>>, matrix array<double>")
-    states = states.groupBy("uid").applyInPandas(_scan, "uid long, k int, enter array<int>, leave array<int>")  # a few numbers a chunk
+    # a few numbers a chunk: a document's are taken together, in order
+    states = states.repartition(parts, "uid").sortWithinPartitions("uid", "k").mapInArrow(_scan, "uid long, k int, enter array<int>, leave array<int>")
     traced = cut.join(states, ["uid", "k"]).mapInArrow(_backtraces(model), "uid long, doc_id long, k int, ids array<int>")
     whole = traced.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("of"))
     return whole.select("doc_id", F.flatten(F.transform("of", lambda x: x["ids"])).alias("ids"))
