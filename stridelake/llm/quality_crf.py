@@ -27,7 +27,7 @@ ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 _MARKS, _SHOUT, _BAR, _POINT = b"*$%&#@^~<>{}[]\\=+_`", b"!?", b"|\t", b".,;:'\"-()"
 KINDS = (_UPPER, _LOWER, _DIGIT, _MARKS, _SHOUT, _BAR, _POINT)
-N_OWN = len(KINDS) + 6
+N_OWN = len(KINDS) + 7
 
 
 def line_features(line: str) -> list[float]:
@@ -39,7 +39,7 @@ def line_features(line: str) -> list[float]:
     distinct = len(set(words)) / m if m > 20 else 1.0
     # shares of rare kinds are stretched, so that a few per cent already count
     stretch = lambda x: min(1.0, 5 * x)
-    return [shares[0], shares[1], stretch(shares[2]), stretch(shares[3]), stretch(shares[4]), stretch(shares[5]), shares[6], stretch(repeats), 1 - distinct, min(1.0, len(line) / m / 20), min(1.0, len(words) / 50), float(not words), stretch(max(0.0, shares[0] - 0.1))]
+    return [shares[0], shares[1], stretch(shares[2]), stretch(shares[3]), stretch(shares[4]), stretch(shares[5]), shares[6], repeats, max(0.0, repeats - 0.3), 1 - distinct, min(1.0, len(line) / m / 20), min(1.0, len(words) / 50), float(not words), stretch(max(0.0, shares[0] - 0.1))]
 
 
 def document_lines(text: str) -> tuple[list[list[float]], list[int]]:
