@@ -52,7 +52,7 @@ def pose_frames_view(spark, sf):
 
 
 @query(f"""WITH {q.PF}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM pf WHERE frame_idx % 2 = 0)
-    SELECT video_id, i AS frame_idx, frame_idx AS source_idx FROM k WHERE n >= 10""")
+    SELECT video_id, i::INT AS frame_idx, frame_idx AS source_idx FROM k WHERE n >= 10""")
 def valid_video_filter(spark, sf):
     f = pose_frames(spark, sf).withColumn("lm", F.when(F.col("frame_idx") % 2 == 0, F.col("lm")))
     return sequence.valid_videos(f).select("video_id", "frame_idx", "source_idx")
@@ -284,7 +284,7 @@ def identify_1_to_n(spark, sf):
     return enroll.best_match(scored_pairs(spark, sf))
 
 
-@query(f"WITH {q.SCORED} SELECT * FROM (SELECT vec_id, claimed_identity, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, claimed_identity) AS rank FROM sp) WHERE rank <= 5")
+@query(f"WITH {q.SCORED} SELECT * FROM (SELECT vec_id, claimed_identity, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, claimed_identity)::INT AS rank FROM sp) WHERE rank <= 5")
 def top5_scores(spark, sf):
     return enroll.top_scores(scored_pairs(spark, sf), 5).select("vec_id", "claimed_identity", "score", "rank")
 
@@ -510,7 +510,7 @@ def score_moments(spark, sf):
 
 
 @query(f"""WITH {q.SCORED}, c AS (SELECT *, CASE WHEN score >= 0.4 AND label = 1 THEN 'TP' WHEN score >= 0.4 THEN 'FP' WHEN label = 1 THEN 'FN' ELSE 'TN' END AS "case" FROM sp)
-    SELECT * FROM (SELECT "case", vec_id, claimed_identity, score, row_number() OVER (PARTITION BY "case" ORDER BY vec_id, claimed_identity) AS nth FROM c) WHERE nth <= 5""")
+    SELECT * FROM (SELECT "case", vec_id, claimed_identity, score, row_number() OVER (PARTITION BY "case" ORDER BY vec_id, claimed_identity)::INT AS nth FROM c) WHERE nth <= 5""")
 def four_cases(spark, sf):
     return metrics.first_of_each_case(scored_pairs(spark, sf), "vec_id", 0.4).select("case", "vec_id", "claimed_identity", "score", "nth")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.geometry import ANGLES
 
 PF = """pf AS (SELECT label::VARCHAR AS identity, label || '_' || (vec_id % 3) AS video_id,
-                      row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) - 1 AS frame_idx, embedding::DOUBLE[] AS e FROM embeddings)"""
+                      (row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) - 1)::INT AS frame_idx, embedding::DOUBLE[] AS e FROM embeddings)"""
 SERIES = "s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 SCORED = """v AS (SELECT vec_id, label::VARCHAR AS identity, embedding::DOUBLE[] AS e FROM embeddings),
     sig AS (SELECT identity AS claimed_identity, list(m ORDER BY d) AS sig FROM (SELECT identity, d, avg(e[d]) AS m FROM v, range(1, 65) AS t(d) GROUP BY ALL) GROUP BY 1),
