@@ -37,21 +37,20 @@ def leave_self_out(v: DataFrame, column: str, dims: int) -> DataFrame:
     return v.join(sums, "identity").withColumn("others", F.when(n > 1, other)).drop("_n", *[f"_d{i}" for i in range(dims)])
 
 
-def _pick(key: Column, candidate: Column) -> Column:
-    """What the largest digest of key and candidate picks: the same on every engine and in every run."""
-    return F.md5(F.concat_ws("|", key, candidate))
-
-
 def enrolled_pairs(probes: DataFrame, people: DataFrame) -> DataFrame:
-    """Two pairs a probe (key, true_identity): its own identity (label 1), and another enrolled one (0) by digest.
+    """Two pairs a probe (key, true_identity): its own identity (label 1), and another enrolled one (0) that its digest picks.
 
-    The other one is found from the list of people, which travels as one sorted array per probe task, not by pairing all.
+    People stand in a ring by name; the digest of the key says how many places on from its own the other one is. So both
+    are equi-joins, and the picks are the same on every engine and in every run.
     """
-    own = probes.join(people.select(F.col("identity").alias("true_identity")), "true_identity", "left_semi").select("key", "true_identity", F.col("true_identity").alias("claimed_identity"), F.lit(1).alias("label"))
-    names = people.agg(F.array_sort(F.collect_set("identity")).alias("names"))
-    one = F.array_max(F.transform(F.filter("names", lambda x: x != F.col("true_identity")), lambda x: F.struct(_pick(F.col("key").cast("string"), x).alias("h"), x.alias("id"))))
-    other = probes.crossJoin(F.broadcast(names)).select("key", "true_identity", one["id"].alias("claimed_identity"), F.lit(0).alias("label")).where("claimed_identity is not null")
-    return own.unionByName(other)
+    ring = Window.orderBy("identity")  # one row a person
+    places = people.select("identity", (F.row_number().over(ring) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("people"))
+    own = probes.join(places.withColumnRenamed("identity", "true_identity"), "true_identity")
+    digest = F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 8), 16, 10).cast("long")
+    other = own.where("people > 1").withColumn("place", F.pmod(F.col("place") + 1 + F.pmod(digest, F.col("people") - 1), F.col("people")))
+    other = other.join(places.select("place", F.col("identity").alias("claimed_identity")), "place")
+    own = own.select("key", "true_identity", F.col("true_identity").alias("claimed_identity"), F.lit(1).alias("label"))
+    return own.unionByName(other.select("key", "true_identity", "claimed_identity", F.lit(0).alias("label")))
 
 
 def unenrolled(probes: DataFrame, people: DataFrame) -> DataFrame:
