@@ -207,3 +207,21 @@ def test_streams(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_verdicts_of_claims(spark):
+    from stridelake.operators import verify
+
+    sig = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "identity string, sig array<double>")
+    claims = spark.createDataFrame([(1, "a", [1.0, 0.1]), (2, "a", [0.1, 1.0]), (3, "a", [-1.0, -1.0])], "key long, claimed_identity string, e array<double>")
+    got = {r.key: (r.best_identity, r.verdict) for r in verify.verdicts(claims, sig, 2).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: "AUTHENTIC", 2: "IDENTITY_MISMATCH", 3: "SUSPECTED_FAKE"} and got[2][0] == "b"
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from stridelake.__main__ import main
+
+    assert main(["queries"]) == 0 and "roc_auc" in capsys.readouterr().out
+    assert main(["sql", "roc_auc"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["run", "parse_identity_a", "--tables", SF, "--out", str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 8
