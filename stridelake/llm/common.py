@@ -51,6 +51,16 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return once.unionByName(repeated.select("doc_id", *[F.col("_row")[c].alias(c) for c in others]).select(docs.columns))
 
 
+#: Bytes of rows that go to a Python worker at once; rows of long texts are many to the usual number of rows.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches, which bounds what a task holds of long texts outside the heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, keep_rows, shared_dir, shuffle_partitions, task_file, text_key
+from .common import bounded, file_system, keep_rows, shared_dir, shuffle_partitions, task_file, text_key
 
 #: U+0020 and U+0009 to U+000D; UTF-8 uses these bytes for nothing else.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -158,7 +158,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
     # the directory starts at the depth that half fills its buckets; splits go on from there
     depth = max(1, math.ceil(math.log2(max(2, 2 * docs.count() / capacity))))
-    entries = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fold, ENTRY)
+    entries = bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_fold, ENTRY)
     owner = F.shiftrightunsigned("key", 64 - depth)
     owned = entries.repartition(shuffle_partitions(spark), owner).sortWithinPartitions("key", "sha")
     return owned.mapInArrow(_own(shared_dir(spark, "exact-index"), depth, capacity), GROUP)

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: Bound of the training sample: labelled rows of each class.
 SAMPLE_ROWS = 1500
 ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
@@ -178,7 +180,7 @@ def score(docs: DataFrame, model: LineCrf) -> DataFrame:
                 got = model.scores([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.5) -> DataFrame:
@@ -194,7 +196,7 @@ def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.5) -> DataFr
                 got = model.scores([t or "" for t in part.column("text").to_pylist()])
                 yield part.filter(pa.array([s >= threshold for s in got]))
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import bounded, saved, shuffle_partitions
 
 #: Characters of a chunk, and more than the longest piece.
 CHUNK, PAD = 16384, 32
@@ -348,7 +348,7 @@ def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, back: bool = False) -> DataFrame:
     """ENCODED rows: the ids that the model's own library gives for every whole text; with `back`, BOTH: decoded again."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= chunk
     plain = rows.where(~giant).mapInArrow(_plain(model, back), BOTH if back else ENCODED)
     others = encode_giant(rows.where(giant), model, chunk)

@@ -17,7 +17,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, saved, shuffle_partitions, text_key
+from .common import bounded, keep_rows, saved, shuffle_partitions, text_key
 
 #: Buckets of up to so many fingerprints are compared shift by shift, larger ones block by block.
 SMALL_BUCKET, BLOCK = 64, 1024
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = [_fingerprint(x.as_py().lower().split(), shingle) for x in text]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), *(batch.column(c) for c in keyed)], names=["doc_id", "fp", *keyed])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("long") for c in keyed])
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("long") for c in keyed])
     return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in keyed))
 
 
