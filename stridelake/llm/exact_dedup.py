@@ -25,6 +25,8 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 CAPACITY = 512
 #: Bytes of folded texts that an input task holds before it hands them on.
 FOLD_BYTES = 48 << 20
+#: An entry in a bucket file: key, sha256, id that stays (-1: none), rows, length of the packed text that follows.
+HEAD = "<q32sqqI"
 
 ENTRY = "key long, sha binary, body binary, n long, best_cp int, best_id long"
 GROUP = "key long, sha binary, keep_id long, keep_cp int, group_size long, prefix long, depth int, file string, offset long, length long"
@@ -113,7 +115,7 @@ def _own(folder: str, depth: int, capacity: int):
                 out = out or fs.open_output_stream(name)
                 start = out.tell()
                 for key, sha, body, n, best in bucket:
-                    out.write(struct.pack("<q32sqqI", key, sha, -1 if best[1] is None else best[1], n, len(body)) + body)
+                    out.write(struct.pack(HEAD, key, sha, -1 if best[1] is None else best[1], n, len(body)) + body)
                 length = out.tell() - start
                 rows.extend((key, sha, best[1], best[0], n, p, d, name, start, length) for key, sha, body, n, best in bucket)
 
@@ -164,6 +166,48 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return owned.mapInArrow(_own(shared_dir(spark, "exact-index"), depth, capacity), GROUP)
 
 
+def _packed(batches):
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        ids, _, bodies = _normal(batch)
+        columns = [pa.array(ids, pa.int64()), pa.array([_key(b) for b in bodies], pa.int64()), pa.array([pack(b) for b in bodies], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "body"])
+
+
+def _compare(batches):
+    """Rows with the bucket of their key -> those whose bytes an entry of that bucket has."""
+    import struct
+
+    import pyarrow as pa
+    import zstandard
+
+    unpack, head = zstandard.ZstdDecompressor().decompress, struct.calcsize(HEAD)
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            fs, path = file_system(r["file"])
+            with fs.open_input_file(path) as f:
+                f.seek(r["offset"])
+                bucket, at = f.read(r["length"]), 0
+            body = unpack(r["body"])
+            while at < len(bucket):
+                key, _, keep_id, _, n = struct.unpack_from(HEAD, bucket, at)
+                if key == r["key"] and unpack(bucket[at + head : at + head + n]) == body:
+                    out.append((r["doc_id"], None if keep_id < 0 else keep_id))
+                at += head + n
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["doc_id", "keep_id"])
+
+
+def probe(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id of the rows of docs whose text is in an index that was built (and saved) before: its buckets are read."""
+    buckets = index.select("key", "file", "offset", "length").distinct()
+    keyed = bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_packed, "doc_id long, key long, body binary")
+    return keyed.join(buckets, "key").mapInArrow(_compare, "doc_id long, keep_id long")
+
+
 def _digest(batches):
     import pyarrow as pa
 

@@ -101,6 +101,9 @@ def test_exact_dedup_edges_and_chains(spark, monkeypatch):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     index = exact_dedup.build_index(frame(spark), 2).collect()
     assert max(r.depth for r in index) > min(r.depth for r in index)  # a bucket was split
+    saved = common.saved(exact_dedup.build_index(frame(spark), 2), "index")
+    new = rows(spark, [(100, "samerow"), (101, "not there"), (102, " " + "x" * 40000), (103, None)])
+    assert {tuple(r) for r in exact_dedup.probe(saved, new).collect()} == {(100, 16), (102, 17), (103, 6)}
     # keys that collide are told apart by their bytes
     import zstandard
 
