@@ -3,7 +3,7 @@
 The pre-tokenizer of a byte-level BPE never joins characters across a single blank: a space opens the next pre-token, a
 line feed stands alone. So a text falls into units that begin at its spaces and line feeds, and its ids are those of its
 units in a row. The exceptions are runs of three blanks or more, and of two at the end, whose match can reach over a
-unit's end; texts with such runs go to the library whole.
+unit's end; texts with such runs, or with a special token's text, go to the library whole.
 
 A unit that is letters and then ASCII marks is two pre-tokens, letters and marks; those parts, which most units are made
 of, meet the library's BPE model without its pattern. All other units go through the library's own pre-tokenizer.
@@ -80,6 +80,8 @@ class UnitEncoder:
         if spans:  # a token of blanks keeps its own place
             self.library.post_processor = processors.ByteLevel(trim_offsets=False)
         self.model = self.library.model
+        # the library cuts texts at these before anything else
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.feed = self.alone("\n")
         self.forget()
 
@@ -123,7 +125,9 @@ class UnitEncoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """The pieces of a text; None where it has to be encoded whole."""
-        return None if LONG_BLANKS.search(text) else text.replace("\n", " \n").split(" ")
+        if LONG_BLANKS.search(text) or any(t in text for t in self.special):
+            return None
+        return text.replace("\n", " \n").split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.tail) > REMEMBERED:

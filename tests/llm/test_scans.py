@@ -25,7 +25,7 @@ def small(spark):
 
 
 #: Runs of blanks between, before and after words.
-BLANKS = [a + x + b for x in (" ", "\n", "  ", "\n\n", " \n", "\n ", "\t \t", "\n\n\n", " \t", "\x85 \x85", "\x1c \x1c", "\xa0", " 's ", "<|endoftext|>", "don't", " ...x_1!", "\r\n") for a in ("", "foo", "foo,") for b in ("", "bar", "!bar", "7")]
+BLANKS = [a + x + b for x in (" ", "\n", "  ", "\n\n", " \n", "\n ", "\t \t", "\n\n\n", " \t", "\x85 \x85", "\x1c \x1c", "\xa0", " 's ", "<|endoftext|>", "\n\n<|endoftext|>", "don't", " ...x_1!", "\r\n") for a in ("", "foo", "foo,") for b in ("", "bar", "!bar", "7")]
 
 
 def test_ids_equal_those_of_whole_texts(small):
