@@ -22,11 +22,19 @@ def total(columns) -> Column:
 
 
 def dot(a: Column, b: Column, n: int) -> Column:
-    return total(a[i] * b[i] for i in range(n))
+    """Product sum of arrays of n elements: written out where short; else as a fold, as long methods are not compiled."""
+    if n <= 12:
+        return total(a[i] * b[i] for i in range(n))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column, n: int) -> Column:
-    return dot(a, b, n) / (F.sqrt(dot(a, a, n)) * F.sqrt(dot(b, b, n)) + EPS)
+def norm(a: Column, n: int) -> Column:
+    return F.sqrt(dot(a, a, n))
+
+
+def cosine(a: Column, b: Column, n: int, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine with EPS in the denominator; norms that were taken before a join need not be taken for every pair."""
+    return dot(a, b, n) / ((norm(a, n) if norm_a is None else norm_a) * (norm(b, n) if norm_b is None else norm_b) + EPS)
 
 
 def distance(a: Column, b: Column, axes: str = "xy") -> Column:

@@ -55,8 +55,9 @@ def running_totals(df: DataFrame, keys: list[str] | None = None, ranges: int = R
     """
     keys = keys or []
     g = df.groupBy(*keys, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    edges = sorted(set(df.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.01)))  # at most `ranges` numbers
-    g = g.withColumn("range", sum((F.when(F.col("score") < e, 1).otherwise(0) for e in edges), F.lit(0)))
+    # the edges of the ranges are one row of fewer than `ranges` numbers; they read the exchange that g is made of
+    edges = g.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("_edges"))
+    g = g.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("_edges", lambda e: F.col("score") < e))).drop("_edges")
     top = F.max_by(F.struct("pos", "neg"), "score").alias("top")
     sums = g.groupBy(*keys, "range").agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"), top)
     order = Window.partitionBy(*keys).orderBy("range")  # at most `ranges` rows a key

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cosine, verdict
+from ..functions.geometry import cosine, norm, verdict
 from .enroll import best_match, require_enrolled
 
 #: Signatures that are broadcast to be compared with every probe: at most so many rows, else they are shuffled.
@@ -26,8 +26,10 @@ def verify_claims(claims: DataFrame, signatures: DataFrame, dims: int, threshold
 
 def identify(probes: DataFrame, signatures: DataFrame, dims: int) -> DataFrame:
     """key, best_identity, best_score of probes (key, e): every enrolled identity is compared, as one-to-many search means."""
-    pairs = probes.crossJoin(_close(signatures.select(F.col("identity").alias("claimed_identity"), "sig")))
-    scored = pairs.select("key", F.lit(None).cast("string").alias("true_identity"), "claimed_identity", cosine(F.col("e"), F.col("sig"), dims).alias("score"))
+    s = _close(signatures.select(F.col("identity").alias("claimed_identity"), "sig", norm(F.col("sig"), dims).alias("norm_sig")))
+    pairs = probes.select("key", "e", norm(F.col("e"), dims).alias("norm_e")).crossJoin(s)
+    score = cosine(F.col("e"), F.col("sig"), dims, F.col("norm_e"), F.col("norm_sig"))
+    scored = pairs.select("key", F.lit(None).cast("string").alias("true_identity"), "claimed_identity", score.alias("score"))
     return best_match(scored, "key").select("key", "best_identity", "best_score")
 
 

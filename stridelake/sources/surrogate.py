@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cosine
+from ..functions.geometry import cosine, norm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,10 @@ def small(df: DataFrame, most: int) -> DataFrame:
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, true_identity, claimed_identity, label, score: every vector against every identity's signature."""
     v = vectors(spark, sf_dir)
-    s = small(signatures(v).select(F.col("identity").alias("claimed_identity"), "sig"), BROADCAST_SIGNATURES)
-    pairs = v.crossJoin(s)
-    score = F.round(cosine(F.col("e"), F.col("sig"), 64), 9)
+    s = signatures(v).select(F.col("identity").alias("claimed_identity"), "sig", norm(F.col("sig"), 64).alias("norm_sig"))
+    few = v.select("identity").distinct().limit(BROADCAST_SIGNATURES + 1).count() <= BROADCAST_SIGNATURES
+    pairs = v.withColumn("norm_e", norm(F.col("e"), 64)).crossJoin(F.broadcast(s) if few else s)
+    score = F.round(cosine(F.col("e"), F.col("sig"), 64, F.col("norm_e"), F.col("norm_sig")), 9)
     return pairs.select("vec_id", F.col("identity").alias("true_identity"), "claimed_identity", (F.col("identity") == F.col("claimed_identity")).cast("int").alias("label"), score.alias("score"))
 
 
