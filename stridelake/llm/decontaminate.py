@@ -6,8 +6,12 @@ Seeds of benchmark items and of documents are equality-joined. Each hit names a
 position), and the overlap on it is verified word by word: the best stretch, at +1 for equal words and -2 for others,
 has to reach `min_score`.
 
+A stretch that scores 8 has, in some 8 words in a row, 6 or more that are equal (with at most 5 in each, m equal of n words
+could not reach 3 m = 2 n + 8), and each choice of 6 of 8 places holds all places of one of the masks; so every overlap
+that the verification accepts has a seed.
+
 The seeds of the benchmark are broadcast only where their counted number is at most BROADCAST_SEEDS; a larger benchmark
-is joined by shuffling document seeds, and documents meet their hits by id again. Items of fewer words than a mask spans
+is joined by shuffling document seeds, and documents meet their hits by id again. Items of fewer than `spaced_from` words
 are searched whole, as one seed of all their words; those of fewer than MIN_WORDS words are not searched. Null texts and
 texts without words have no seeds; null or repeated ids give links under that id; empty tables give no rows.
 """
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import text_key
 
-#: Word positions that count; 8 of 12 each.
-MASKS = ("111010011011", "110110101011", "101101100111")
+#: Word positions that count; 4 of 4 to 6 each.
+MASKS = ("1111", "11011", "110101", "110011")
 MIN_WORDS, MIN_SCORE = 5, 8
 #: Bound of a broadcast: about 100 MB of seeds.
 BROADCAST_SEEDS = 2_000_000
@@ -61,15 +65,17 @@ def _overlap(hits: DataFrame, min_score: int) -> DataFrame:
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, item_id, score, equal_words, first_word, item_words of each document and benchmark item that overlap."""
-    span = max(map(len, masks))
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS, spaced_from: int = 12) -> DataFrame:
+    """doc_id, item_id, score, equal_words, first_word, item_words of each document and benchmark item that overlap.
+
+    With spaced_from at MIN_WORDS items of every length have spaced seeds, and no overlap is missed.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") >= MIN_WORDS)
-    short = [r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < span).distinct().collect()]  # below one span: a bounded list
+    short = [r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < spaced_from).distinct().collect()]  # a bounded list
     usual, masks = len(masks), [*masks, *("1" * n for n in sorted(short))]
     seeds = _seeds(items.select("item_id", F.col("item_words").alias("words")), masks).withColumnsRenamed({"pos": "item_pos"}).withColumn("n", F.size("words"))
     # a solid mask is for the items of just its length, so that it adds no weaker seeds to others
-    fits = F.col("mask") < usual
+    fits = (F.col("mask") < usual) & (F.col("n") >= spaced_from)
     for k, n in enumerate(sorted(short)):
         fits |= (F.col("mask") == usual + k) & (F.col("n") == n)
     seeds = seeds.where(fits).select("item_id", "item_pos", "seed").distinct()

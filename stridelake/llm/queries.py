@@ -37,7 +37,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), spaced_from=MIN_WORDS)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
