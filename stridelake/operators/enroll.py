@@ -53,6 +53,12 @@ def enrolled_pairs(probes: DataFrame, people: DataFrame) -> DataFrame:
     return own.unionByName(other.select("key", "true_identity", "claimed_identity", F.lit(0).alias("label")))
 
 
+def next_in_ring(people: DataFrame) -> DataFrame:
+    """identity, next_identity: people, one row each, stand in a ring by name; the last one's next is the first."""
+    ring = Window.orderBy("identity")  # one row a person
+    return people.select("identity", F.coalesce(F.lead("identity").over(ring), F.first("identity").over(ring)).alias("next_identity"))
+
+
 def unenrolled(probes: DataFrame, people: DataFrame) -> DataFrame:
     return probes.join(people.select(F.col("identity").alias("claimed_identity")), "claimed_identity", "left_anti")
 

@@ -295,8 +295,9 @@ _VERDICT = f"""m AS (SELECT vec_id, true_identity, arg_max(claimed_identity, (sc
 
 def _claims(pairs: DataFrame) -> DataFrame:
     """Every other probe claims the next identity instead of its own."""
-    claim = F.when(F.col("vec_id") % 2 == 0, F.col("true_identity")).otherwise(((F.col("true_identity").cast("int") + 1) % 10).cast("string"))
-    return pairs.where(F.col("claimed_identity") == claim).select("vec_id", "claimed_identity", F.col("score").alias("own_score"))
+    ring = enroll.next_in_ring(pairs.select(F.col("true_identity").alias("identity")).distinct()).withColumnRenamed("identity", "true_identity")
+    claim = F.when(F.col("vec_id") % 2 == 0, F.col("true_identity")).otherwise(F.col("next_identity"))
+    return pairs.join(ring, "true_identity").where(F.col("claimed_identity") == claim).select("vec_id", "claimed_identity", F.col("score").alias("own_score"))
 
 
 @query(f"""WITH {q.SCORED}, {_VERDICT} SELECT cl.claimed_identity, CASE WHEN score > 0.4 THEN 'AUTHENTIC' WHEN top > 0.4 AND best <> cl.claimed_identity THEN 'IDENTITY_MISMATCH' ELSE 'SUSPECTED_FAKE' END AS verdict, count(*) AS n
@@ -311,7 +312,9 @@ def three_way_verdict(spark, sf):
 @query(f"""WITH {q.SCORED} SELECT a.vec_id, a.score AS own_score, b.score AS other_score, a.score - b.score > 0 AS own_wins FROM sp a JOIN sp b ON b.vec_id = a.vec_id AND b.claimed_identity = ((a.true_identity::INT + 1) % 10)::VARCHAR WHERE a.label = 1""")
 def dual_claim(spark, sf):
     p = scored_pairs(spark, sf)
-    own = p.where("label = 1").select("vec_id", F.col("score").alias("own_score"), ((F.col("true_identity").cast("int") + 1) % 10).cast("string").alias("claimed_identity"))
+    own = p.where("label = 1").select("vec_id", "true_identity", F.col("score").alias("own_score"))
+    ring = enroll.next_in_ring(p.select(F.col("true_identity").alias("identity")).distinct())
+    own = own.join(ring.select(F.col("identity").alias("true_identity"), F.col("next_identity").alias("claimed_identity")), "true_identity")
     return own.join(p.select("vec_id", "claimed_identity", F.col("score").alias("other_score")), ["vec_id", "claimed_identity"]).select("vec_id", "own_score", "other_score", (F.col("own_score") - F.col("other_score") > 0).alias("own_wins"))
 
 
@@ -618,8 +621,8 @@ def plateau_lr(spark, sf):
 def triplet_loss(spark, sf):
     v = vectors(spark, sf)
     s = signatures(v).select("identity", "sig")
-    other = s.select(((F.col("identity").cast("int") + 9) % 10).cast("string").alias("identity"), F.col("sig").alias("n"))
-    both = v.join(s.withColumnRenamed("sig", "p"), "identity").join(other, "identity")
+    both = v.join(s.withColumnRenamed("sig", "p"), "identity").join(enroll.next_in_ring(s.select("identity")), "identity")
+    both = both.join(s.select(F.col("identity").alias("next_identity"), F.col("sig").alias("n")), "next_identity")
     return both.select("vec_id", r6(geo.triplet_loss(F.col("e"), F.col("p"), F.col("n"), 64)).alias("loss"))
 
 
