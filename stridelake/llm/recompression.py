@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Odd multipliers of the two word hashes, and of the two window hashes.
-BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multipliers of the hash of a word, and of the two hashes of a stretch of words.
+BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Rounds of pairs; every RUN_EVERY-th begins by naming runs. An anchor is chosen among at least CHOICES symbols of a level.
-LEVELS, RUN_EVERY, CHOICES = 5, 3, 5
+LEVELS, RUN_EVERY, CHOICES = 3, 3, 5
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,20 +40,29 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in UTF-8 bytes, cut at U+0020 and U+0009 to U+000D."""
-    edge = np.diff(np.concatenate([[True], _BLANK[data], [True]]).view(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def word_spans(data: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in UTF-8 bytes, cut at U+0020 and U+0009 to U+000D; only block by block in full width."""
+    starts, ends, before = [], [], True
+    for at in range(0, len(data), block):
+        blank = _BLANK[data[at : at + block]]
+        edge = np.diff(np.concatenate([[before], blank]).view(np.int8))
+        starts.append(np.flatnonzero(edge == -1).astype(np.int64) + at)
+        ends.append(np.flatnonzero(edge == 1).astype(np.int64) + at)
+        before = bool(blank[-1])
+    if not before:
+        ends.append(np.array([len(data)]))
+    empty = [np.empty(0, np.int64)]
+    return np.concatenate(starts + empty), np.concatenate(ends + empty)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     if not len(starts):
         return np.empty(0, np.uint64)
     sizes = ends - starts
     inside = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
     inside[_BLANK[data]] = 0  # blanks count for nothing
-    value = (data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASES[which], int(sizes.max()) + 1)[inside]
+    value = (data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, int(sizes.max()) + 1)[inside]
     value[_BLANK[data]] = 0
     return mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -168,9 +177,3 @@ def _sums(hashes: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     base = WORD_BASES[which]
     p = powers(base, len(hashes) + 1)
     return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * p[:-1])]), powers(pow(base, -1, 1 << 64), len(hashes) + 1)
-
-
-def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int, which: int = 0) -> np.ndarray:
-    """64-bit hashes of the windows of words that begin at `starts`."""
-    total, back = _sums(hashes, which)
-    return mix((total[starts + window] - total[starts]) * back[starts], which + 50)

@@ -3,18 +3,22 @@
 A window is `window` consecutive words of one document. A word is removed if some window over it also starts in a document
 with a smaller doc_id. The plan, on the symbols that recompression.py names:
 
-1. Every document yields its runs of windows, each with the key of its anchor. Keys are grouped (min and max doc_id, summed
-   within tasks first); only those of two or more documents go on, and their runs are joined back.
-2. Runs of equal content are one: in all but the first of their documents every window is removed.
-3. Where a key has runs of different content, the windows of one occurrence of each are hashed and grouped, so that windows
-   that are shared only in part of a run are found; what is found for a run holds wherever its first document has it.
-4. The texts meet their removed windows again. The texts are shuffled once; both joins with them read that exchange.
+1. Every document yields its runs of windows, each with the key of its anchor and a hash of its content (saved once). Keys
+   are grouped (min and max doc_id, summed within tasks first); only the runs of those of two or more documents go on.
+2. Runs of equal content form a kind, and the first document that has it represents it. The texts of representatives are
+   read again: a kind gets the digest of its words, and where a key has several kinds, each of their windows does too.
+3. Windows are grouped by digest: those that are shared only in part of a run are found so, and what is found for a kind
+   holds wherever its digest is met.
+4. The texts meet their runs again. A run's windows are removed only if the digest of its own words is that of its kind: a
+   repeat rests on words (by BLAKE2b of 128 bits), never on the hashes that named it. The texts are shuffled once; both
+   joins with them read that exchange.
 
 Groups are only ever summed, and joined with one row per group on one side, so hot passages split; no pairs are made.
-Windows are equal when two 64-bit hashes of their words are, besides the key, which is a third.
 
-Defined cases: null text has no words; documents shorter than a window lose nothing; a null doc_id counts as larger than
-all others; rows that repeat, or share a doc_id, are treated alike and never as smaller than one another.
+Defined cases: null text has no words; documents shorter than a window, and those of an empty table, lose nothing; a null
+doc_id counts as larger than all others; rows that repeat, or share a doc_id, are treated alike and never as smaller than
+one another; texts are held whole, but worked on in pieces of PIECE bytes that overlap by all but a word of a window; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,30 +28,47 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import bounded, saved, shuffle_partitions
 
 LARGEST = (1 << 63) - 1
-#: Bytes of text that are taken together in a task.
-TOGETHER = 4 << 20
-RUNS = "d long, row int, p int, n int, key long, content long"
+#: Bytes of text that are taken together in a task, and of which a longer text has several pieces.
+PIECE = 512 << 10
+RUNS = "d long, row long, p int, n int, key long, content long"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     """doc_id, d (never null), row (tells rows with one doc_id apart), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("d"), F.hash(text).alias("row"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return bounded(rows).select("doc_id", F.coalesce("doc_id", F.lit(LARGEST)).alias("d"), F.xxhash64("text").alias("row"), "text")
 
 
-def _portions(sizes: list[int]):
-    """Ranges of consecutive texts of about TOGETHER bytes."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > TOGETHER:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
+def _pieces(raw: list[bytes], window: int):
+    """Lists of (text number, number of the piece's first word, bytes): about PIECE bytes, every window in one piece."""
+    import numpy as np
+
+    from .recompression import word_spans
+
+    held, size = [], 0
+    for i, text in enumerate(raw):
+        if size and size + len(text) > PIECE:
+            yield held
+            held, size = [], 0
+        if len(text) <= PIECE:
+            held.append((i, 0, text))
+            size += len(text)
+            continue
+        starts, ends = word_spans(np.frombuffer(text, np.uint8))
+        first = 0
+        while first + window <= len(starts):
+            last = max(int(np.searchsorted(ends, starts[first] + PIECE)), first + window)  # exclusive
+            last = min(last, len(starts))
+            yield [(i, first, text[starts[first] : ends[last - 1]])]
+            if last == len(starts):
+                break
+            first = last - window + 1
+    if held:
+        yield held
 
 
 def _hashed(raw: list[bytes]):
@@ -72,92 +93,126 @@ def runs(texts: DataFrame, window: int) -> DataFrame:
         from .recompression import window_runs
 
         for batch in batches:
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
             d, row = batch.column("d").to_numpy(), batch.column("row").to_numpy()
-            for a, b in _portions(list(map(len, raw))):
-                own, p, n, key, content = window_runs(*_hashed(raw[a:b]), window)
+            for pieces in _pieces(batch.column("text").cast(pa.binary()).to_pylist(), window):
+                own, p, n, key, content = window_runs(*_hashed([x[2] for x in pieces]), window)
                 if len(own):
-                    columns = (d[a + own], row[a + own], p.astype(np.int32), n.astype(np.int32), key.view(np.int64), content.view(np.int64))
+                    of, word0 = np.array([x[0] for x in pieces])[own], np.array([x[1] for x in pieces])[own]
+                    columns = (d[of], row[of], (word0 + p).astype(np.int32), n.astype(np.int32), key.view(np.int64), content.view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "row", "p", "n", "key", "content"])
 
     return texts.select("d", "row", "text").mapInArrow(run, RUNS)
 
 
-def _window_rows(window: int):
-    """Texts with their representative runs -> two hashes of every window of those runs."""
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _spans(text: bytes):
+    import numpy as np
+
+    from .recompression import word_spans
+
+    return word_spans(np.frombuffer(text, np.uint8))
+
+
+def _digests(window: int):
+    """Texts with the kinds that they represent -> each kind's digest (nth null), and with it its windows' where asked for."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        from .recompression import window_hashes
 
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        names = ("key", "content", "d", "nth", "digest", "part")
         for batch in batches:
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            d, own = pc.fill_null(batch.column("doc_id"), LARGEST).to_numpy(), batch.column("own").to_pylist()
-            for a, b in _portions(list(map(len, raw))):
-                hashes, sizes = _hashed(raw[a:b])
-                word0 = np.cumsum(sizes) - sizes
-                at = np.array([r["p"] + word0[i - a] for i in range(a, b) for r in own[i]], np.int64)
-                count = np.array([r["n"] for i in range(a, b) for r in own[i]], np.int64)
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(at, count) + nth
-                wide = lambda values, t=np.int64: np.repeat(np.array(values, t), count)
-                columns = {
-                    "w1": window_hashes(hashes, start, window, 0).view(np.int64),
-                    "w2": window_hashes(hashes, start, window, 1).view(np.int64),
-                    "d": wide([d[i] for i in range(a, b) for _ in own[i]]),
-                    "key": wide([r["key"] for i in range(a, b) for r in own[i]]),
-                    "content": wide([r["content"] for i in range(a, b) for r in own[i]]),
-                    "nth": nth.astype(np.int32),
-                }
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+            rows = []
+            for d, text, own in zip(batch.column("d").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("own").to_pylist()):
+                text = text.as_py()
+                starts, ends = _spans(text)
+                for r in own:
+                    p, n = r["p"], r["n"]
+                    words = text[starts[p] : ends[p + n + window - 2]].split()
+                    kind = (r["key"], r["content"], d)
+                    rows.append((*kind, None, whole := _digest(words), None))
+                    if r["several"]:
+                        rows += [(*kind, k, whole, _digest(words[k : k + window])) for k in range(n)]
+                    if len(rows) > 4000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return run
 
 
 def removed_windows(texts: DataFrame, exchanged: DataFrame, window: int) -> DataFrame:
-    """d, row, gone (array of first start, number of windows, bits of those removed): per text with removed windows."""
+    """d, row, gone (array of first start, number of windows, bits of those removed, digest): per text with removed windows."""
 
     def apart(groups: DataFrame) -> DataFrame:
         """Groups dealt out evenly, so that a join with their rows has exchanges of its own on both sides and hot keys split."""
         return groups.repartition(shuffle_partitions(texts.sparkSession))
 
-    found = runs(texts, window)  # made twice: for the keys, and for the runs of those that are shared
+    found = saved(runs(texts, window), "runs")
     shared = apart(found.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key"))
     matched = saved(found.join(shared, "key"), "matched-runs")
-    kinds = matched.groupBy("key", "content").agg(F.min(F.struct("d", "row", "p")).alias("rep"), F.max("n").alias("n"))
-    several = apart(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key"))
-    reps = kinds.join(several, "key").select("rep.d", "rep.row", F.struct("key", "content", F.col("rep.p").alias("p"), "n").alias("run"))
+    kinds = matched.groupBy("key", "content").agg(F.min(F.struct("d", "row", "p")).alias("rep"), F.max("n").alias("n"), F.max("d").alias("high"))
+    several = apart(kinds.groupBy("key").agg((F.count("*") > 1).alias("several")))
+    # a kind of one document only matters for the windows that it shares with other kinds
+    reps = kinds.join(several, "key").where(F.col("several") | (F.col("rep.d") < F.col("high")))
+    reps = reps.select("rep.d", "rep.row", F.struct("key", "content", F.col("rep.p").alias("p"), "n", "several").alias("run"))
     reps = reps.groupBy("d", "row").agg(F.collect_list("run").alias("own"))  # no more than the document has runs
     # the same columns as in the last join, so that Spark reads the same exchange
-    rows = exchanged.join(reps.hint("shuffle_hash"), ["d", "row"]).select("doc_id", "text", "own").mapInArrow(_window_rows(window), "w1 long, w2 long, d long, key long, content long, nth int")
-    least = apart(rows.groupBy("w1", "w2").agg(F.min("d").alias("least")))
-    partly = rows.join(least, ["w1", "w2"]).where("least < d").groupBy("key", "content").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("bits"))
-    first = kinds.select("key", "content", F.col("rep.d").alias("first")).join(partly, ["key", "content"], "left")
-    gone = matched.join(apart(first), ["key", "content"]).select("d", "row", "p", "n", F.when(F.col("d") > F.col("first"), F.lit(-1)).otherwise(F.col("bits")).alias("bits"))
-    return gone.where("bits is not null").groupBy("d", "row").agg(F.collect_list(F.struct("p", "n", "bits")).alias("gone"))
-
-
-def _cover(n_words: int, gone, window: int):
-    """Which words a text's removed windows cover."""
+    rows = exchanged.join(reps.hint("shuffle_hash"), ["d", "row"]).select("d", "text", "own").mapInArrow(_digests(window), "key long, content long, d long, nth int, digest binary, part binary")
+    rows = saved(rows, "digests")
+    windows = rows.where("nth is not null")
+    least = apart(windows.groupBy("part").agg(F.min("d").alias("least")))
+    partly = windows.join(least, "part").where("least < d").groupBy("key", "content", "digest").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("bits"))
+    whole = rows.where("nth is null").groupBy("key", "content", "digest").agg(F.min("d").alias("first"))
+    first = whole.join(partly, ["key", "content", "digest"], "left")
+    bits = F.when(F.col("d") > F.col("first"), F.lit(-1)).otherwise(F.col("bits"))
+    gone = matched.join(apart(first), ["key", "content"]).select("d", "row", "p", "n", bits.alias("bits"), "digest")
+    return gone.where("bits is not null").groupBy("d", "row").agg(F.collect_list(F.struct("p", "n", "bits", "digest")).alias("gone"))
+
+
+def _cover(text: bytes, starts, ends, gone, window: int):
+    """Which words the removed windows cover, of runs whose words have the digest of their kind."""
     import numpy as np
 
-    edge = np.zeros(n_words + 1, np.int64)
-    for r in gone or ():
-        bits, n = r["bits"], r["n"]
+    edge = np.zeros(len(starts) + 1, np.int32)
+    for r in gone:
+        p, bits, n = r["p"], r["bits"], r["n"]
+        if p + n + window - 1 > len(starts) or _digest(text[starts[p] : ends[p + n + window - 2]].split()) != r["digest"]:
+            continue
         if bits == -1:
-            edge[r["p"]] += 1
-            edge[r["p"] + n + window - 1] -= 1
+            edge[p] += 1
+            edge[p + n + window - 1] -= 1
         else:
             for k in range(n):
                 if bits >> k & 1:
-                    edge[r["p"] + k] += 1
-                    edge[r["p"] + k + window] -= 1
+                    edge[p + k] += 1
+                    edge[p + k + window] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
+def _kept_parts(text: bytes, gone, window: int):
+    """Number of words, number removed, and the kept words in parts (joined by single spaces, to be joined by one again)."""
+    import numpy as np
+
+    if not gone and len(text) <= PIECE:
+        words = text.split()
+        return len(words), 0, [b" ".join(words)] if words else []
+    starts, ends = _spans(text)
+    cover = _cover(text, starts, ends, gone or (), window)
+    turns = np.flatnonzero(np.diff(np.r_[True, cover, True].astype(np.int8)))
+    parts = []
+    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
+        while a < b:
+            to = min(b, max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE))))
+            parts.append(b" ".join(text[starts[a] : ends[to - 1]].split()))
+            a = to
+    return len(starts), int(cover.sum()), parts
+
+
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256: words cut at U+0020 and U+0009 to U+000D, kept ones joined by a space."""
     return _kept(docs, window, True)
@@ -175,23 +230,27 @@ def _kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+        def batch_of(rows):
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays([*arrays[:4], *(a.cast(pa.string()) for a in arrays[4:])], names=names)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = []
-                for text, gone in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("gone").to_pylist()):
-                    words = text.split()
-                    n = len(words)
-                    if gone:
-                        words = [w for w, c in zip(words, _cover(n, gone, window).tolist()) if not c]
-                    kept = b" ".join(words)
-                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                n, removed, sha, kept = zip(*out)
-                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    columns, names = [*columns, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows, size = [], 0
+            for doc_id, text, gone in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("gone")):
+                n, removed, parts = _kept_parts(text.as_py(), gone.as_py(), window)
+                sha = hashlib.sha256()
+                for k, part in enumerate(parts):
+                    sha.update(b" " * bool(k) + part)
+                rows.append((doc_id, n, removed, sha.hexdigest(), *([b" ".join(parts)] * with_text)))
+                size += with_text * sum(map(len, parts))
+                if len(rows) == 1000 or size > PIECE:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
 
     texts = _texts(docs)
     exchanged = texts.repartition(shuffle_partitions(docs.sparkSession), "d", "row")

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from data import edge_docs, frame
+from pyspark.sql import functions as F
 
 from stridelake.llm import recompression, substring_dedup
 
@@ -86,3 +87,68 @@ def test_equal_windows_have_equal_keys():
                 keys.setdefault(tuple(parts[o][q : q + 50]), set()).add(int(k))
         assert {len(v) for v in keys.values()} == {1}
         assert n.sum() == sum(len(x) - 49 for x in parts)
+
+
+def test_words_are_cut_alike_in_blocks():
+    data = np.frombuffer(b" a  bb\tccc\x0b\n d" * 7, np.uint8)
+    whole = recompression.word_spans(data)
+    for block in (1, 2, 3, 5, 16):
+        assert all((a == b).all() for a, b in zip(whole, recompression.word_spans(data, block)))
+    assert all(len(x) == 0 for x in recompression.word_spans(data[:0]))
+
+
+def test_equal_keys_without_equal_words_remove_nothing(spark, monkeypatch):
+    """All windows named alike: the digests of words still tell them apart."""
+    docs = hard_docs(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def one_name(texts, window):
+        real = runs(texts, window)
+        return real.selectExpr("d", "row", "p", "n", "key % 3 as key", "content % 5 as content")
+
+    runs = substring_dedup.runs
+    monkeypatch.setattr(substring_dedup, "runs", one_name)
+    rows = {r.doc_id: r for r in substring_dedup.substring_digests(df, 7).collect() if r.doc_id is not None}
+    want = {}
+    for line in by_hand(docs, 7):
+        i, _, removed, _ = eval(line)
+        want.setdefault(i, []).append(removed)
+    assert all(r.n_removed <= max(want[i]) for i, r in rows.items())
+
+
+def test_rows_without_id_whose_keys_collide(spark, monkeypatch):
+    passage = " ".join(f"a{k}" for k in range(60))
+    docs = [(1, passage), (None, "x " * 20 + passage + " y" * 21), (None, " ".join(f"b{k}" for k in range(101)))]
+    texts = substring_dedup._texts
+    monkeypatch.setattr(substring_dedup, "_texts", lambda docs: texts(docs).withColumn("row", F.lit(7).cast("long")))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(repr(tuple(r)) for r in substring_dedup.substring_digests(df).collect())
+    assert got == by_hand(docs, 50)
+
+
+def test_long_texts_and_hot_passages(spark, monkeypatch):
+    """A text of many pieces, its copy at another place, and one passage that most documents hold."""
+    rng = random.Random(11)
+    hot = " ".join(f"h{k}" for k in range(70))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40_000))
+    docs = [(5, long), (9, "some words before " + long[5000:] + " and after"), (2, hot + " " + " ".join(long.split()[777:900]))]
+    docs += [(100 + k, f"u{k} " * 3 + hot + f" v{k}") for k in range(300)] + [(7, hot)] * 50
+    monkeypatch.setattr(substring_dedup, "PIECE", 10_000)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(repr(tuple(r)) for r in substring_dedup.substring_digests(df).collect())
+    assert got == by_hand(docs, 50)
+
+
+def test_one_giant_text(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{x}" for x in range(50_000)]
+    giant = " ".join(words[i] for i in rng.integers(0, 50_000, 3_400_000))
+    assert len(giant) > 30_000_000
+    docs = [(2, giant), (1, " ".join(giant[10_000_000:10_002_000].split()[1:-1]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.substring_digests(df).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == got[1].n_words and got[2].n_words == 3_400_000
+    kept = giant.split()
+    at = next(i for i in range(len(kept)) if kept[i : i + 5] == docs[1][1].split()[:5])
+    del kept[at : at + got[1].n_words]
+    assert hashlib.sha256(" ".join(kept).encode()).hexdigest() == got[2].kept_sha256
