@@ -13,7 +13,9 @@ that the verification accepts has a seed.
 The seeds of the benchmark are broadcast only where their counted number is at most BROADCAST_SEEDS; a larger benchmark
 is joined by shuffling document seeds, and documents meet their hits by id again. Items of fewer than `spaced_from` words
 are searched whole, as one seed of all their words; those of fewer than MIN_WORDS words are not searched. Null texts and
-texts without words have no seeds; null or repeated ids give links under that id; empty tables give no rows.
+texts without words have no seeds; null or repeated ids give links under that id, one a document id and item, of equal
+scores the first place; very long texts have seeds all over; empty tables give no rows; extra columns are ignored by
+contaminated and kept unchanged by decontaminate, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import columns_of, fresh, saved, small, text_key
 
 #: Word positions that count; 4 of 4 to 6 each.
 MASKS = ("1111", "11011", "110101", "110011")
@@ -92,7 +94,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCO
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that overlap no benchmark item, with all columns; rows are told apart by id and text."""
+    """The rows of docs that overlap no benchmark item, with all columns unchanged; rows are told apart by id and text."""
     row = F.xxhash64(F.col("doc_id").cast("long"), text_key())
-    leaks = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.withColumn("_row", row).join(leaks, F.col("_row") == F.col("_leaked"), "left_anti").select(docs.columns)
+    leaks = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, **options)
+    own, leaked = fresh(docs, "own", "leaked")
+    leaks = small(saved(leaks.select(F.col("doc_id").alias(leaked)).distinct(), "leaks"))
+    return docs.withColumn(own, row).join(leaks, F.col(own) == F.col(leaked), "left_anti").select(columns_of(docs))

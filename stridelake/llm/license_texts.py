@@ -1,4 +1,9 @@
-"""Known licence texts and one-line licence notices, which documents are compared with."""
+"""Known licence texts and one-line licence notices, which documents are compared with.
+
+Longer texts are the published ones, in the files of `license_data`; a file's name is the licence's.
+"""
+
+from importlib.resources import files
 
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
@@ -43,6 +48,50 @@ Permission is granted to anyone to use this software for any purpose, including
 """,
 }
 
+TEXTS["0BSD"] = """BSD Zero Clause License
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+""" + TEXTS["ISC"].split("\n\n")[-1]
+TEXTS["Unlicense"] = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
+TEXTS["BSL-1.0"] = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+TEXTS |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files(__package__).joinpath("license_data").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+#: First lines that a copy may leave out, and lines after which guidance may follow or be left out.
+TITLES = ("MIT License", "ISC License", "BSD 2-Clause License", "BSD 3-Clause License", "BSD Zero Clause License", "zlib License")
+ENDS = ("END OF TERMS AND CONDITIONS",)
+
+
+def editions(text: str) -> list[str]:
+    """The text with and without its title line, and with and without what follows its end; none twice."""
+    found = [text]
+    for title in TITLES:
+        if text.startswith(title + "\n"):
+            found.append(text[len(title) :])
+    for end in ENDS:
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip() == end]
+        if at:
+            found += ["\n".join(lines[: at[-1] + 1]), "\n".join(lines[: at[-1]])]
+    return found
+
+
 #: Licence -> one-line notices.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License");'],

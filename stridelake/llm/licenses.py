@@ -1,12 +1,17 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
 Canonical form of a line: lower case; nothing where it is a copyright line; equivalent spellings made one; every run of
-other characters than letters and digits one space. The canonical text is its non-empty lines joined by a space. Entire
-texts, and entire lines for one-line notices, are hash-joined with the digests of known licences (a constant table of
-less than a hundred rows, so it is broadcast).
+other characters than letters and digits one space. The canonical text is its non-empty lines joined by a space, so line
+breaks do not count. Digests of entire texts are hash-joined with those of known licences (a constant table of less than a
+hundred rows, so it is broadcast); entire lines are looked up among one-line notices in a constant map. Each row is read
+once and nothing is shuffled.
 
-Defined cases: a null text is empty; a text without words has the digest of the empty string and no licence; null ids
-and repeated rows give a row each; extra columns are ignored.
+Known texts are those of license_texts.TEXTS (22 licences; each with and without its title line and the guidance after its
+end) and notices those of NOTICES; both are parameters.
+
+Defined cases: a null text is empty; a text without words has the digest of the empty string and no licence; null ids and
+repeated rows give a row each; of two licences with one canonical text the name that sorts first is given; very long texts
+are taken whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import NOTICES, SPELLINGS, TEXTS, editions
 
-COPYRIGHT_LINE = r"^[\s#*/;-]*(copyright|\(c\)|©|all rights reserved).*"
+#: A line that states a copyright, not one that only begins with the word.
+COPYRIGHT_LINE = r"^[\s#*/;-]*(copyright[\s:]*(\(c\)|©|[0-9]|\[|<|by )|\(c\) *(copyright|[0-9])|©|all rights reserved).*"
 
 
 def canonical_line(line: Column) -> Column:
@@ -34,33 +40,40 @@ def _digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> tuple[DataFrame, DataFrame]:
-    """(digest, license_id) of entire texts, and (digest, number) of one-line notices; numbers follow the sorted names."""
-    whole = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
-    whole = whole.select(_digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("text_digest"), "license_id")
-    lines = spark.createDataFrame([(n, line) for n, name in enumerate(sorted(notices)) for line in notices[name]], "number int, text string")
-    return whole, lines.select(_digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("line_digest"), "number").distinct()
+def _constants(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """name, text of a constant list, as literals."""
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in rows])))
+
+
+def known_digests(spark: SparkSession, texts: dict[str, str] = TEXTS) -> DataFrame:
+    """text_digest, license_id of entire texts, in all their editions."""
+    rows = _constants(spark, [(n, t) for n in sorted(texts) for t in editions(texts[n])])
+    digests = rows.select(_digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("text_digest"), F.col("name").alias("license_id"))
+    return digests.groupBy("text_digest").agg(F.min("license_id").alias("license_id"))
+
+
+def known_lines(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) -> dict[str, int]:
+    """Canonical line -> bits of the notices (by their sorted names) that it is."""
+    names = sorted(notices)
+    rows = _constants(spark, [(n, x) for n in names for x in notices[n]])
+    found: dict[str, int] = {}
+    for r in rows.select("name", F.array_join(canonical_lines(F.col("text")), " ").alias("line")).collect():  # the constant list
+        found[r.line] = found.get(r.line, 0) | 1 << names.index(r.name)
+    return found
 
 
 def license_scan(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     """doc_id, text_digest, license_id (of the entire text), notices (sorted, comma-joined), notice_lines: one row per row."""
     if len(notices) > 62:
         raise ValueError("at most 62 kinds of notices")
-    whole, lines = known_digests(docs.sparkSession, texts, notices)
-    rows = docs.select(F.col("doc_id").cast("long"), canonical_lines(F.col("text")).alias("lines"))
-    rows = rows.select("doc_id", "lines", _digest(F.array_join("lines", " ")).alias("text_digest"))
-    # found lines are counted per text, so copies of a text and repeated ids share one row here
-    found = (
-        rows.select("text_digest", "doc_id", F.explode("lines").alias("line"))
-        .select("text_digest", "doc_id", _digest(F.col("line")).alias("line_digest"))
-        .join(F.broadcast(lines), "line_digest")
-        .groupBy(F.col("doc_id").alias("found_id"), F.col("text_digest").alias("found_digest"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("bits"), F.count("*").alias("hits"))
-    )
-    copies = rows.groupBy("doc_id", "text_digest").agg(F.count("*").alias("copies"))
-    joined = copies.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_digest") == F.col("found_digest")), "left")
-    joined = joined.join(F.broadcast(whole), "text_digest", "left")
-    names = F.concat_ws(",", *[F.when(F.col("bits").bitwiseAND(F.lit(1 << n)) != 0, F.lit(name)) for n, name in enumerate(sorted(notices))])
-    hits = F.coalesce(F.expr("hits div copies"), F.lit(0)).cast("long")
-    row = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return joined.select("doc_id", "text_digest", "license_id", names.alias("notices"), hits.alias("notice_lines"), row.alias("nth")).drop("nth")
+    known = known_lines(docs.sparkSession, notices)
+    whole = known_digests(docs.sparkSession, texts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text").cast("string")).alias("lines"))
+    texts_, bits = F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values()))
+    # a notice's line is found among few; most lines end this filter
+    hits = F.filter("lines", lambda x: F.array_contains(texts_, x)) if known else F.array().cast("array<string>")
+    rows = rows.select("doc_id", _digest(F.array_join("lines", " ")).alias("text_digest"), hits.alias("hits"))
+    mask = F.aggregate("hits", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.element_at(bits.cast("array<long>"), F.array_position(texts_, x).cast("int")))) if known else F.lit(0).cast("long")
+    rows = rows.select("doc_id", "text_digest", mask.alias("mask"), F.size("hits").cast("long").alias("notice_lines"))
+    names = F.concat_ws(",", *[F.when(F.col("mask").bitwiseAND(F.lit(1 << n)) != 0, F.lit(name)) for n, name in enumerate(sorted(notices))])
+    return rows.join(F.broadcast(whole), "text_digest", "left").select("doc_id", "text_digest", "license_id", names.alias("notices"), "notice_lines")

@@ -4,12 +4,15 @@ Every line is good or bad. Its features are shares of kinds of characters, repea
 the line, the same of its neighbouring lines, and a bias; a 2 x 2 table scores the labels of adjacent lines. A document's
 score is the mean, weighted by line length, of its lines' forward-backward marginals of being good.
 
-The model is fit here, on a bounded sample: the SAMPLE_ROWS labelled rows of each class with the smallest hash of doc_id,
-whose lines take their document's label. Only its features and labels reach the driver.
-
-Defined cases: a null or empty text is one empty line; null labels are not learned from; with labels of one class or none
-every score is the mean label (0.5 without labels); scores do not depend on ids, so null or repeated ids are scored alike;
-other columns are ignored.
+The model is fit here, on a bounded sample: the SAMPLE_ROWS labelled documents of each class with the smallest hash of
+doc_id, of each a stretch of SAMPLE_LINES lines at a place that its hash picks, which take their document's label. Only
+their features and labels reach the driver: at most 2 * SAMPLE_ROWS * SAMPLE_LINES lines (43 MB as numbers of 4 bytes).
+
+Defined cases: a null or empty text is one empty line; null labels are not learned from; an id with several labels counts
+as good if one of them is; of several rows with a labelled id the one with the least text hash is learned from; with labels
+of one class or none every score is the mean label (0.5 without labels); scores do not depend on ids, so null or repeated
+ids and rows are scored alike; very long texts are scored whole, SCORED characters of texts at a time or one text; an empty
+table gives no rows; extra columns are ignored by quality and kept unchanged by keep_good, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded
 
-#: Bound of the training sample: labelled rows of each class.
-SAMPLE_ROWS = 1500
+#: Bounds of the training sample: labelled documents of each class, and lines of each.
+SAMPLE_ROWS, SAMPLE_LINES = 1500, 256
+#: Characters of texts whose lines are held at once.
+SCORED = 1 << 20
 ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
 
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -107,35 +112,46 @@ class LineCrf:
         return (np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)).tolist() if len(texts) else []
 
 
-def fit(samples: list[tuple[list[list[float]], int]]) -> LineCrf:
-    """Weights of the largest class-balanced conditional likelihood with a ridge, by adaptive gradient steps."""
+def gradient(x, y, w, sizes, theta, table):
+    """Gradient of the weighted conditional log likelihood by feature weights and by the table of adjacent labels."""
+    import numpy as np
+
+    starts = np.cumsum(sizes) - sizes
+    last = np.zeros(len(x), bool)
+    last[starts + sizes - 1] = True
+    pairs = np.flatnonzero(~last)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[pairs], y[pairs + 1]), w[pairs])
+    e = x @ theta
+    alpha, beta = marginals(e, sizes, table)
+    good = 1 / (1 + np.exp(-np.clip(alpha + beta, -500, 500)))
+    a, b = alpha[pairs], e[pairs + 1] + beta[pairs + 1]
+    joint = np.stack([np.full_like(a, table[0, 0]), table[0, 1] + b, a + table[1, 0], a + table[1, 1] + b])
+    joint = np.exp(joint - joint.max(axis=0))
+    joint /= joint.sum(axis=0)
+    return x.T @ (w * (y - good)), seen - (joint @ w[pairs]).reshape(2, 2)
+
+
+def fit(samples: list) -> LineCrf:
+    """Weights of the largest class-balanced conditional likelihood with a ridge, by adaptive gradient steps.
+
+    samples: (features of the lines, label) of each document.
+    """
     import numpy as np
 
     labels = np.array([y for _, y in samples], np.int64)
     if len(set(labels.tolist())) < 2:
         return LineCrf([], [], float(labels.mean()) if len(labels) else 0.5)
     sizes = np.array([len(x) for x, _ in samples], np.int64)
-    x = design([f for own, _ in samples for f in own], sizes)
+    x = design(np.concatenate([np.asarray(own, np.float64).reshape(-1, N_OWN) for own, _ in samples]), sizes)
     # a document weighs the same whatever its lines, and a class the same whatever its documents
     share = 1 / (2 * np.bincount(labels)[labels] * sizes)
     y, w = np.repeat(labels, sizes), np.repeat(share, sizes)
-    starts = np.cumsum(sizes) - sizes
-    last = np.zeros(len(x), bool)
-    last[starts + sizes - 1] = True
-    pairs = np.flatnonzero(~last)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[pairs], y[pairs + 1]), w[pairs])
     theta, table = np.zeros(x.shape[1]), np.zeros((2, 2))
     moments = [np.zeros(theta.size + 4), np.zeros(theta.size + 4)]
     for k in range(1, ROUNDS + 1):
-        e = x @ theta
-        alpha, beta = marginals(e, sizes, table)
-        good = 1 / (1 + np.exp(-np.clip(alpha + beta, -500, 500)))
-        a, b = alpha[pairs], e[pairs + 1] + beta[pairs + 1]
-        joint = np.stack([np.full_like(a, table[0, 0]), table[0, 1] + b, a + table[1, 0], a + table[1, 1] + b])
-        joint = np.exp(joint - joint.max(axis=0))
-        joint /= joint.sum(axis=0)
-        g = np.r_[x.T @ (w * (y - good)), (seen - (joint @ w[pairs]).reshape(2, 2)).ravel()] - RIDGE * np.r_[theta, table.ravel()]
+        by_weight, by_table = gradient(x, y, w, sizes, theta, table)
+        g = np.r_[by_weight, by_table.ravel()] - RIDGE * np.r_[theta, table.ravel()]
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.999 * moments[1] + 0.001 * g * g
         step = RATE * moments[0] / (1 - 0.9**k) / (np.sqrt(moments[1] / (1 - 0.999**k)) + 1e-9)
@@ -148,24 +164,49 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LineCrf:
-    """Fit on at most sample_rows labelled documents of each class, none of them held out."""
-    usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES) -> DataFrame:
+    """doc_id, label, own (features of at most sample_lines lines, as bytes of 4-byte numbers): one row a sampled document."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = usable.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = usable.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).union(usable.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
 
     def features(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            own = [document_lines(t or "")[0] for t in batch.column("text").to_pylist()]
-            flat = [[f for line in doc for f in line] for doc in own]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(flat, pa.list_(pa.float32()))], names=["doc_id", "label", "own"])
+            own = []
+            for text, place in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist()):
+                lines = (text or "").split("\n")
+                a = place % (len(lines) - sample_lines + 1) if len(lines) > sample_lines else 0
+                own.append(np.array([line_features(x) for x in lines[a : a + sample_lines]], np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], names=["doc_id", "label", "own"])
 
     # the sample has at most 2 * sample_rows ids, so its broadcast and what comes back are bounded by that parameter
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, own array<float>")
-    found = sorted((r.doc_id, list(r.own), r.label) for r in rows.collect())
-    return fit([([own[i : i + N_OWN] for i in range(0, len(own), N_OWN)], label) for _, own, label in found])
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    placed = one.select("doc_id", "label", "row.text", F.pmod("row.hash", F.lit(1 << 31)).alias("place"))
+    return placed.mapInArrow(features, "doc_id long, label int, own binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES) -> LineCrf:
+    """Fit on at most sample_rows labelled documents of each class, none of them held out."""
+    import numpy as np
+
+    found = sorted(tuple(r) for r in sample(docs, labels, sample_rows, sample_lines).collect())
+    return fit([(np.frombuffer(own, np.float32).reshape(-1, N_OWN), label) for _, label, own in found])
+
+
+def _portions(texts: list[str]):
+    """Ranges of texts of about SCORED characters."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t) > SCORED:
+            yield a, i
+            a, size = i, 0
+        size += len(t)
+    if a < len(texts):
+        yield a, len(texts)
 
 
 def score(docs: DataFrame, model: LineCrf) -> DataFrame:
@@ -175,28 +216,28 @@ def score(docs: DataFrame, model: LineCrf) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = model.scores([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            got = [s for a, b in _portions(texts) for s in model.scores(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score reaches the threshold; all columns kept, no shuffle."""
-    schema = docs.schema
+    at = docs.columns.index("text")
+    plain = bounded(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any characters
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = model.scores([t or "" for t in part.column("text").to_pylist()])
-                yield part.filter(pa.array([s >= threshold for s in got]))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            got = [s >= threshold for a, b in _portions(texts) for s in model.scores(texts[a:b])]
+            yield batch.filter(pa.array(got, pa.bool_()))
 
-    return bounded(docs).mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

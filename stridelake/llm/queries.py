@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import MASKS, MIN_SCORE, MIN_WORDS, contaminated
 from .exact_dedup import exact_dedup
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import NOTICES, SPELLINGS, TEXTS, editions
 from .licenses import COPYRIGHT_LINE, license_scan
 from .quality_crf import quality
 from .sentencepiece_scan import encode
@@ -98,11 +98,11 @@ def _license_sql() -> str:
         line = f"replace({line}, '{spelling}', '{kept}')"
     line = rf"trim(regexp_replace({line}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line}), lambda x: x <> '')"
-    texts = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEXTS.items())
+    texts = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, own in TEXTS.items() for t in editions(own))
     notices = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, own in NOTICES.items() for t in own)
     return f"""
         WITH d AS (SELECT doc_id, {lines} AS lines FROM documents),
-        known AS (SELECT license_id, sha256(array_to_string({lines}, ' ')) AS text_digest FROM (VALUES {texts}) AS t(license_id, text)),
+        known AS (SELECT min(license_id) AS license_id, sha256(array_to_string({lines}, ' ')) AS text_digest FROM (VALUES {texts}) AS t(license_id, text) GROUP BY 2),
         notice AS (SELECT DISTINCT name, array_to_string({lines}, ' ') AS line FROM (VALUES {notices}) AS t(name, text)),
         found AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(*) AS notice_lines
                   FROM (SELECT doc_id, unnest(lines) AS line FROM d) JOIN notice USING (line) GROUP BY doc_id)

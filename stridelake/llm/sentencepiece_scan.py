@@ -8,14 +8,15 @@ themselves, and a sequence of pieces is the encoding exactly if all its adjacent
 piece and -infinity for a pair that is not, the encoding is the one path that a max-plus product keeps:
 
 1. each chunk yields its transfer matrix from boundary states at its start to those at its end;
-2. the matrices of a document are combined (max-plus product is associative) from both ends, which fixes the state at
-   every cut;
+2. the matrices of a document are combined pairwise, in log rounds (max-plus product is associative), from both ends, which
+   fixes the state at every cut;
 3. each chunk is backtraced on its own between the states at its two ends.
 
 Inside a chunk only the parts of units at its ends need the dynamic program, unless one unit fills it.
 
 Decoding gives the text back; only U+2581, which the model takes for a space, comes back as a space. Null text is empty
-and has no ids; null or repeated ids and rows are encoded row by row; other columns are ignored.
+and has no ids; null or repeated ids and rows are encoded row by row; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -284,17 +285,24 @@ def _transfers(model: str):
     return run
 
 
+def products(matrices: list) -> list:
+    """Max-plus products of all prefixes: neighbours are combined pairwise, in as many rounds as the logarithm of their number."""
+    if len(matrices) < 2:
+        return matrices
+    pairs = products([product(a, b) for a, b in zip(matrices[::2], matrices[1::2])])
+    out = [matrices[0]]
+    for i in range(1, len(matrices)):
+        out.append(pairs[i // 2] if i % 2 else product(pairs[i // 2 - 1], matrices[i]))
+    return out
+
+
 def _states(rows: list[dict]) -> list[dict]:
     """The state at every cut of one document, from its chunks' matrices in order."""
     import numpy as np
 
     matrices = [np.array(r["matrix"]).reshape(len(r["ins"]), len(r["outs"])) for r in rows]
-    ahead = [np.zeros((1, 1))]
-    for m in matrices:
-        ahead.append(product(ahead[-1], m))
-    behind = [np.zeros((1, 1))]
-    for m in reversed(matrices):
-        behind.append(product(m, behind[-1]))
+    ahead = [np.zeros((1, 1)), *products(matrices)]
+    behind = [np.zeros((1, 1)), *(m.T for m in products([m.T for m in reversed(matrices)]))]
     best = [int(np.argmax(a.ravel() + b.ravel())) for a, b in zip(ahead, behind[::-1])]
     return [{"uid": r["uid"], "k": r["k"], "enter": r["ins"][i], "leave": r["outs"][j]} for r, i, j in zip(rows, best, best[1:])]
 

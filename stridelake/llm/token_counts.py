@@ -8,9 +8,11 @@ A document is encoded once, as a whole; its tokens' character spans are interval
 * "split": to every section, in proportion to its characters.
 
 Tokens outside all sections are counted in a row with section null, so counts of a document always add up to its tokens.
-Sections are its lines (with their line feed), or the column `spans` (array of struct<name, start, end>, in order and
-disjoint) where docs has one; `fields_as_sections` makes it of several text columns. Null text is empty and has one empty
-section; repeated rows are attributed each on its own; other columns are ignored.
+Sections are its lines (with their line feed), or those of the column that `spans` names (array of struct<name, start,
+end>, in order and disjoint); `fields_as_sections` makes one of several text columns. Of equal shares the first section
+wins. Null text is empty and has one empty section; null spans are none; null ids and repeated rows are attributed each on
+its own; very long texts are encoded whole, PORTION characters of texts at a time or one text; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .unit_encoder import unit_encoder
 
+#: Characters of texts whose tokens are held at once.
+PORTION = 1 << 19
 SECTION = "doc_id long, section int, name string, start_char int, end_char int, n_tokens double, n_crossing long, doc_tokens long"
 RULES = ("majority", "first", "split")
 
@@ -38,6 +43,20 @@ def line_spans(text: str):
     return np.r_[0, ends[:-1]], ends
 
 
+def portions(texts):
+    """(first, number) of stretches of an Arrow column of texts, of up to 200 texts and about PORTION bytes."""
+    import pyarrow.compute as pc
+
+    at = n = size = 0
+    for i, x in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n == 200 or n and size + x > PORTION:
+            yield at, n
+            at, n, size = i, 0, 0
+        n, size = n + 1, size + x
+    if n:
+        yield at, n
+
+
 def attribute(tokens, starts, ends, rule: str):
     """Tokens (n, 2) against sections: count of each section and of the outside, and crossing tokens of each section."""
     import numpy as np
@@ -70,11 +89,11 @@ def attribute(tokens, starts, ends, rule: str):
     return counts, crossing
 
 
-def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority") -> DataFrame:
-    """SECTION rows of docs (doc_id, text and, if it has it, spans)."""
+def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority", spans: str | None = None) -> DataFrame:
+    """SECTION rows of docs (doc_id, text and, if named, a column of spans)."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    given = "spans" in docs.columns
+    given = spans is not None
 
     def run(batches):
         import numpy as np
@@ -84,8 +103,8 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
         types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
         names = [x.split()[0] for x in SECTION.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at, n_rows in portions(batch.column("text")):
+                part = batch.slice(at, n_rows)
                 ids, texts = part.column("doc_id").to_pylist(), [x or "" for x in part.column("text").to_pylist()]
                 spans = part.column("spans").to_pylist() if given else [None] * len(ids)
                 out = [[] for _ in names]
@@ -104,8 +123,10 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string")] + [F.col("spans").cast("array<struct<name:string,start:int,end:int>>")] * given
-    return docs.select(*columns).mapInArrow(run, SECTION)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if given:
+        columns.append(F.col(spans).cast("array<struct<name:string,start:int,end:int>>").alias("spans"))
+    return bounded(docs).select(*columns).mapInArrow(run, SECTION)
 
 
 def fields_as_sections(rows: DataFrame, id_column: str, fields: list[str], joiner: str = "\n") -> DataFrame:

@@ -7,8 +7,10 @@ file has one entry per record (offset, payload length, first token's place in th
 that a shuffled reader can seek to any record.
 
 Documents are range-partitioned and sorted by doc_id (null first, then by text), encoded in the writing task, and one
-file pair is written per partition. Null texts are empty: only the end id. Repeated rows each get a record. Records of a
-lost task are written anew under another name; only files in the manifest count.
+file pair is written per partition. Null texts are empty: only the end id. Repeated rows each get a record, and however
+many they are, they spread over several files. Very long texts are encoded whole, and an empty table gives no files; extra
+columns are ignored, whatever their names. Records of a lost task are written anew under another name; only files in the
+manifest count.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_dir, shuffle_partitions, task_file
+from .common import bounded, file_system, shared_dir, shuffle_partitions, task_file
 from .unit_encoder import unit_encoder
 
 MAGIC = b"TIDREC1\n"
@@ -81,9 +83,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, wid
             index.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "file": [name], "records": [docs_n], "tokens": [tokens]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = (F.col("doc_id"), F.xxhash64("text"), F.col("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the last number only spreads rows that repeat
+    order = (F.col("doc_id"), F.xxhash64("text"), F.col("nth"))
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("nth")
     # one row per written file, which the number of tasks bounds
     return sorted(tuple(r) for r in rows.mapInArrow(write, "part long, file string, records long, tokens long").collect())
 

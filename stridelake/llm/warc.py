@@ -6,7 +6,9 @@ each task writes one gzip-per-record archive with fresh headers. `read_archives`
 
 Rules: a null html is the empty payload; payloads of fewer than `min_bytes` bytes are always responses; of equal
 payloads the record with the largest page_id is the response (all rows that carry that page_id with that payload, where
-rows repeat; null ids count as smallest); a null url is written as an urn of the page; an empty table gives no archives.
+rows repeat; null ids count as smallest); a null url is written as an urn of the page; very long payloads are written
+whole, and equal ones of any number spread over tasks; an empty table gives no archives; extra columns are ignored, whatever
+their names. WARC-Date is the time of writing, in UTC, one for all records of a call, unless `date` is given.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ import base64
 import gzip
 import hashlib
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_dir, task_file
+from .common import bounded, file_system, shared_dir, task_file
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -40,14 +42,14 @@ def _urn(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
-def _record(page_id, url, payload: bytes, origin) -> bytes:
+def _record(page_id, url, payload: bytes, origin, date: str) -> bytes:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     revisit = page_id != origin
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
         block += payload
     uri = "".join(c for c in url if c > " ") if url else f"urn:page:{page_id}"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
@@ -56,8 +58,9 @@ def _record(page_id, url, payload: bytes, origin) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> list[tuple[str, int]]:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: datetime | None = None) -> list[tuple[str, int]]:
     """Write deduplicated archives of page_id, url, html into folder; (file, records) of each, as many as tasks."""
+    written = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
         import pyarrow as pa
@@ -70,13 +73,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> list[tu
             html = batch.column("html").cast(pa.binary())
             for i, (page_id, url, origin) in enumerate(zip(ids, urls, origins)):
                 out = out or fs.open_output_stream(name, compression=None)
-                out.write(gzip.compress(_record(page_id, url, html[i].as_py() or b"", origin), 1, mtime=0))
+                out.write(gzip.compress(_record(page_id, url, html[i].as_py() or b"", origin, written), 1, mtime=0))
                 n += 1
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]}, schema=pa.schema([("file", pa.string()), ("records", pa.int64())]))
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     d = resolve(rows, min_bytes)
     rows = rows.join(d, rows.page_id.eqNullSafe(d.page_id) & (rows.sha1 == d.sha1)).select(rows.page_id, "url", "html", "origin")

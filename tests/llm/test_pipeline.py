@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from data import edge_docs, frame
 from sentencepiece import SentencePieceProcessor
-from test_records import exact_by_hand, simhash_by_hand
+from test_near_copies import kept_by_hand, similar_by_hand
+from test_records import exact_by_hand
 from test_scans import leaks_by_hand
 
 from stridelake.llm import quality_crf
@@ -24,7 +25,8 @@ def test_against_brute_force(spark):
     rows = [r for r, s in zip(rows, model.scores([t for _, t in rows])) if s >= 0.5]
     kept = {k[0] for k in exact_by_hand(rows) if k[3]}
     rows = [r for r in rows if r[0] in kept]
-    rows = [r for r, c in zip(rows, simhash_by_hand(rows)[1]) if r[0] == c]
+    kept = kept_by_hand(sorted(d for d, _ in rows), similar_by_hand(rows))
+    rows = [r for r in rows if r[0] in kept]
     gone = {d for d, _ in leaks_by_hand(rows, bench)}
     library = SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
     want = {d: (library.encode(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows if d not in gone}

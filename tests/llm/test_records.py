@@ -101,17 +101,42 @@ def test_exact_dedup_edges_and_chains(spark, monkeypatch):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     index = exact_dedup.build_index(frame(spark), 2).collect()
     assert max(r.depth for r in index) > min(r.depth for r in index)  # a bucket was split
-    saved = common.saved(exact_dedup.build_index(frame(spark), 2), "index")
+    saved = exact_dedup.build_index(frame(spark), 2)
     new = rows(spark, [(100, "samerow"), (101, "not there"), (102, " " + "x" * 40000), (103, None)])
     assert {tuple(r) for r in exact_dedup.probe(saved, new).collect()} == {(100, 16), (102, 17), (103, 6)}
     # keys that collide are told apart by their bytes
     import zstandard
 
     pack = lambda b: bytearray(zstandard.ZstdCompressor().compress(b))
-    entries = [(5, bytearray(b"a"), pack(b"a"), 1, 1, 4), (5, bytearray(b"b"), pack(b"b"), 2, 1, 2), (5, bytearray(b"a"), pack(b"a"), 3, 1, 3)]
+    entries = [(5, bytearray(b"a" * 32), pack(b"a"), 1, 1, 4), (5, bytearray(b"b" * 32), pack(b"b"), 2, 1, 2), (5, bytearray(b"a" * 32), pack(b"a"), 3, 1, 3)]
     df = spark.createDataFrame(entries, exact_dedup.ENTRY).coalesce(1)
-    got = df.mapInArrow(exact_dedup._own(common.shared_dir(spark, "own"), 1, 512), exact_dedup.GROUP).collect()
-    assert [(g.keep_id, g.group_size) for g in got] == [(3, 4), (2, 2)]
+    (bucket,) = df.mapInArrow(exact_dedup._own(common.shared_dir(spark, "own"), 1, 512), exact_dedup.BUCKET).collect()
+    assert bucket.n_keys == 1
+    asked = spark.createDataFrame([(k, 0, 1, bytearray(x * 32), 5, bucket.file, bucket.offset, bucket.length) for k, x in enumerate((b"a", b"b", b"c"))], "doc_id long, text_key long, cp int, sha binary, key long, file string, offset long, length long")
+    got = asked.coalesce(1).mapInArrow(exact_dedup._look_up(False), "doc_id long, text_key long, cp int, sha binary, found boolean, keep_id long, keep_cp int, group_size long").collect()
+    assert [(g.found, g.keep_id, g.group_size) for g in got] == [(True, 3, 4), (True, 2, 2), (False, None, None)]
+
+
+def test_exact_dedup_of_hot_groups(spark, monkeypatch):
+    """A third of the rows equal, many of them under one id; numbered in pieces."""
+    monkeypatch.setattr(common, "COPIES", 7)
+    docs = [(None, "")] * 40 + [(5, "a b")] * 30 + [(k, "ab") for k in range(40)] + [(k, f"text {k} {k % 9}") for k in range(100, 160)]
+    assert Counter(map(tuple, exact_dedup.exact_dedup(rows(spark, docs), 2).collect())) == exact_by_hand(docs)
+    kept = Counter(map(tuple, exact_dedup.drop_copies(rows(spark, docs), 2).collect()))
+    assert kept == Counter({(None, ""): 1, (5, "a b"): 1} | {d: 1 for d in docs[110:]})
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_rows_that_repeat_keep_the_least(spark, most):
+    df = spark.createDataFrame([(1, "x", "b"), (1, "x", "a"), (2, "y", None), (3, "z", "q")], "doc_id long, text string, own string")
+    members = df.groupBy("doc_id", common.text_key().alias("text_key")).count().withColumnRenamed("count", "copies").selectExpr("*", "doc_id < 3 as keep")
+    assert sorted(map(tuple, common.keep_rows(df, members, most).collect())) == [(1, "x", "a"), (2, "y", None)]
+
+
+def test_equal_rows_spread_over_record_files(spark):
+    df = rows(spark, [(1, "same text")] * 4000).repartition(8)
+    manifest = token_records.write_records(df, common.shared_dir(spark, "spread"), BPE, 2)
+    assert len(manifest) > 1 and sum(m[2] for m in manifest) == 4000
 
 
 def simhash_by_hand(docs):
@@ -168,3 +193,26 @@ def test_links_find_every_component(spark, monkeypatch, small_bucket):
     links = simhash.fingerprint_links(nodes)
     got = {r.node: r.root for r in simhash.components(links).collect()}
     assert [got.get(f, f) for f in signed] == components_by_hand(signed, fps)
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_links_of_one_hot_bucket(spark, tile):
+    """All fingerprints share one segment, so they share its 32 buckets."""
+    rng = np.random.default_rng(tile)
+    fps = sorted({0xABCDEF01 << 32 | int(x) for x in rng.integers(0, 1 << 11, 400)} | {0xABCDEF01 << 32 | int(x) << 13 for x in rng.integers(0, 1 << 19, 300)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), tile=tile)
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    assert [got.get(f, f) for f in signed] == components_by_hand(signed, fps)
+
+
+def test_warc_dates(spark):
+    import gzip
+    from datetime import UTC, datetime
+
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    for date in (None, datetime(2021, 5, 6, 7, 8, 9, tzinfo=UTC)):
+        ((path, _),) = warc.write_archives(pages, common.shared_dir(spark, "dates"), date=date)
+        (head, _, _), = warc.parse_archive(gzip.open(path.removeprefix("file:")))
+        found = datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
+        assert found == date if date else abs((datetime.now(UTC) - found).total_seconds()) < 600

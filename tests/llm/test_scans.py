@@ -57,7 +57,7 @@ def test_attribution_by_rule(spark, rule):
     text = "alpha beta  gamma\n\n\ndelta 日本語"
     spans = [{"name": n, "start": a, "end": b} for n, a, b in [("p", 0, 3), ("q", 3, 12), ("r", 12, 19), ("s", 20, len(text))]]
     df = spark.createDataFrame([(1, text, spans)], "doc_id long, text string, spans array<struct<name:string,start:int,end:int>>")
-    got = {r.name: r.n_tokens for r in token_counts.section_tokens(df, BPE, rule).collect()}
+    got = {r.name: r.n_tokens for r in token_counts.section_tokens(df, BPE, rule, "spans").collect()}
     want = Counter()
     for s, e in whole_spans(text):
         e = max(e, s + 1)
@@ -79,10 +79,38 @@ def test_line_counts_add_up(spark):
     assert got.n_tokens.sum() == sum(len(whole_spans(t or "")) for _, t, *_ in edge_docs())
     assert token_counts.section_tokens(frame(spark, []), BPE).count() == 0
     rows = spark.createDataFrame([(1, "user", None), (2, None, "hello there")], "turn long, role string, text string")
-    fields = token_counts.section_tokens(token_counts.fields_as_sections(rows, "turn", ["role", "text"]), BPE).collect()
+    fields = token_counts.section_tokens(token_counts.fields_as_sections(rows, "turn", ["role", "text"]), BPE, spans="spans").collect()
     assert {(r.doc_id, r.name): r.n_tokens for r in fields if r.name} == {(1, "role"): 1, (1, "text"): 0, (2, "role"): 0, (2, "text"): 2}
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_lines_against_a_slow_count(spark, small, rule):
+    docs = small[:25] + [(1000 + k, t) for k, (_, t, *_) in enumerate(edge_docs())] + [(2000, "one\n\n  two \n" * 40), (2001, "long word\nnext " * 9000)]
+    got = {(r.doc_id, r.section): (round(r.n_tokens, 6), r.n_crossing) for r in token_counts.section_tokens(spark.createDataFrame(docs, "doc_id long, text string"), BPE, rule).collect()}
+    want = {}
+    for d, text in docs:
+        text = text or ""
+        line = np.zeros(len(text), np.int64)
+        for i, c in enumerate(text[:-1]):
+            line[i + 1] = line[i] + (c == "\n")
+        count, crossing = Counter(), Counter()
+        for s, e in whole_spans(text):
+            held = Counter(line[s : max(e, s + 1)].tolist())
+            for k in held:
+                crossing[k] += len(held) > 1
+            if rule == "split":
+                for k, v in held.items():
+                    count[k] += v / sum(held.values())
+            else:
+                count[int(line[s]) if rule == "first" else max(held, key=lambda k: (held[k], -k))] += 1
+        if rule != "split":
+            crossing = None
+        for k in range(int(line[-1]) + 1 if len(text) else 1):
+            want[d, k] = (round(count[k], 6), crossing and crossing[k])
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == v and (c is None or got[k][1] == c) for k, (v, c) in want.items())
+
+
 def leaks_by_hand(docs, bench, min_score=decontaminate.MIN_SCORE):
     cut = lambda t: [w for w in re.split(r"[^\w]+|_+", (t or "").lower()) if w]
     items = [(i, cut(t)) for i, t in bench]
@@ -132,15 +160,27 @@ def test_decontamination(spark, bound):
     assert decontaminate.contaminated(frame(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(license_texts.TEXTS))
+def test_every_licence_is_found_in_other_guise(spark, name):
+    text = license_texts.TEXTS[name]
+    docs = []
+    for k, edition in enumerate(license_texts.editions(text)):
+        flat = re.sub(r"[ \t]+", " ", edition)
+        docs += [(10 * k, "Copyright (c) 1999-2024 Some Body\nAll rights reserved.\n\n" + flat.upper()), (10 * k + 1, flat.replace("license", "licence").replace(",", " ;").replace('"', "``")), (10 * k + 2, edition.replace("\n", "\r\n")), (10 * k + 3, edition + "\nand more")]
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in got if i % 10 < 3} == {i: name for i, _ in docs if i % 10 < 3}
+    assert {got[i] for i in got if i % 10 == 3} == {None}
+
+
 def test_license_scan(spark):
     mit = license_texts.TEXTS["MIT"]
-    docs = [(1, "Copyright (c) 2020 A. Nother\n\n" + mit.upper()), (2, mit.replace("License", "Licence").replace("\n\n", "\n").replace(",", " -- ")), (3, mit + " more"), (4, "Text.\n  released under the MIT  licence\nEnd"), (5, None), (6, ""), (None, "# LICENSED under CC BY-NC 4.0"), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\nReleased under the MIT license")]
-    docs += docs[-1:]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lines": F.lit(1), "digest": F.lit(2), "bits": F.lit(3)})
+    docs = [(1, "Copyright (c) 2020 A. Nother\n\n" + mit.upper()), (2, mit.replace("License", "Licence").replace("\n\n", "\n").replace(",", " -- ")), (3, mit + " more"), (4, "Text.\n  released under the MIT  licence\nEnd"), (5, None), (6, ""), (None, "# LICENSED under CC BY-NC 4.0"), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\nReleased under the MIT license"), (8, "x\n" * 60_000 + "Released under the MIT License."), (9, mit.split("\n", 1)[1])]
+    df = spark.createDataFrame(docs + docs[-3:-2] * 3, "doc_id long, text string").withColumns({"lines": F.lit(1), "digest": F.lit(2), "bits": F.lit(3)})
     got = {r.doc_id: (r.license_id, r.notices, r.notice_lines) for r in licenses.license_scan(df).collect()}
-    assert got == {1: ("MIT", "", 0), 2: ("MIT", "", 0), 3: (None, "", 0), 4: (None, "MIT", 1), 5: (None, "", 0), 6: (None, "", 0), None: (None, "CC-BY-NC-4.0", 1), 7: (None, "CC-BY-NC-4.0,MIT", 3)}
-    assert licenses.license_scan(df).count() == len(docs)
+    assert got == {1: ("MIT", "", 0), 2: ("MIT", "", 0), 3: (None, "", 0), 4: (None, "MIT", 1), 5: (None, "", 0), 6: (None, "", 0), None: (None, "CC-BY-NC-4.0", 1), 7: (None, "CC-BY-NC-4.0,MIT", 3), 8: (None, "MIT", 1), 9: ("MIT", "", 0)}
+    assert licenses.license_scan(df).count() == len(docs) + 3
     assert licenses.license_scan(frame(spark, [])).count() == 0
+    assert {r.license_id for r in licenses.license_scan(df, {"A": "Text"}, {}).collect()} == {None}
 
 
 def test_quality_on_held_out_labels(spark):
@@ -169,6 +209,59 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 3, 2])
+    x, y, w = rng.normal(size=(6, 3)), rng.integers(0, 2, 6), np.repeat(rng.random(3), sizes)
+
+    def likelihood(theta, table):
+        total, at = 0.0, 0
+        for n in sizes:
+            e, own = x[at : at + n] @ theta, y[at : at + n]
+            score = lambda z: sum(e[k] for k in range(n) if z[k]) + sum(table[z[k], z[k + 1]] for k in range(n - 1))
+            all_ = np.log(sum(np.exp(score([b >> k & 1 for k in range(n)])) for b in range(1 << n)))
+            total += w[at] * (score(own) - all_)
+            at += n
+        return total
+
+    theta, table = rng.normal(size=3), rng.normal(size=(2, 2))
+    by_weight, by_table = quality_crf.gradient(x, y, w, sizes, theta, table)
+    for got, want in ((by_weight, theta), (by_table, table)):
+        for k in np.ndindex(want.shape):
+            step = np.zeros(want.shape)
+            step[k] = 1e-5
+            ends = [likelihood(theta + s * step, table) if want is theta else likelihood(theta, table + s * step) for s in (1, -1)]
+            assert abs((ends[0] - ends[1]) / 2e-5 - got[k]) < 1e-6
+
+
+def test_document_score_against_a_slow_one():
+    rng = np.random.default_rng(6)
+    n_own = quality_crf.N_OWN
+    model = quality_crf.LineCrf(rng.normal(size=2 * n_own + 1).tolist(), rng.normal(size=(2, 2)).tolist())
+    texts = ["one line", "", "a\nBB 12\n\n!!! ### x", "first\nsecond line here\nthird 3"]
+    table = np.array(model.table)
+    for text, got in zip(texts, model.scores(texts)):
+        lines = text.split("\n")
+        own = [np.array(quality_crf.line_features(x)) for x in lines]
+        zero, n = np.zeros(n_own), len(lines)
+        e = [float(np.r_[own[k], ((own[k - 1] if k else zero) + (own[k + 1] if k + 1 < n else zero)) / 2, 1.0] @ model.weights) for k in range(n)]
+        total, good = 0.0, np.zeros(n)
+        for bits in range(1 << n):
+            z = [bits >> k & 1 for k in range(n)]
+            p = np.exp(sum(e[k] for k in range(n) if z[k]) + sum(table[z[k], z[k + 1]] for k in range(n - 1)))
+            total, good = total + p, good + p * np.array(z)
+        weight = np.array([len(x) + 1 for x in lines])
+        assert abs(got - (good / total @ weight) / weight.sum()) < 1e-9
+
+
+def test_sample_is_bounded_in_ids_and_lines(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, "line\n" * 1000) for i in ids for _ in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = quality_crf.sample(docs, labels, sample_rows=5, sample_lines=30).collect()
+    assert len(got) == 10 and {len(r.own) // 4 // quality_crf.N_OWN for r in got} == {30}
+
+
 def test_quality_edges(spark):
     a, b, c, *_ = (i for i, *_ in edge_docs() if i and i < 16 and zlib.crc32(str(i).encode()) % 3 != 1)
     labels = spark.createDataFrame([(a, None), (None, 1), (b, 1), (b, 1)], "doc_id long, quality int")
