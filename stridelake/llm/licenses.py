@@ -42,6 +42,8 @@ def _digest(text: Column) -> Column:
 
 def _constants(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """name, text of a constant list, as literals."""
+    if not rows:
+        return spark.createDataFrame([], "name string, text string")
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in rows])))
 
 

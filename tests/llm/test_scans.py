@@ -106,9 +106,9 @@ def test_lines_against_a_slow_count(spark, small, rule):
         if rule != "split":
             crossing = None
         for k in range(int(line[-1]) + 1 if len(text) else 1):
-            want[d, k] = (round(count[k], 6), crossing and crossing[k])
+            want[d, k] = (round(count[k], 6), None if crossing is None else crossing[k])
     assert got.keys() == want.keys()
-    assert all(got[k][0] == v and (c is None or got[k][1] == c) for k, (v, c) in want.items())
+    assert {k: (got[k], v, c) for k, (v, c) in want.items() if abs(got[k][0] - v) > 1e-5 or c is not None and got[k][1] != c} == {}
 
 
 def leaks_by_hand(docs, bench, min_score=decontaminate.MIN_SCORE):
@@ -160,16 +160,16 @@ def test_decontamination(spark, bound):
     assert decontaminate.contaminated(frame(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(license_texts.TEXTS))
-def test_every_licence_is_found_in_other_guise(spark, name):
-    text = license_texts.TEXTS[name]
-    docs = []
-    for k, edition in enumerate(license_texts.editions(text)):
-        flat = re.sub(r"[ \t]+", " ", edition)
-        docs += [(10 * k, "Copyright (c) 1999-2024 Some Body\nAll rights reserved.\n\n" + flat.upper()), (10 * k + 1, flat.replace("license", "licence").replace(",", " ;").replace('"', "``")), (10 * k + 2, edition.replace("\n", "\r\n")), (10 * k + 3, edition + "\nand more")]
+def test_every_licence_is_found_in_other_guise(spark):
+    docs, want = [], {}
+    for name in license_texts.TEXTS:
+        for edition in license_texts.editions(license_texts.TEXTS[name]):
+            flat = re.sub(r"[ \t]+", " ", edition)
+            for text in ("Copyright (c) 1999-2024 Some Body\nAll rights reserved.\n\n" + flat.upper(), flat.replace("license", "licence").replace(",", " ;").replace('"', "``"), edition.replace("\n", "\r\n"), edition + "\nand more"):
+                want[len(docs)] = None if text.endswith("more") else name
+                docs.append((len(docs), text))
     got = {r.doc_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert {i: got[i] for i in got if i % 10 < 3} == {i: name for i, _ in docs if i % 10 < 3}
-    assert {got[i] for i in got if i % 10 == 3} == {None}
+    assert got == want
 
 
 def test_license_scan(spark):
