@@ -37,14 +37,34 @@ def leave_self_out(v: DataFrame, column: str, dims: int) -> DataFrame:
     return v.join(sums, "identity").withColumn("others", F.when(n > 1, other)).drop("_n", *[f"_d{i}" for i in range(dims)])
 
 
+def placed(people: DataFrame, digest: Column) -> DataFrame:
+    """people (identity, ...), one row each, with place (from 0, by digest, then by name) and people (how many there are).
+
+    Digests fall evenly into 4096 ranges; each is numbered by itself and gets the number of people before it, so no task
+    has to see them all.
+    """
+    d = people.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
+    n = d.groupBy("_range").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(F.lit(1)).orderBy("_range")  # one row a range
+    n = n.select("_range", (F.sum("_n").over(whole) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("people"))
+    own = Window.partitionBy("_range").orderBy("_digest", "identity")
+    place = (F.row_number().over(own) - 1 + F.col("_before")).cast("long")
+    return d.join(F.broadcast(n), "_range").withColumn("place", place).drop("_digest", "_range", "_before")
+
+
+def _follower(people: DataFrame, column: str, name: str) -> DataFrame:
+    """people (placed) with `column` of the one at the next place, the first after the last."""
+    after = people.select(F.pmod(F.col("place") - 1, F.col("people")).alias("place"), F.col(column).alias(name))
+    return people.join(after, "place")
+
+
 def enrolled_pairs(probes: DataFrame, people: DataFrame) -> DataFrame:
     """Two pairs a probe (key, true_identity): its own identity (label 1), and another enrolled one (0) that its digest picks.
 
-    People stand in a ring by name; the digest of the key says how many places on from its own the other one is. So both
-    are equi-joins, and the picks are the same on every engine and in every run.
+    People stand in a ring by the digests of their names; the digest of the key says how many places on from its own the
+    other one is. So both are equi-joins, and the picks are the same on every engine and in every run.
     """
-    ring = Window.orderBy("identity")  # one row a person
-    places = people.select("identity", (F.row_number().over(ring) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("people"))
+    places = placed(people.select("identity"), F.md5("identity"))
     own = probes.join(places.withColumnRenamed("identity", "true_identity"), "true_identity")
     digest = F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 8), 16, 10).cast("long")
     other = own.where("people > 1").withColumn("place", F.pmod(F.col("place") + 1 + F.pmod(digest, F.col("people") - 1), F.col("people")))
@@ -54,9 +74,8 @@ def enrolled_pairs(probes: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def next_in_ring(people: DataFrame) -> DataFrame:
-    """identity, next_identity: people, one row each, stand in a ring by name; the last one's next is the first."""
-    ring = Window.orderBy("identity")  # one row a person
-    return people.select("identity", F.coalesce(F.lead("identity").over(ring), F.first("identity").over(ring)).alias("next_identity"))
+    """identity, next_identity: people, one row each, stand in a ring by the digests of their names; the first follows the last."""
+    return _follower(placed(people.select("identity"), F.md5("identity")), "identity", "next_identity").select("identity", "next_identity")
 
 
 def unenrolled(probes: DataFrame, people: DataFrame) -> DataFrame:
@@ -79,9 +98,7 @@ def triplets(videos: DataFrame) -> DataFrame:
     w = Window.partitionBy("identity").orderBy(F.md5("video_id"), "video_id")
     v = videos.withColumn("next", F.coalesce(F.lead("video_id").over(w), F.first("video_id").over(w)))
     reps = videos.groupBy("identity").agg(F.max_by("video_id", F.md5("video_id")).alias("rep"))
-    people = reps.withColumn("h", F.md5("identity"))
-    ring = Window.orderBy("h", "identity")  # one row a person
-    people = people.withColumn("follower", F.lead("rep").over(ring)).withColumn("negative", F.coalesce("follower", F.first("rep").over(ring)))
+    people = _follower(placed(reps, F.md5("identity")), "rep", "negative")
     return v.join(people.select("identity", "negative"), "identity").select(F.col("video_id").alias("anchor"), F.col("next").alias("positive"), "negative", F.col("identity").alias("anchor_person"))
 
 
@@ -92,9 +109,8 @@ def comparison_features(a: Column, b: Column) -> Column:
 
 def split_people(people: DataFrame, ratio: float, seed: str) -> DataFrame:
     """identity, part: the first int(n ratio) people by digest are train, the rest validation."""
-    ring = Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "identity")), "identity")  # one row a person
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return people.withColumn("part", F.when(F.row_number().over(ring) <= F.floor(n * ratio), "train").otherwise("validation"))
+    p = placed(people, F.md5(F.concat_ws("|", F.lit(seed), "identity")))
+    return p.withColumn("part", F.when(F.col("place") < F.floor(F.col("people") * ratio), "train").otherwise("validation")).drop("place", "people")
 
 
 def best_match(scored: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -47,7 +47,7 @@ def preservation(both: DataFrame, torso_mode: str = "shoulder_ankle", pck_share:
     return out.withColumn("pass_count", count).withColumn("preserved", F.col("pass_count") >= 2)
 
 
-def jittered(frames: DataFrame, size: float) -> DataFrame:
+def jittered(frames: DataFrame, size: float | Column) -> DataFrame:
     """Landmarks whose x is moved by a small amount that depends on frame and slot."""
-    move = lambda lm: F.transform(lm, lambda p, j: F.struct((p["x"] + size * (((F.col("frame_idx") + j) % 7) - 3)).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    move = lambda lm: F.transform(lm, lambda p, j: F.struct((p["x"] + (((F.col("frame_idx") + j) % 7) - 3) * size).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
     return frames.withColumn("lm", move(F.col("lm")))

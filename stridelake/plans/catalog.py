@@ -45,16 +45,17 @@ def values(rows: list[tuple]) -> str:
 # --- frames and features -------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {q.PF} SELECT identity, video_id, frame_idx, {q.r('e[1]')} AS x0, {q.r('e[63]')} AS z20 FROM pf")
+@query(f"WITH {q.PF} SELECT identity, video_id, frame_idx, i AS dim, {q.r('e[i + 1]')} AS value FROM pf, range(63) AS t(i)")
 def pose_frames_view(spark, sf):
-    f, lm = pose_frames(spark, sf), F.col("lm")
-    return f.select("identity", "video_id", "frame_idx", r6(lm[0]["x"]).alias("x0"), r6(lm[20]["z"]).alias("z20"))
+    f = pose_frames(spark, sf).select("identity", "video_id", "frame_idx", F.posexplode(F.flatten(F.transform("lm", lambda p: F.array(p["x"], p["y"], p["z"])))).alias("dim", "value"))
+    return f.select("identity", "video_id", "frame_idx", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
 
 
-@query(f"""WITH {q.PF}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM pf WHERE frame_idx % 2 = 0)
+# a frame counts as one without a pose where its first coordinate is negative
+@query(f"""WITH {q.PF}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM pf WHERE e[1] >= 0)
     SELECT video_id, i::INT AS frame_idx, frame_idx AS source_idx FROM k WHERE n >= 10""")
 def valid_video_filter(spark, sf):
-    f = pose_frames(spark, sf).withColumn("lm", F.when(F.col("frame_idx") % 2 == 0, F.col("lm")))
+    f = pose_frames(spark, sf).withColumn("lm", F.when(F.col("lm")[0]["x"] >= 0, F.col("lm")))
     return sequence.valid_videos(f).select("video_id", "frame_idx", "source_idx")
 
 
@@ -226,28 +227,33 @@ def augmentation_plan(spark, sf):
 # --- enrolment and pairs -------------------------------------------------------------------------------------------------
 
 
+def signature_values(signatures: DataFrame) -> DataFrame:
+    """identity, frame_idx, dim, value, num_videos of all dimensions."""
+    s = signatures.select("identity", "frame_idx", "num_videos", F.posexplode("sig").alias("dim", "value"))
+    return s.select("identity", "frame_idx", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"), "num_videos")
+
+
 @query(f"""WITH {q.PF}, h AS (SELECT identity, video_id, frame_idx, {q.centred()} AS c FROM pf)
     SELECT identity, frame_idx, i AS dim, {q.r('avg(c[i + 1])')} AS value, count(DISTINCT video_id) AS num_videos FROM h, range(36) AS t(i) GROUP BY identity, frame_idx, i""")
 def enroll_signature(spark, sf):
     f = pose_frames(spark, sf).select("identity", "video_id", "frame_idx", geo.hip_centred(F.col("lm")).alias("c"))
-    s = enroll.frame_signatures(f, "c", 36).select("identity", "frame_idx", "num_videos", F.posexplode("sig").alias("dim", "value"))
-    return s.select("identity", "frame_idx", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"), "num_videos")
+    return signature_values(enroll.frame_signatures(f, "c", 36))
 
 
-@query(f"WITH {q.PF} SELECT identity, frame_idx, {q.r('avg(e[1])')} AS x0, count(DISTINCT video_id) AS num_videos FROM pf GROUP BY identity, frame_idx HAVING count(DISTINCT video_id) >= 3")
+@query(f"WITH {q.PF} SELECT identity, frame_idx, i AS dim, {q.r('avg(e[i + 1])')} AS value, count(DISTINCT video_id) AS num_videos FROM pf, range(36) AS t(i) GROUP BY identity, frame_idx, i HAVING count(DISTINCT video_id) >= 3")
 def enroll_min_videos(spark, sf):
     f = pose_frames(spark, sf).select("identity", "video_id", "frame_idx", features.flat(F.col("lm")).alias("v"))
-    return enroll.frame_signatures(f, "v", 36, 3).select("identity", "frame_idx", r6(F.col("sig")[0]).alias("x0"), "num_videos")
+    return signature_values(enroll.frame_signatures(f, "v", 36, 3))
 
 
-@query(f"WITH {q.SCORED}, s AS (SELECT identity, d, sum(e[d]) AS t, count(*) AS n FROM v, range(1, 65) AS x(d) GROUP BY ALL) SELECT vec_id, d - 1 AS dim, {q.r('(t - e[d]) / (n - 1)')} AS value FROM v JOIN s USING (identity) WHERE n > 1 AND d <= 4")
+@query(f"WITH {q.SCORED}, s AS (SELECT identity, d, sum(e[d]) AS t, count(*) AS n FROM v, range(1, 65) AS x(d) GROUP BY ALL) SELECT vec_id, d - 1 AS dim, {q.r('(t - e[d]) / (n - 1)')} AS value FROM v JOIN s USING (identity) WHERE n > 1")
 def enroll_leave_self_out(spark, sf):
     o = enroll.leave_self_out(vectors(spark, sf), "e", 64).where("others is not null")
-    o = o.select("vec_id", F.posexplode(F.slice("others", 1, 4)).alias("dim", "value"))
+    o = o.select("vec_id", F.posexplode("others").alias("dim", "value"))
     return o.select("vec_id", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
 
 
-@query(f"""WITH {q.SCORED}, p AS (SELECT identity, row_number() OVER (ORDER BY identity) - 1 AS place, count(*) OVER () AS people FROM (SELECT DISTINCT identity FROM v))
+@query(f"""WITH {q.SCORED}, p AS (SELECT identity, row_number() OVER (ORDER BY md5(identity), identity) - 1 AS place, count(*) OVER () AS people FROM (SELECT DISTINCT identity FROM v))
     SELECT vec_id AS key, identity AS true_identity, identity AS claimed_identity, 1 AS label FROM v
     UNION ALL SELECT vec_id, v.identity, o.identity, 0 FROM v JOIN p ON p.identity = v.identity JOIN p o ON o.place = (p.place + 1 + ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % (p.people - 1)) % p.people""")
 def verification_pairs(spark, sf):
@@ -289,8 +295,10 @@ def top5_scores(spark, sf):
     return enroll.top_scores(scored_pairs(spark, sf), 5).select("vec_id", "claimed_identity", "score", "rank")
 
 
-_VERDICT = f"""m AS (SELECT vec_id, true_identity, arg_max(claimed_identity, (score, claimed_identity)) AS best, max(score) AS top FROM sp GROUP BY ALL),
-    cl AS (SELECT vec_id, true_identity, CASE WHEN vec_id % 2 = 0 THEN true_identity ELSE ((true_identity::INT + 1) % 10)::VARCHAR END AS claimed_identity FROM m)"""
+#: Identities in a ring by the digests of their names.
+_RING = "rg AS (SELECT identity, coalesce(lead(identity) OVER w, first_value(identity) OVER w) AS next_identity FROM (SELECT DISTINCT identity FROM v) WINDOW w AS (ORDER BY md5(identity), identity))"
+_VERDICT = f"""{_RING}, m AS (SELECT vec_id, true_identity, arg_max(claimed_identity, (score, claimed_identity)) AS best, max(score) AS top FROM sp GROUP BY ALL),
+    cl AS (SELECT vec_id, true_identity, CASE WHEN vec_id % 2 = 0 THEN true_identity ELSE next_identity END AS claimed_identity FROM m JOIN rg ON rg.identity = true_identity)"""
 
 
 def _claims(pairs: DataFrame) -> DataFrame:
@@ -309,7 +317,7 @@ def three_way_verdict(spark, sf):
     return both.groupBy("claimed_identity", v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {q.SCORED} SELECT a.vec_id, a.score AS own_score, b.score AS other_score, a.score - b.score > 0 AS own_wins FROM sp a JOIN sp b ON b.vec_id = a.vec_id AND b.claimed_identity = ((a.true_identity::INT + 1) % 10)::VARCHAR WHERE a.label = 1""")
+@query(f"""WITH {q.SCORED}, {_RING} SELECT a.vec_id, a.score AS own_score, b.score AS other_score, a.score - b.score > 0 AS own_wins FROM sp a JOIN rg ON rg.identity = a.true_identity JOIN sp b ON b.vec_id = a.vec_id AND b.claimed_identity = next_identity WHERE a.label = 1""")
 def dual_claim(spark, sf):
     p = scored_pairs(spark, sf)
     own = p.where("label = 1").select("vec_id", "true_identity", F.col("score").alias("own_score"))
@@ -325,8 +333,9 @@ _MOVES = ", ".join(f"('{n}', {s}::DOUBLE)" for n, s in _STRENGTHS.items())
 _GAPS = "[" + ", ".join("sqrt(" + " + ".join(f"(ca[{3 * j + k + 1}] - cb[{3 * j + k + 1}]) ** 2" for k in range(3)) + ")" for j in range(12)) + "]"
 _TORSO = "greatest(1e-6, sqrt(" + " + ".join(f"((ca[{k + 1}] + ca[{k + 4}]) / 2 - (ca[{k + 19}] + ca[{k + 22}]) / 2) ** 2" for k in range(3)) + "))"
 _PRESERVATION = f"""WITH {q.PF}, mv(kind, size) AS (VALUES {_MOVES}),
-    both_ AS (SELECT kind || ':' || video_id AS pair_id, frame_idx, e AS a, list_transform(range(63), lambda i: e[i + 1] + CASE WHEN i % 3 = 0 THEN size * (((frame_idx + i // 3) % 7) - 3) ELSE 0 END) AS b FROM pf, mv WHERE video_id LIKE '%_0'
-        UNION ALL SELECT 'altered:' || x.video_id, x.frame_idx, x.e, y.e FROM pf x JOIN pf y ON y.video_id = x.identity || '_1' AND y.frame_idx = x.frame_idx WHERE x.video_id LIKE '%_0'),
+    nv AS (SELECT video_id, coalesce(lead(video_id) OVER w, first_value(video_id) OVER w) AS other FROM (SELECT DISTINCT identity, video_id FROM pf) WINDOW w AS (PARTITION BY identity ORDER BY video_id)),
+    both_ AS (SELECT kind || ':' || video_id AS pair_id, frame_idx, e AS a, list_transform(range(63), lambda i: e[i + 1] + CASE WHEN i % 3 = 0 THEN size * (((frame_idx + i // 3) % 7) - 3) ELSE 0 END) AS b FROM pf, mv
+        UNION ALL SELECT 'altered:' || x.video_id, x.frame_idx, x.e, y.e FROM pf x JOIN nv USING (video_id) JOIN pf y ON y.video_id = nv.other AND y.frame_idx = x.frame_idx WHERE nv.other <> x.video_id),
     f AS (SELECT pair_id, {q.centred('a')} AS ca, {q.centred('b')} AS cb, {q.angles('a')} AS ga, {q.angles('b')} AS gb, {q.step('a')} AS sa, {q.step('b')} AS sb FROM both_),
     d AS (SELECT pair_id, sa, sb, {q.symmetry('ca')} AS ya, {q.symmetry('cb')} AS yb, {_GAPS} AS gap, {_TORSO} AS scale,
                  list_dot_product(ca, cb) / (sqrt(list_dot_product(ca, ca)) * sqrt(list_dot_product(cb, cb)) + 1e-8) AS cosine, sqrt(list_sum(list_transform(range(1, 7), lambda i: (ga[i] - gb[i]) ** 2))) AS l2_angles FROM f),
@@ -337,17 +346,17 @@ _PRESERVATION = f"""WITH {q.PF}, mv(kind, size) AS (VALUES {_MOVES}),
 
 
 def preservation_pairs(spark, sf) -> DataFrame:
-    """Every person's first video against itself moved a little, more and much, and against another one."""
+    """Every video against itself moved a little, more and much, and against its person's next one by name."""
     f = pose_frames(spark, sf)
-    first = f.where("video_id like '%_0'").select("video_id", "frame_idx", "lm")
-    out = None
-    for kind, size in _STRENGTHS.items():
-        moved = preserve.jittered(first, size).select("video_id", "frame_idx", F.col("lm").alias("b"))
-        both = first.join(moved, ["video_id", "frame_idx"]).select(F.concat(F.lit(f"{kind}:"), "video_id").alias("pair_id"), "frame_idx", F.col("lm").alias("a"), "b")
-        out = both if out is None else out.unionByName(both)
-    swaps = first.select("video_id").distinct().select(F.concat(F.lit("altered:"), "video_id").alias("pair_id"), F.col("video_id").alias("video_a"), F.regexp_replace("video_id", "_0$", "_1").alias("video_b"))
+    strengths = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("size")) for k, s in _STRENGTHS.items()]))
+    moved = preserve.jittered(f.withColumn("a", F.col("lm")).withColumn("move", strengths), F.col("move.size"))
+    moved = moved.select(F.concat("move.kind", F.lit(":"), "video_id").alias("pair_id"), "frame_idx", "a", F.col("lm").alias("b"))
+    ring = Window.partitionBy("identity").orderBy("video_id")
+    other = F.coalesce(F.lead("video_id").over(ring), F.first("video_id").over(ring))
+    swaps = f.select("identity", "video_id").distinct().withColumn("video_b", other).where("video_b <> video_id")
+    swaps = swaps.select(F.concat(F.lit("altered:"), "video_id").alias("pair_id"), F.col("video_id").alias("video_a"), "video_b")
     plain = F.transform("b", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
-    return out.unionByName(preserve.aligned(swaps, f).withColumn("b", plain).select("pair_id", "frame_idx", "a", "b"))
+    return moved.unionByName(preserve.aligned(swaps, f).withColumn("b", plain).select("pair_id", "frame_idx", "a", "b"))
 
 
 _SCORES = ("pck_score", "mean_cosine", "mean_l2_coords", "mean_per_landmark_l2", "mean_l2_angles", "step_correlation", "symmetry_correlation")
@@ -526,7 +535,7 @@ def accuracy_bands(spark, sf):
 
 # --- names, files, plans of work ---------------------------------------------------------------------------------------
 
-NAMES = [("Arhaan_F1",), ("Arhaan_F_hflip",), ("Arhaan_F1_bright_up",), ("A_B_F1",), ("Solo",), ("Mia_front",), ("Mia_S_x",), ("A_B_side",)]
+NAMES = [("Ingrid_F1",), ("Ingrid_F_hflip",), ("Ingrid_F1_dark_up",), ("X_Y_F1",), ("Lone",), ("Mia_front",), ("Mia_S_x",), ("X_Y_side",)]
 _PARTS = f"WITH n(name) AS {values(NAMES)}, p AS (SELECT name, string_split(name, '_') AS w FROM n)"
 _VIEWS = "('" + "', '".join(names.VIEWS) + "')"
 
@@ -615,7 +624,7 @@ def plateau_lr(spark, sf):
 # --- losses, encodings -------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {q.SCORED}, a AS (SELECT x.vec_id, x.e AS a, y.sig AS p, z.sig AS n FROM v x JOIN sig y ON y.claimed_identity = x.identity JOIN sig z ON z.claimed_identity = ((x.identity::INT + 1) % 10)::VARCHAR),
+@query(f"""WITH {q.SCORED}, {_RING}, a AS (SELECT x.vec_id, x.e AS a, y.sig AS p, z.sig AS n FROM v x JOIN rg USING (identity) JOIN sig y ON y.claimed_identity = x.identity JOIN sig z ON z.claimed_identity = next_identity),
     u AS (SELECT vec_id, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) AS a, list_transform(p, lambda x: x / sqrt(list_dot_product(p, p))) AS p, list_transform(n, lambda x: x / sqrt(list_dot_product(n, n))) AS n FROM a)
     SELECT vec_id, {q.r('greatest(0, list_sum(list_transform(range(1, 65), lambda i: (a[i] - p[i]) ** 2)) - list_sum(list_transform(range(1, 65), lambda i: (a[i] - n[i]) ** 2)) + 1)')} AS loss FROM u""")
 def triplet_loss(spark, sf):
@@ -822,10 +831,13 @@ def display_frames(spark, sf):
     return f.select("user_id", F.col("i").cast("long").alias("i"), "event_id", r6(100 * F.col("frame_idx") / F.col("frames")).alias("cycle_percent"), r6(F.col("frame_idx") / 30.0).alias("seconds"))
 
 
-@query(f"WITH {q.PF} SELECT identity, frame_idx, {q.r('avg(e[1])')} AS x0, count(DISTINCT video_id) AS num_videos FROM pf WHERE video_id NOT LIKE '%_2' GROUP BY identity, frame_idx")
+# videos that end in _2 stand for augmented ones; coordinates and angles
+@query(f"""WITH {q.PF}, o AS (SELECT identity, video_id, frame_idx, list_concat(e[1:36], {q.angles()}) AS v FROM pf WHERE video_id NOT LIKE '%_2')
+    SELECT identity, frame_idx, i AS dim, {q.r('avg(v[i + 1])')} AS value, count(DISTINCT video_id) AS num_videos FROM o, range(42) AS t(i) GROUP BY identity, frame_idx, i""")
 def enroll_originals(spark, sf):
-    f = pose_frames(spark, sf).where("video_id not like '%_2'").select("identity", "video_id", "frame_idx", features.flat(F.col("lm")).alias("v"))
-    return enroll.frame_signatures(f, "v", 36).select("identity", "frame_idx", r6(F.col("sig")[0]).alias("x0"), "num_videos")
+    f = pose_frames(spark, sf).where("video_id not like '%_2'")
+    f = f.select("identity", "video_id", "frame_idx", F.concat(features.flat(F.col("lm")), geo.joint_angles(F.col("lm"))).alias("v"))
+    return signature_values(enroll.frame_signatures(f, "v", 42))
 
 
 @query("SELECT vec_id, label::VARCHAR AS identity FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 50)")
