@@ -39,9 +39,9 @@ def _ceil_div(a: Column, b: Column) -> Column:
     return F.floor((a + b - 1) / b).cast("int")
 
 
-def targets(n: Column, length: int, at: Column) -> Column:
+def targets(n: Column, length: int | Column, at: Column) -> Column:
     """Target places i with floor(i (n - 1) / (length - 1)) = at, in whole numbers; null where there are none."""
-    last = F.lit(length - 1)
+    last = length - 1 if isinstance(length, Column) else F.lit(length - 1)
     step = F.greatest(n - 1, F.lit(1))
     low = _ceil_div(at * last, step)
     high = F.when(n == 1, last).when(at == n - 1, last).otherwise(_ceil_div((at + 1) * last, step) - 1)
@@ -61,6 +61,16 @@ def resample(df: DataFrame, key: str, value: str, length: int = 60) -> DataFrame
     return df.select(key, "i", (F.col(value) + (F.col("ahead") - F.col(value)) * share).alias(value))
 
 
+def resample_to(df: DataFrame, key: str, value: str, length: str) -> DataFrame:
+    """resample to the number of rows that column `length` names for each key; a length of one takes the first row."""
+    w, k = by(key), F.col(length).cast("int")
+    df = with_length(df, key).withColumn("ahead", F.coalesce(F.lead(value).over(w), F.col(value)))
+    at = F.when(k > 1, targets(F.col("n"), k, F.col("frame_idx"))).when((k == 1) & (F.col("frame_idx") == 0), F.array(F.lit(0)))
+    df = df.withColumn("i", F.explode(at))
+    share = (F.col("i") * (F.col("n") - 1) - F.col("frame_idx") * (k - 1)) / F.greatest(k - 1, F.lit(1)).cast("double")
+    return df.select(key, "i", (F.col(value) + (F.col("ahead") - F.col(value)) * share).alias(value))
+
+
 def resample_arrays(df: DataFrame, key: str, value: str, length: int = 60) -> DataFrame:
     """resample of an array column; other columns of the source row are kept."""
     w = by(key)

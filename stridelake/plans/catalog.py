@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import names
-from ..operators import attribution, augment, enroll, features, head, history, metrics, preserve, sequence, train
+from ..operators import attribution, augment, enroll, features, head, history, lookup, metrics, preserve, sequence, summary, train, verify
 from ..sources import files
 from ..sources.surrogate import label_scores, pose_frames, scored_pairs, series, signatures, table, vectors
 from . import sql as q
@@ -879,3 +879,84 @@ def embedding_plane(spark, sf):
 @query()
 def ablation_scores(spark, sf):
     return train.ablation(*_videos(spark, sf)).select("variant", "key", "claimed_identity", "label", r6("score").alias("score"))
+
+
+# --- reports, lookups and claims --------------------------------------------------------------------------------------------
+
+
+# nine decimals: at the sixth a quotient may lie half-way, where engines round differently
+@query(f"""WITH {q.SERIES}, c AS (SELECT DISTINCT user_id, n, 5 + n % 50 AS k FROM s), at_ AS (SELECT user_id, n, k, unnest(range(k)) AS i FROM c), p AS (SELECT *, (i * (n - 1)) // (k - 1) AS p FROM at_)
+    SELECT p.user_id, i, round(a.value + (coalesce(b.value, a.value) - a.value) * ((i * (p.n - 1) - p * (k - 1)) / (k - 1)::DOUBLE), 9) AS value
+    FROM p JOIN s a ON a.user_id = p.user_id AND a.frame_idx = p LEFT JOIN s b ON b.user_id = p.user_id AND b.frame_idx = p + 1""")
+def resample_to_length(spark, sf):
+    s = sequence.with_length(series(spark, sf), "user_id").withColumn("wanted", 5 + F.col("n") % 50).drop("n")
+    return sequence.resample_to(s, "user_id", "value", "wanted").select("user_id", F.col("i").cast("long").alias("i"), F.round("value", 9).alias("value"))
+
+
+@query(f"""SELECT event_type, count(*) AS total, count(*) FILTER (value > 10) AS succeeded, count(*) - count(*) FILTER (value > 10) AS failed, {q.r('sum(value) / count(*)')} AS seconds_per_video,
+    count(DISTINCT user_id) AS sources, {q.r('count(*) / count(DISTINCT user_id)::DOUBLE')} AS expansion FROM events GROUP BY event_type""")
+def run_totals(spark, sf):
+    t = summary.run_totals(table(spark, sf, "events"), F.col("value") > 10, F.col("value"), F.col("user_id"), "event_type")
+    return t.withColumns({c: r6(c) for c in ("seconds_per_video", "expansion")})
+
+
+@query("SELECT event_id, user_id FROM events WHERE coalesce(value <= 10, true) ORDER BY event_id LIMIT 10")
+def first_failures(spark, sf):
+    return summary.first_failures(table(spark, sf, "events"), F.col("value") > 10, "event_id").select("event_id", "user_id")
+
+
+@query(f"""WITH {q.LABELS}, c AS (SELECT label::INT AS label, (score > 0.5)::INT AS predicted, count(*) AS n FROM sp GROUP BY ALL), b AS (SELECT * FROM (VALUES (0), (1)) AS x(label), (VALUES (0), (1)) AS y(predicted)),
+    f AS (SELECT label, predicted, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (label, predicted))
+    SELECT label, predicted, n, {q.r('coalesce(100e0 * n / nullif(sum(n) OVER (PARTITION BY label), 0), 0)')} AS row_percent, {q.r('coalesce(100e0 * n / nullif(sum(n) OVER (), 0), 0)')} AS total_percent FROM f""")
+def confusion_percent(spark, sf):
+    c = summary.confusion_rows(metrics.counts(label_scores(spark, sf), F.col("score") > 0.5))
+    return c.select("label", "predicted", "n", r6("row_percent").alias("row_percent"), r6("total_percent").alias("total_percent"))
+
+
+@query(f"""WITH {q.SCORED}, g AS (SELECT true_identity AS person, score, sum(label) AS pos, sum(1 - label) AS neg FROM sp GROUP BY ALL),
+    t AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, sum(pos) OVER p AS n_pos, sum(neg) OVER p AS n_neg FROM g WINDOW w AS (PARTITION BY person ORDER BY score DESC), p AS (PARTITION BY person)),
+    roc AS (SELECT person, score AS threshold, tp / n_pos::DOUBLE AS tpr, fp / n_neg::DOUBLE AS fpr FROM t WHERE next_pos IS NULL OR pos <> next_pos OR neg <> next_neg UNION ALL SELECT DISTINCT person, 'inf'::DOUBLE, 0e0, 0e0 FROM t),
+    e AS (SELECT person AS test_person, arg_min((fpr + 1 - tpr) / 2, (round(abs(fpr - (1 - tpr)), 12), -threshold)) AS eer FROM roc GROUP BY person)
+    SELECT test_person, {q.r('eer')} AS eer, CASE WHEN eer > 0.15 THEN 'high' WHEN eer > 0.1 THEN 'middle' ELSE 'low' END AS band FROM e""")
+def eer_bands(spark, sf):
+    e = metrics.eer(scored_pairs(spark, sf), ["true_identity"])
+    return e.select(F.col("true_identity").alias("test_person"), r6("eer").alias("eer"), summary.error_band(F.col("eer")).alias("band"))
+
+
+@query(_FOLDS + f" SELECT test_person AS variant, accuracy, {q.r("accuracy - (SELECT max(accuracy) FROM m WHERE test_person = '0')")} AS delta FROM m")
+def delta_to_full(spark, sf):
+    """Folds stand for variants, the one named 0 for the full one."""
+    v = fold_metrics(scored_pairs(spark, sf)).select(F.col("test_person").alias("variant"), "accuracy")
+    return summary.against_full(v, "0").select("variant", "accuracy", r6("delta").alias("delta"))
+
+
+@query(f"""WITH {q.SCORED}, {_RING}, a AS (SELECT x.e AS a, y.sig AS p, z.sig AS n FROM v x JOIN rg USING (identity) JOIN sig y ON y.claimed_identity = x.identity JOIN sig z ON z.claimed_identity = next_identity),
+    d AS (SELECT 2 - 2 * list_dot_product(a, p) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(p, p))) AS dp, 2 - 2 * list_dot_product(a, n) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(n, n))) AS dn FROM a)
+    SELECT count(*) AS n, {q.r('avg(greatest(0, dp - dn + 1))')} AS loss, {q.r('avg((dp + 1 > dn)::INT)')} AS violations, {q.r('avg(dp)')} AS mean_positive, {q.r('avg(dn)')} AS mean_negative FROM d""")
+def triplet_metrics(spark, sf):
+    v = vectors(spark, sf)
+    s = signatures(v).select("identity", "sig")
+    both = v.join(s.withColumnRenamed("sig", "p"), "identity").join(enroll.next_in_ring(s.select("identity")), "identity")
+    both = both.join(s.select(F.col("identity").alias("next_identity"), F.col("sig").alias("n")), "next_identity")
+    t = summary.triplet_metrics(both, F.col("e"), F.col("p"), F.col("n"), 64)
+    return t.select("n", *[r6(c).alias(c) for c in ("loss", "violations", "mean_positive", "mean_negative")])
+
+
+# each person's body with the next one's face; views are the last parts of the videos' names
+@query(f"""WITH {q.PF}, v AS (SELECT DISTINCT identity FROM pf), {_RING}, o AS (SELECT identity, arg_min(video_id, (coalesce(list_position(['9', '1'], split_part(video_id, '_', 2)), 3), video_id)) AS path FROM pf GROUP BY identity)
+    SELECT rg.identity || '_body_' || next_identity || '_face' AS name, rg.identity AS body, next_identity AS face, path FROM rg JOIN o USING (identity)""")
+def swapped_originals(spark, sf):
+    clips = pose_frames(spark, sf).select("identity", F.substring_index("video_id", "_", -1).alias("view"), F.col("video_id").alias("path")).distinct()
+    ring = enroll.next_in_ring(clips.select("identity").distinct())
+    swapped = ring.select(F.concat("identity", F.lit("_body_"), "next_identity", F.lit("_face")).alias("name"))
+    return lookup.with_originals(swapped, clips, ("9", "1"), any_last=True)
+
+
+@query(f"""WITH {q.SCORED}, {_RING} SELECT v.vec_id AS key, sp.claimed_identity, {q.r('score')} AS score, score > 0.4 AS is_authentic
+    FROM v JOIN rg USING (identity) JOIN sp ON sp.vec_id = v.vec_id AND sp.claimed_identity = CASE WHEN v.vec_id % 2 = 0 THEN v.identity ELSE next_identity END""")
+def claims_verified(spark, sf):
+    v = vectors(spark, sf)
+    s = signatures(v).select("identity", "sig")
+    claim = F.when(F.col("vec_id") % 2 == 0, F.col("identity")).otherwise(F.col("next_identity"))
+    claims = v.join(enroll.next_in_ring(s.select("identity")), "identity").select(F.col("vec_id").alias("key"), claim.alias("claimed_identity"), "e")
+    return verify.verify_claims(claims, s, 64, 0.4).select("key", "claimed_identity", r6(F.round("score", 9)).alias("score"), "is_authentic")

@@ -61,6 +61,16 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_report(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """A report's rows: one JSON object a line, or one document a file."""
+    return spark.read.option("multiLine", str(whole_files).lower()).json(path)
+
+
+def flattened(report: DataFrame, *columns: str) -> DataFrame:
+    """report with each of the columns, lists of lists, as one list."""
+    return report.withColumns({c: F.flatten(c) for c in columns})
+
+
 def latest_best(paths: DataFrame, column: str = "path") -> DataFrame:
     """One row: the path with the largest epoch_N_best, by number."""
     return paths.withColumn("epoch", best_epoch(F.col(column))).where("epoch is not null").agg(F.max_by(column, F.struct("epoch", column)).alias(column), F.max("epoch").alias("epoch"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stridelake.functions import geometry, names
-from stridelake.operators import augment, enroll, head, history, metrics, preserve, sequence, train
+from stridelake.operators import augment, enroll, head, history, lookup, metrics, preserve, sequence, summary, train
 from stridelake.sources import files
 from stridelake.streaming import series as streams
 
@@ -226,3 +226,30 @@ def test_command_line(spark, capsys, tmp_path):
     assert main(["sql", "roc_auc"]) == 0 and "SELECT" in capsys.readouterr().out
     assert main(["run", "parse_identity_a", "--tables", SF, "--out", str(tmp_path / "o")]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() == 8
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (4, 1), (1, 3), (7, 4), (10, 25), (33, 33)])
+def test_resampling_to_a_length_of_each_key(spark, n, k):
+    x = np.random.default_rng(n).normal(size=n)
+    got = column(sequence.resample_to(seq(spark, x).withColumn("wanted", F.lit(k)), "k", "v", "wanted"), "v", "i")
+    assert len(got) == k and np.allclose(got, np.interp(np.linspace(0, n - 1, k), np.arange(n), x))
+
+
+def test_swapped_videos_find_their_originals(spark):
+    clips = spark.createDataFrame([("Ada", "F3", "a3"), ("Ada", "S1", "a1"), ("Bo_X", "Q", "b1"), ("Bo_X", None, "b0")], "identity string, view string, path string")
+    names_ = spark.createDataFrame([("Ada_body_Cy_face",), ("Bo_X_body_Ada_face",), ("Cy_body_Ada_face",)], "name string")
+    found = lambda **k: {r.body: r.path for r in lookup.with_originals(names_, clips, **k).collect()}
+    assert found() == {"Ada": "a1", "Bo_X": None, "Cy": None}
+    assert found(any_last=True) == {"Ada": "a1", "Bo_X": "b0", "Cy": None}
+
+
+def test_reports_are_read_back_and_flattened(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [[0.5], [0.25, 1.0]])], "run string, scores array<array<double>>")
+    files.write_report(rows, str(tmp_path / "r"))
+    assert files.flattened(files.read_report(spark, str(tmp_path / "r")), "scores").first().scores == [0.5, 0.25, 1.0]
+
+
+def test_shares_of_no_outcomes_are_zero(spark):
+    c = spark.createDataFrame([(0, 0, 3, 1)], "tp long, fp long, tn long, fn long")
+    got = {(r.label, r.predicted): (r.n, r.row_percent, r.total_percent) for r in summary.confusion_rows(c).collect()}
+    assert got == {(1, 1): (0, 0.0, 0.0), (0, 1): (0, 0.0, 0.0), (0, 0): (3, 100.0, 75.0), (1, 0): (1, 100.0, 25.0)}
