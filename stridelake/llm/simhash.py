@@ -181,17 +181,33 @@ def fingerprint_links(nodes: DataFrame, most: int = 3, tile: int = TILE) -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root: the smallest reachable node (as a signed long) of every node with a link."""
-    pairs = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = saved(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")), "labels")
-    while True:
-        near = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = saved(step.join(jump, "root").select("node", "old", F.least("root", "far").alias("root")), "labels")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    """node, root: the smallest reachable node (as a signed long) of every node with a link.
+
+    Each node points to its smallest neighbour or itself; pointers double until they end; links are then drawn between the
+    ends, and those within one are gone, so that later rounds only see what is not joined yet.
+    """
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = saved(links.where("a <> b").select(*ends("a", "b")).distinct(), "links")
+    rounds = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")), "labels")
+        ended = False
+        while not ended:
+            jump = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            new = saved(up.join(jump, "root").select("node", F.col("root").alias("old"), F.col("far").alias("root")), "labels")
+            ended, up = new.where("root <> old").isEmpty(), new.select("node", "root")
+        rounds.append(up)
+        own = lambda c, r: up.select(F.col("node").alias(c), F.col("root").alias(r))  # noqa: B023, E731
+        edges = edges.join(own("a", "x"), "a").join(own("b", "y"), "b").where("x <> y")
+        edges = saved(edges.select(*ends("x", "y")).distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = rounds.pop()
+    while rounds:
+        later = roots.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        roots = saved(rounds.pop().join(later, "root", "left").select("node", F.coalesce("far", "root").alias("root")), "labels")
+    return roots
 
 
 def _rooted(fps: DataFrame, most: int) -> DataFrame:
