@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format
+from .chat_format import chat_digests, with_probe, write_chats
 from .common import table
 from .decontaminate import MASKS, MIN_SCORE, MIN_WORDS, contaminated
 from .exact_dedup import exact_dedup
@@ -13,10 +15,12 @@ from .licenses import COPYRIGHT_LINE, license_scan
 from .quality_crf import quality
 from .sentencepiece_scan import encode
 from .simhash import near_dedup
+from .spelling import spelling_variants
 from .substring_dedup import substring_digests
 from .token_counts import section_tokens
 from .token_records import token_records
 from .warc import warc_round
+from .whitening import whiten
 
 #: The id that closes each document's ids.
 END_ID = 2
@@ -71,6 +75,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(write_chats(with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_section_tokens": op1_section_tokens,
     "op2_token_records": op2_token_records,
@@ -82,6 +98,9 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_chat_format": op13_chat_format,
 }
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -135,7 +154,29 @@ def _decontamination_sql() -> str:
     """
 
 
+def _chat_sql() -> str:
+    def escaped(text, escapes):
+        for plain, code in escapes:
+            text = f"replace({text}, '{plain}', '{code}')"
+        return text
+
+    probe = ", ".join(f"({i}, {turn}, '{role}', '{text}')" for i, turn, role, text in chat_format.PROBE)
+    head, end, colon = len(chat_format.HEADER), len(chat_format.TURN_END), len(chat_format.COLON)
+    order = "ORDER BY turn NULLS FIRST, escaped_role, escaped_text"
+    return f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES {probe}) AS t(conv_id, turn, role, text)),
+        e AS (SELECT *, {escaped("role", chat_format.ESCAPES)} AS escaped_role, {escaped("text", chat_format.ESCAPES[:-1])} AS escaped_text FROM c),
+        r AS (SELECT *, lag(escaped_role) OVER (PARTITION BY conv_id, coalesce(floor(turn / {chat_format.PART_TURNS}), 0) {order}) AS before FROM e)
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length(escaped_text) + {end} + CASE WHEN before IS NULL OR before <> escaped_role THEN {head + colon + 1} + length(escaped_role) ELSE 0 END)::BIGINT AS formatted_chars
+        FROM r GROUP BY conv_id
+    """
+
+
 ORACLE_SQL = {
+    "op13_chat_format": _chat_sql(),
     "op4_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') AS w FROM documents),
         win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
