@@ -1,19 +1,23 @@
-"""Near copies by wide SimHash: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-The method is that of simhash.py with a wider reach. A document's set of distinct words has a fingerprint of SEGMENTS
-segments. Of a pair whose fingerprints differ in a share p of bits, a segment of L bits differs in at most one with the
-probability q = (1 - p)^L + L p (1 - p)^(L - 1), and the pair meets in a bucket with 1 - (1 - q)^SEGMENTS. Word sets of pairs
-at similarity 0.8 differ in p <= 0.085 where single words were replaced (reach 0.999 at L = 26) and in at most 0.152 where a
-fifth of the text is foreign to the rest, word for word (reach 0.73). Segments grow with the logarithm of the number of
-documents, so that chance meetings stay a few a document. Every link is verified on
-the whole sets of 64-bit shingle hashes.
-
-Equal sets are one node. In each bucket all members meet its smallest node. Of the nodes that it meets in a segment a node
-takes the smallest (a chance meeting takes its place in about one segment of ten), and where their fingerprints differ in a
-share of FAR or less they are of one family (unrelated word sets differ in 0.44 or more, pairs at similarity 0.8 in 0.152 at most). In a family
-all are first compared with its centre, the member nearest to a sample of it; families that this leaves in several
-components are cut into tiles, in which all pairs across components are compared and a spanning forest of the similar ones
-is kept. So no pairs are written, and large groups of copies need about one comparison a member.
+"""Near copies by deletion-variant signatures: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+The method is that of simhash.py with fingerprints of a sharper kind, of three-word shingles as there. Each bit is the parity of
+the least hash of the set of shingles under a hash function of its own, so that two sets of similarity s differ in a bit
+with the probability (1 - s) / 2 whatever the edit is: a block replaced or put in, a tail appended (majority bits differ more
+for an appended tail than for replaced words of one similarity); where single words are replaced, sets of three-word
+shingles are more alike than those of five. Fingerprints have SEGMENTS segments of BITS bits. At similarity 0.8 a segment differs
+in at most one bit with the probability 0.9^30 + 30 * 0.1 * 0.9^29 = 0.184, so a pair meets in a bucket of one-wildcard
+variants with 1 - (1 - 0.184)^18 = 0.974, and at 0.85 with 0.9993. Widths are the same for every size of table. Unrelated sets
+meet in a segment with 31 / 2^30, so chance meetings are one a segment at 10^9 documents, of which CHECK further bits turn
+away all but a twentieth. Every link is verified on the whole sets of 64-bit shingle hashes.
+
+Equal sets are one node. In each bucket a node meets the smallest node within CHECK_FAR check bits. Of those that it meets in a
+segment a node takes the smallest, and where their fingerprints differ in a share of FAR or less they are of one family. In
+a family all are first compared with its centre, the member nearest to a sample of it. Families that this leaves in
+several components are narrowed to members that share one of their rarest shingles (prefix filter: two similar sets always
+do), so that pages of one template with contents of their own never meet. What is left is cut into tiles, bounded by the
+number of shingles, in which all pairs across components are compared and a spanning forest of the similar ones is kept. So
+no pairs are written, and large groups of copies need about one comparison a member. Only sets between FAR and the threshold
+that share rare shingles with many others are compared with each of them.
 
 Defined cases: null text is empty; texts without words have equal (empty) sets; a text of fewer than five words is one
 shingle; of a component the row with the smallest doc_id stays (null last; then by text key); of rows that repeat one stays
@@ -23,26 +27,21 @@ names.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, by_tile, keep_rows, saved, shuffle_partitions, text_key
 from .simhash import components
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Segments; bits of one beyond the logarithm of the number of documents, at least and at most; share of differing bits in a family.
-SEGMENTS, SPARE_BITS, LEAST_BITS, MOST_BITS, FAR = 16, 8, 24, 48, 0.33
-#: Members of a family that its centre is chosen by, members of a tile's block, and shingles that are counted at once.
-SAMPLE, BLOCK_MEMBERS, COLUMNS = 32, 256, 4096
-#: Words whose bits are held at once, and words whose bits a worker remembers.
-BLOCK, REMEMBERED = 4096, 100_000
-
-
-def segment_bits(documents: int) -> int:
-    """Bits of a segment for so many documents."""
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, documents))) + SPARE_BITS))
+SHINGLE, SIGNED, SIMILARITY = 5, 3, 0.8
+#: Segments and their bits; bits beside them that go with each posting, and how many of them may differ; share of all bits in a family.
+SEGMENTS, BITS, CHECK, CHECK_FAR, FAR = 18, 30, 23, 7, 0.15
+#: Bits of a node's number within a task, and of both; with CHECK bits they fill a long.
+WITHIN_TASK, NUMBER = 23, 40
+#: Members of a family that its centre is chosen by, shingles of a tile's block, what a member counts beside its shingles, and shingles that are counted at once.
+SAMPLE, BLOCK_SHINGLES, MEMBER, COLUMNS = 32, 1 << 17, 256, 4096
+#: Shingles whose hashes are held at once.
+BLOCK = 1024
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE):
@@ -57,58 +56,63 @@ def shingle_hashes(text: bytes, size: int = SHINGLE):
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
 
 
-class _WordBits:
-    """Majority bits of sets of words, in segments."""
+class _Bits:
+    """Parity bits of the least hashes of a set, in segments, and the check bits."""
 
-    def __init__(self, bits: int):
-        import numpy as np
+    def __init__(self):
+        import hashlib
 
-        self.bits, self.size = bits, SEGMENTS * bits // 8
-        self.weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-        self.known: dict = {}
+        import numpy as np
 
-    def __call__(self, words: set):
-        import hashlib
+        count = SEGMENTS * BITS + CHECK
+        drawn = np.frombuffer(hashlib.shake_128(b"near copies").digest(8 * count), "<u4")
+        self.factors, self.added = drawn[:count] | 1, drawn[count:]
+        self.weights, self.check = (np.int64(1) << np.arange(k, dtype=np.int64) for k in (BITS, CHECK))
 
+    def __call__(self, hashes):
+        """(segments, check bits) of distinct 64-bit hashes."""
         import numpy as np
 
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        ones, words, known = np.zeros(SEGMENTS * self.bits, np.int64), list(words), self.known
-        for i in range(0, len(words), BLOCK):
-            rows = []
-            for w in words[i : i + BLOCK]:
-                if (row := known.get(w)) is None:
-                    row = known[w] = hashlib.shake_128(w).digest(self.size)
-                rows.append(row)
-            ones += np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, self.size), axis=1).sum(axis=0, dtype=np.int32)
-        return (2 * ones > len(words)).reshape(SEGMENTS, self.bits) @ self.weights
+        x, least = hashes.astype(np.uint32), np.full(len(self.factors), 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(x), BLOCK):
+            own = x[i : i + BLOCK, None] * self.factors
+            own += self.added
+            np.minimum(least, own.min(axis=0), out=least)
+        bits = (np.bitwise_count(least) & 1).astype(np.int64)
+        return bits[:-CHECK].reshape(SEGMENTS, BITS) @ self.weights, int(bits[-CHECK:] @ self.check)
 
 
-def _signatures(bits: int):
-    """doc_id, text_key, text -> doc_id, text_key, node (hash of the shingle set), n (its size), segments."""
+_SIGNED = "doc_id long, text_key long, node long, n int, segments array<long>, check_bits long"
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        import xxhash
-
-        fingerprint = _WordBits(bits)
-        for batch in batches:
-            nodes, sizes, segments = [], [], []
-            for x in pc.fill_null(batch.column("text"), "").cast(pa.binary()):
-                text = x.as_py()
-                h = shingle_hashes(text)
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
-                sizes.append(len(h))
-                segments.append(fingerprint(set(text.lower().split())))
-            flat = np.concatenate(segments) if segments else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEGMENTS), pa.int32()), pa.array(flat, pa.int64()))
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), node, pa.array(sizes, pa.int32()), lists], names=["doc_id", "text_key", "node", "n", "segments"])
 
-    return run
+def _signatures(batches):
+    """doc_id, text_key, text -> doc_id, text_key, node (hash of the shingle set), n (its size), segments, check_bits."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    fingerprint = _Bits()
+    for batch in batches:
+        nodes, sizes, segments, checks = [], [], [], []
+        for x in pc.fill_null(batch.column("text"), "").cast(pa.binary()):
+            h = shingle_hashes(x.as_py())
+            nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+            sizes.append(len(h))
+            own, check = fingerprint(shingle_hashes(x.as_py(), SIGNED))
+            segments.append(own)
+            checks.append(check)
+        flat = np.concatenate(segments) if segments else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEGMENTS), pa.int32()), pa.array(flat, pa.int64()))
+        node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+        columns = [batch.column("doc_id"), batch.column("text_key"), node, pa.array(sizes, pa.int32()), lists, pa.array(checks, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "segments", "check_bits"])
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """The signatures of docs (doc_id, text), saved."""
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return saved(rows.withColumn("text_key", text_key()).mapInArrow(_signatures, _SIGNED), "signatures")
 
 
 def _sets(batches):
@@ -123,33 +127,49 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([node.slice(at, 1), own], names=["node", "shingles"])
 
 
-def variants(nodes: DataFrame, bits: int) -> DataFrame:
-    """key, node: the one-wildcard variants of each segment; variant v has bit v % bits of segment v / bits cleared."""
+def variants(nodes: DataFrame) -> DataFrame:
+    """key, node: the one-wildcard variants of each segment; variant v has bit v % BITS of segment v / BITS cleared."""
     rows = nodes.select("node", F.posexplode("segments").alias("segment", "value"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
     cleared = F.col("value").bitwiseAND(F.expr("~shiftleft(1L, bit)"))
-    return rows.select(F.shiftleft((F.col("segment") * bits + F.col("bit")).cast("long"), bits).bitwiseOR(cleared).alias("key"), "node")
-
+    return rows.select(F.shiftleft((F.col("segment") * BITS + F.col("bit")).cast("long"), BITS).bitwiseOR(cleared).alias("key"), "node")
 
-def _meetings(bits: int):
-    """Rows in order of (key, node) -> segment, head (the smallest node of a key), node of all others."""
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def _meetings(batches):
+    """Rows in order of (key, node) -> segment, head, node: the smallest node of a bucket within CHECK_FAR check bits of each.
 
-        last, head = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            new = np.r_[last is None or keys[0] != last, keys[1:] != keys[:-1]]
-            heads = np.r_[head, nodes[new]][np.cumsum(new)]  # 0: of the bucket that the batch before left open
-            segment = ((keys[~new] >> bits) // bits).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(heads[~new]), pa.array(nodes[~new])], names=["segment", "head", "node"])
-            last, head = keys[-1], heads[-1]
+    A node is its number, then its check bits. Those that are near no head before become heads themselves.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-    return run
+    mask = np.int64((1 << CHECK) - 1)
+    last, open_heads = None, np.empty(0, np.int64)  # of the bucket that the batch before left open
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        found = []
+
+        def meet(rows, heads, keys=keys, nodes=nodes, found=found):
+            """Those of rows that are not near their heads."""
+            near = np.bitwise_count((heads ^ nodes[rows]) & mask) <= CHECK_FAR
+            found.append((keys[rows[near]], heads[near], nodes[rows[near]]))
+            return rows[~near]
+
+        left, goes_on = np.arange(len(keys)), int(np.searchsorted(keys, last, "right")) if last == keys[0] else 0
+        more = open_heads if goes_on else np.empty(0, np.int64)
+        for head in more:
+            left = np.r_[meet(left[left < goes_on], np.repeat(head, int((left < goes_on).sum()))), left[left >= goes_on]]
+        last, open_heads = keys[-1], more if goes_on == len(keys) else np.empty(0, np.int64)
+        while len(left):  # the first row that is left of each bucket is a head
+            new = np.r_[True, keys[left[1:]] != keys[left[:-1]]]
+            heads = nodes[left[new]]
+            open_heads = np.r_[open_heads, heads[keys[left[new]] == last]]
+            left = meet(left[~new], heads[np.cumsum(new)[~new] - 1])
+        found_k, found_h, found_n = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+        columns = [pa.array(((found_k >> BITS) // BITS).astype(np.int32)), pa.array(found_h >> CHECK), pa.array(found_n >> CHECK)]
+        yield pa.RecordBatch.from_arrays(columns, names=["segment", "head", "node"])
 
 
 def _distance(a, b):
@@ -206,13 +226,34 @@ def _between(similarity: float):
     return run
 
 
+def _sharing(members: DataFrame, similarity: float) -> DataFrame:
+    """Members (key, node, root, shingles) of families in several components, with keys of those that may be similar.
+
+    In the order of (documents of the family that have it, hash) two similar sets share one of the first shingles of each:
+    the smaller set's up to what it must have in common with one of its own size, the larger's up to a set of `similarity`
+    times its size. Rows are as many as shingles; a shingle's holders are linked to one of them.
+    """
+    parts = shuffle_partitions(members.sparkSession)
+    several = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    members = saved(members.join(several, "key"), "open-families")
+    rows = members.select("key", "node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = rows.groupBy("key", "s").agg(F.count("*").alias("held")).repartition(parts)
+    places = rows.join(held, ["key", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("held", "s")))
+    upto = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-6) + 1
+    first = places.where((F.col("held") > 1) & (F.col("place") <= upto(similarity)))
+    first = saved(first.select("key", "s", "node", (F.col("place") <= upto(2 * similarity / (1 + similarity))).alias("smaller")), "rarest")
+    heads = first.where("smaller").groupBy("key", "s").agg(F.min("node").alias("head")).repartition(parts)
+    groups = components(first.join(heads, ["key", "s"]).select(F.col("head").alias("a"), F.col("node").alias("b")))
+    return members.drop("key").join(groups.select("node", F.col("root").alias("key")), "node")
+
+
 def _tiles(members: DataFrame, block: int) -> DataFrame:
-    """Members (key, node, root, shingles) of families in several components, in tiles by (key, lo, hi).
+    """Members (key, node, root, shingles) of groups in several components, in tiles by (key, lo, hi).
 
-    The members of a family's largest component are only paired with the others, so its tiles are as many as the others'
-    blocks times all blocks.
+    The members of a group's largest component are only paired with the others, so its tiles are as many as the others'
+    blocks times all blocks. A block has about `block` shingles (a member counts as MEMBER more).
     """
-    counts = members.groupBy("key", "root").agg(F.count("*").alias("held"))
+    counts = members.groupBy("key", "root").agg(F.sum(F.size("shingles") + MEMBER).alias("held"))
     largest = counts.groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.sum("held").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     rows = members.join(largest.select("key", F.col("most.root").alias("main"), F.col("most.held").alias("inside"), (F.col("all") - F.col("most.held")).alias("outside")), "key")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
@@ -225,21 +266,29 @@ def _tiles(members: DataFrame, block: int) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
-def similar_links(docs: DataFrame, signed: DataFrame, bits: int, similarity: float = SIMILARITY, block: int = BLOCK_MEMBERS) -> DataFrame:
-    """a, b: verified links that join the same nodes as all similar pairs of a family do. signed: rows of _signatures."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with a short `node` number: of the task, then of the row within it."""
+    given = F.monotonically_increasing_id()
+    task, within = F.shiftright(given, 33), given.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (within < 1 << WITHIN_TASK) & (task < 1 << (NUMBER - WITHIN_TASK))
+    return rows.withColumn("node", F.when(fits, F.shiftleft(task, WITHIN_TASK).bitwiseOR(within)).otherwise(F.raise_error(F.lit("more rows a task than numbers"))))
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: verified links that join the same nodes as all similar pairs of a family do. signed: rows of signatures()."""
     parts = shuffle_partitions(docs.sparkSession)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
-    whole = signed.groupBy("node").agg(first, F.min(F.struct("n", "segments")).alias("own")).where("own.n > 0")
+    whole = signed.groupBy("node").agg(first, F.min(F.struct("n", "segments", "check_bits")).alias("own")).where("own.n > 0")
     # short numbers for the nodes, which go into many buckets
-    firsts = saved(whole.select(F.monotonically_increasing_id().alias("node"), F.col("node").alias("hash"), "row", "own.segments"), "nodes")
-    keyed = variants(firsts.select("node", "segments").repartition(parts), bits)
+    firsts = saved(_numbered(whole.select(F.col("node").alias("hash"), "row", "own.segments", "own.check_bits")), "nodes")
+    keyed = variants(firsts.select(F.shiftleft("node", CHECK).bitwiseOR(F.col("check_bits")).alias("node"), "segments").repartition(parts))
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
-    met = keyed.mapInArrow(_meetings(bits), "segment int, head long, node long")
-    # the smallest head of each node and segment: at most SEGMENTS a node, however many loosely related ones it meets
+    met = keyed.mapInArrow(_meetings, "segment int, head long, node long")
+    # the smallest head of each node and segment: at most SEGMENTS a node, however many it meets
     met = met.groupBy("node", "segment").agg(F.min("head").alias("head")).select("head", "node").distinct()
     own = lambda c, s: firsts.select(F.col("node").alias(c), F.col("segments").alias(s))
     near = met.select(F.col("head").alias("a"), F.col("node").alias("b")).join(own("b", "sb"), "b").join(own("a", "sa"), "a")
-    families = components(near.where(_distance("sa", "sb") <= int(FAR * SEGMENTS * bits)).select("a", "b"))
+    families = components(near.where(_distance("sa", "sb") <= int(FAR * SEGMENTS * BITS)).select("a", "b"))
 
     # the sets of all members of families, from the one text that each node is named by
     named = families.select("node", F.col("root").alias("key")).join(firsts.select("node", "segments", F.col("row.doc_id").alias("own_id"), F.col("row.text_key").alias("own_key")), "node")
@@ -265,7 +314,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, bits: int, similarity: flo
 
     roots = components(links)
     held = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _tiles(held, block).mapInArrow(_between(similarity), "a long, b long")
+    rest = _tiles(_sharing(held.select("key", "node", "root", "shingles"), similarity), block).mapInArrow(_between(similarity), "a long, b long")
     links = links.union(rest)
     names = firsts.select("node", "hash")
     links = links.join(names.withColumnsRenamed({"node": "a", "hash": "x"}), "a").join(names.withColumnsRenamed({"node": "b", "hash": "y"}), "b")
@@ -274,11 +323,8 @@ def similar_links(docs: DataFrame, signed: DataFrame, bits: int, similarity: flo
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs with the smallest doc_id of each component of similar documents (null last), with all columns."""
-    bits = segment_bits(docs.count())
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = rows.withColumn("text_key", text_key()).mapInArrow(_signatures(bits), "doc_id long, text_key long, node long, n int, segments array<long>")
-    signed = saved(signed, "signatures")
-    roots = components(similar_links(docs, signed, bits, similarity))
+    signed = signatures(docs)
+    roots = components(similar_links(docs, signed, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
     owned = signed.groupBy("node").agg(first).join(roots, "node", "left")
     best = owned.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
