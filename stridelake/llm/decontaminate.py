@@ -10,8 +10,13 @@ A stretch that scores 8 has, in some 8 words in a row, 6 or more that are equal
 could not reach 3 m = 2 n + 8), and each choice of 6 of 8 places holds all places of one of the masks; so every overlap
 that the verification accepts has a seed.
 
-The seeds of the benchmark are broadcast only where their counted number is at most BROADCAST_SEEDS; a larger benchmark
-is joined by shuffling document seeds, and documents meet their hits by id again. Items of fewer than `spaced_from` words
+A seed that more than `shared` places of items have is too frequent to be joined alone: it goes with one more word and that
+word's place, out of those next to the mask. An overlap has at least one more equal word there (two in each 8 words of
+above; all words where an item is shorter than 8), so none is missed.
+
+Hits are made distinct before they are verified, within tasks first, so each diagonal is walked once. The seeds of the
+benchmark are broadcast only where their counted number is at most BROADCAST_SEEDS; those of a larger benchmark are joined
+by shuffling document seeds. Documents meet their hits by id and digest again. Items of fewer than `spaced_from` words
 are searched whole, as one seed of all their words; those of fewer than MIN_WORDS words are not searched. Null texts and
 texts without words have no seeds; null or repeated ids give links under that id, one a document id and item, of equal
 scores the first place; very long texts have seeds all over; empty tables give no rows; extra columns are ignored by
@@ -30,6 +35,8 @@ MASKS = ("1111", "11011", "110101", "110011")
 MIN_WORDS, MIN_SCORE = 5, 8
 #: Bound of a broadcast: about 100 MB of seeds.
 BROADCAST_SEEDS = 2_000_000
+#: Places of items that may have one seed, and where the further word of a more frequent one may be (an 8-word stretch that holds the mask).
+SHARED, NEXT = 256, range(-4, 8)
 
 
 def words_of(text) -> Column:
@@ -67,7 +74,18 @@ def _overlap(hits: DataFrame, min_score: int) -> DataFrame:
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS, spaced_from: int = 12) -> DataFrame:
+def _frequent(seeds: DataFrame, masks: list[str], words: str, pos: str) -> DataFrame:
+    """seeds with further words: their seed is a hash of seed, place and word, for every place in NEXT that is not in the mask."""
+    places = F.array(*[F.array(*map(F.lit, (o for o in NEXT if not (0 <= o < len(m) and m[o] == "1")))) for m in masks])
+    rows = seeds.withColumn("place", F.explode(F.get(places, F.col("mask"))))
+    at = F.col(pos) + F.col("place")
+    word = F.when(at >= 0, F.get(words, at))
+    return rows.where(word.isNotNull()).withColumn("seed", F.xxhash64("seed", "place", word)).drop("place")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS, spaced_from: int = 12, shared: int = SHARED
+) -> DataFrame:
     """doc_id, item_id, score, equal_words, first_word, item_words of each document and benchmark item that overlap.
 
     With spaced_from at MIN_WORDS items of every length have spaced seeds, and no overlap is missed.
@@ -80,17 +98,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCO
     fits = (F.col("mask") < usual) & (F.col("n") >= spaced_from)
     for k, n in enumerate(sorted(short)):
         fits |= (F.col("mask") == usual + k) & (F.col("n") == n)
-    seeds = seeds.where(fits).select("item_id", "item_pos", "seed").distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"))
-    diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
-    if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = _seeds(rows, masks).join(F.broadcast(seeds), "seed").select("doc_id", "words", "item_id", diagonal)
-        return _overlap(hits.join(F.broadcast(items), "item_id"), min_score)
-    rows = rows.withColumn("row_key", F.xxhash64("words"))
-    found = _seeds(rows, masks).select("doc_id", "row_key", "pos", "seed").join(seeds, "seed").select("doc_id", "row_key", "item_id", diagonal).distinct()
-    again = rows.select(F.col("doc_id").alias("own_id"), F.col("row_key").alias("own_key"), "words")
-    hits = found.join(again, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key"))).select("doc_id", "words", "item_id", "diagonal")
-    return _overlap(hits.join(items, "item_id"), min_score)
+    seeds = saved(seeds.where(fits).select("item_id", "item_pos", "mask", "seed", F.col("words").alias("item_words")), "item-seeds")
+    few = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
+    sent = F.broadcast if few else lambda df: df
+    often = saved(seeds.where(F.col("mask") < usual).groupBy("seed").agg(F.count("*").alias("held")).where(F.col("held") > shared).select("seed"), "frequent-seeds")
+
+    key = F.xxhash64(text_key(), F.length("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = _seeds(rows.select("doc_id", key.alias("row_key"), words_of(F.col("text")).alias("words")), masks)
+    hit = ("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+    if often.isEmpty():
+        found = own.join(sent(seeds.select("item_id", "item_pos", "seed")), "seed").select(*hit)
+    else:
+        frequent = _frequent(seeds.join(sent(often), "seed", "left_semi"), masks, "item_words", "item_pos")
+        rare = seeds.join(sent(often), "seed", "left_anti")
+        found = own.join(sent(rare.select("item_id", "item_pos", "seed")), "seed").select(*hit)
+        more = _frequent(own.join(sent(often), "seed", "left_semi"), masks, "words", "pos")
+        found = found.union(more.join(sent(frequent.select("item_id", "item_pos", "seed")), "seed").select(*hit))
+    found = saved(found.distinct(), "hits").withColumnsRenamed({"doc_id": "own_id", "row_key": "own_key"})
+    met = rows.withColumn("row_key", key).join(small(found), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key")))
+    hits = met.select("doc_id", words_of(F.col("text")).alias("words"), "item_id", "diagonal")
+    return _overlap(hits.join(small(items), "item_id"), min_score)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

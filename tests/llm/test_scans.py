@@ -135,8 +135,8 @@ def leaks_by_hand(docs, bench, min_score=decontaminate.MIN_SCORE):
     return found
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
-def test_decontamination(spark, bound):
+@pytest.mark.parametrize("bound,shared", [(0, 256), (10**6, 256), (0, 0), (10**6, 0), (10**6, 2)])
+def test_decontamination(spark, bound, shared):
     rng = np.random.default_rng(3)
     say = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
     bench = [(i, say(n)) for i, n in enumerate([4, 6, 11, 12, 16, 30, 50])]
@@ -150,7 +150,7 @@ def test_decontamination(spark, bound):
     bench = [(i, " ".join(w)) for i, w in bench] + [(None, None), (99, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"words": F.lit(1), "pos": F.lit(2), "seed": F.lit(3)})
     items = spark.createDataFrame(bench, "item_id long, text string").withColumn("words", F.lit("x"))
-    got = decontaminate.contaminated(df, items, broadcast_seeds=bound).collect()
+    got = decontaminate.contaminated(df, items, broadcast_seeds=bound, shared=shared).collect()
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert {(r.doc_id, r.item_id) for r in got} == leaks_by_hand(docs, bench)
     assert {(100 * i + k + 2, i) for i in (3, 4, 5, 6) for k in range(2)} <= {(r.doc_id, r.item_id) for r in got}

@@ -24,6 +24,19 @@ def test_six_of_eight_places_hold_a_mask():
         assert any({at + i for i, c in enumerate(m) if c == "1"} <= set(equal) for m in decontaminate.MASKS for at in range(9 - len(m)))
 
 
+def test_frequent_seeds_miss_no_overlap(spark):
+    """Items and documents of few words, so that every seed is shared by many; a small bound makes most of them frequent."""
+    rng = np.random.default_rng(12)
+    say = lambda n: [f"v{x}" for x in rng.integers(0, 3, n)]
+    items, docs = [say(n) for n in (5, 6, 7, 8, 9, 12, 20)], [say(n) for n in (3, 5, 8, 20, 60)] + [["v1"] * 40]
+    want = {(d, i): s for d, w in enumerate(docs) for i, item in enumerate(items) if (s := best_by_hand(w, item)) >= min(decontaminate.MIN_SCORE, len(item))}
+    frames = (spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id")))
+    docs, items = frames
+    for shared in (0, 1, 3):
+        got = decontaminate.contaminated(docs, items, spaced_from=decontaminate.MIN_WORDS, shared=shared).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in got} == want and want
+
+
 def test_query_finds_every_overlap(spark: SparkSession, tmp_path):
     rng = np.random.default_rng(11)
     say = lambda n: [f"v{x}" for x in rng.integers(0, 3000, n)]
