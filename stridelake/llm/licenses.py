@@ -1,17 +1,25 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-Canonical form of a line: lower case; nothing where it is a copyright line; equivalent spellings made one; every run of
-other characters than letters and digits one space. The canonical text is its non-empty lines joined by a space, so line
-breaks do not count. Digests of entire texts are hash-joined with those of known licences (a constant table of less than a
-hundred rows, so it is broadcast); entire lines are looked up among one-line notices in a constant map. Each row is read
-once and nothing is shuffled.
+Canonical form of a text: lower case; lines joined; every run of white space one space; equivalent spellings made one; every
+run of other characters than letters and digits one space. Copyright statements are left out before, in three ways, and an
+entire text counts as a known one if its digest is that of a known text in any of them:
+
+* every line that states a copyright is left out (a notice on lines of its own above the text);
+* every paragraph that begins with a copyright statement and has at most STATEMENT words is left out (a notice that was wrapped
+  at any width, also with the sentence that goes with it);
+* nothing is left out (a text on one line).
+
+Lines are joined before spellings are compared, so where lines break does not count. Digests of entire texts are
+hash-joined with those of known licences (a constant table of less than two hundred rows, so it is broadcast); entire lines
+are looked up among one-line notices in a constant map. Each row is read once and nothing is shuffled.
 
 Known texts are those of license_texts.TEXTS (22 licences; each with and without its title line and the guidance after its
 end) and notices those of NOTICES; both are parameters.
 
 Defined cases: a null text is empty; a text without words has the digest of the empty string and no licence; null ids and
 repeated rows give a row each; of two licences with one canonical text the name that sorts first is given; very long texts
-are taken whole; an empty table gives no rows; extra columns are ignored, whatever their names.
+are taken whole; an empty table gives no rows; extra columns are ignored, whatever their names. text_digest is that of the
+first way.
 """
 
 from __future__ import annotations
@@ -25,19 +33,32 @@ from .license_texts import NOTICES, SPELLINGS, TEXTS, editions
 COPYRIGHT_LINE = r"^[\s#*/;-]*(copyright[\s:]*(\(c\)|©|[0-9]|\[|<|by )|\(c\) *(copyright|[0-9])|©|all rights reserved).*"
 
 
-def canonical_line(line: Column) -> Column:
-    low = F.regexp_replace(F.lower(line), COPYRIGHT_LINE, "")
+#: Words of a paragraph that is a copyright statement, at most; what ends a paragraph; white space.
+STATEMENT, PARAGRAPH, BLANKS = 40, r"\n[\t\x0B\f\r ]*\n", r"[\t\n\x0B\f\r ]+"
+
+
+def canonical(text: Column) -> Column:
+    """Lower-case text, with its lines joined -> its words in one spelling."""
+    text = F.regexp_replace(text, BLANKS, " ")
     for spelling, kept in SPELLINGS:
-        low = F.replace(low, F.lit(spelling), F.lit(kept))
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+        text = F.replace(text, F.lit(spelling), F.lit(kept))
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+
+
+def own_lines(text: Column) -> Column:
+    """The lower-case lines of text that state no copyright."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~F.rlike(x, F.lit(COPYRIGHT_LINE)))
 
 
-def canonical_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line), lambda x: x != "")
+def _own_paragraphs(text: Column) -> Column:
+    joined = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), PARAGRAPH), lambda x: F.regexp_replace(x, BLANKS, " "))
+    return F.filter(joined, lambda x: ~(F.rlike(x, F.lit(COPYRIGHT_LINE)) & (F.size(F.split(F.trim(x), " ")) <= STATEMENT)))
 
 
-def _digest(text: Column) -> Column:
-    return F.sha2(text, 256)
+def digests(text: Column) -> list[Column]:
+    """SHA-256 of the canonical text: without copyright lines, without copyright paragraphs, with both."""
+    forms = (F.array_join(own_lines(text), " "), F.array_join(_own_paragraphs(text), " "), F.lower(F.coalesce(text, F.lit(""))))
+    return [F.sha2(canonical(x), 256) for x in forms]
 
 
 def _constants(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -50,8 +71,8 @@ def _constants(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 def known_digests(spark: SparkSession, texts: dict[str, str] = TEXTS) -> DataFrame:
     """text_digest, license_id of entire texts, in all their editions."""
     rows = _constants(spark, [(n, t) for n in sorted(texts) for t in editions(texts[n])])
-    digests = rows.select(_digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("text_digest"), F.col("name").alias("license_id"))
-    return digests.groupBy("text_digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select(F.explode(F.array(*digests(F.col("text")))).alias("text_digest"), F.col("name").alias("license_id"))
+    return rows.where(F.col("text_digest") != F.sha2(F.lit(""), 256)).groupBy("text_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def known_lines(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) -> dict[str, int]:
@@ -59,7 +80,7 @@ def known_lines(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) ->
     names = sorted(notices)
     rows = _constants(spark, [(n, x) for n in names for x in notices[n]])
     found: dict[str, int] = {}
-    for r in rows.select("name", F.array_join(canonical_lines(F.col("text")), " ").alias("line")).collect():  # the constant list
+    for r in rows.select("name", canonical(F.lower("text")).alias("line")).collect():  # the constant list
         found[r.line] = found.get(r.line, 0) | 1 << names.index(r.name)
     return found
 
@@ -70,12 +91,16 @@ def license_scan(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[s
         raise ValueError("at most 62 kinds of notices")
     known = known_lines(docs.sparkSession, notices)
     whole = known_digests(docs.sparkSession, texts)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text").cast("string")).alias("lines"))
+    text = F.col("text").cast("string")
+    forms = [x.alias(f"form{k}") for k, x in enumerate(digests(text))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *forms, F.transform(own_lines(text), canonical).alias("lines"))
     texts_, bits = F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values()))
     # a notice's line is found among few; most lines end this filter
     hits = F.filter("lines", lambda x: F.array_contains(texts_, x)) if known else F.array().cast("array<string>")
-    rows = rows.select("doc_id", _digest(F.array_join("lines", " ")).alias("text_digest"), hits.alias("hits"))
+    rows = rows.withColumn("hits", hits).drop("lines")
     mask = F.aggregate("hits", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.element_at(bits.cast("array<long>"), F.array_position(texts_, x).cast("int")))) if known else F.lit(0).cast("long")
-    rows = rows.select("doc_id", "text_digest", mask.alias("mask"), F.size("hits").cast("long").alias("notice_lines"))
+    rows = rows.select("doc_id", "form0", "form1", "form2", mask.alias("mask"), F.size("hits").cast("long").alias("notice_lines"))
     names = F.concat_ws(",", *[F.when(F.col("mask").bitwiseAND(F.lit(1 << n)) != 0, F.lit(name)) for n, name in enumerate(sorted(notices))])
-    return rows.join(F.broadcast(whole), "text_digest", "left").select("doc_id", "text_digest", "license_id", names.alias("notices"), "notice_lines")
+    for k in range(3):
+        rows = rows.join(F.broadcast(whole.select(F.col("text_digest").alias(f"form{k}"), F.col("license_id").alias(f"found{k}"))), f"form{k}", "left")
+    return rows.select("doc_id", F.col("form0").alias("text_digest"), F.coalesce("found0", "found1", "found2").alias("license_id"), names.alias("notices"), "notice_lines")

@@ -11,7 +11,7 @@ from .common import table
 from .decontaminate import MASKS, MIN_SCORE, MIN_WORDS, contaminated
 from .exact_dedup import exact_dedup
 from .license_texts import NOTICES, SPELLINGS, TEXTS, editions
-from .licenses import COPYRIGHT_LINE, license_scan
+from .licenses import BLANKS, COPYRIGHT_LINE, PARAGRAPH, STATEMENT, license_scan
 from .quality_crf import quality
 from .sentencepiece_scan import encode
 from .simhash import near_dedup
@@ -112,21 +112,27 @@ def _quoted(text: str) -> str:
 
 
 def _license_sql() -> str:
-    line = f"regexp_replace(lower(x), '{COPYRIGHT_LINE}', '')"
-    for spelling, kept in SPELLINGS:
-        line = f"replace({line}, '{spelling}', '{kept}')"
-    line = rf"trim(regexp_replace({line}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line}), lambda x: x <> '')"
+    def canonical(x):
+        x = f"regexp_replace({x}, '{BLANKS}', ' ', 'g')"
+        for spelling, kept in SPELLINGS:
+            x = f"replace({x}, '{spelling}', '{kept}')"
+        return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+    low, states = "lower(coalesce(text, ''))", f"regexp_matches(x, '{COPYRIGHT_LINE}')"
+    lines = f"list_filter(string_split({low}, chr(10)), lambda x: NOT {states})"
+    joined = f"list_transform(regexp_split_to_array({low}, '{PARAGRAPH}'), lambda x: regexp_replace(x, '{BLANKS}', ' ', 'g'))"
+    paragraphs = f"list_filter({joined}, lambda x: NOT ({states} AND len(string_split(trim(x), ' ')) <= {STATEMENT}))"
+    forms = [f"sha256({canonical(x)})" for x in (f"array_to_string({lines}, ' ')", f"array_to_string({paragraphs}, ' ')", low)]
     texts = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, own in TEXTS.items() for t in editions(own))
     notices = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, own in NOTICES.items() for t in own)
     return f"""
-        WITH d AS (SELECT doc_id, {lines} AS lines FROM documents),
-        known AS (SELECT min(license_id) AS license_id, sha256(array_to_string({lines}, ' ')) AS text_digest FROM (VALUES {texts}) AS t(license_id, text) GROUP BY 2),
-        notice AS (SELECT DISTINCT name, array_to_string({lines}, ' ') AS line FROM (VALUES {notices}) AS t(name, text)),
+        WITH d AS (SELECT doc_id, list_transform({lines}, lambda x: {canonical("x")}) AS lines, {", ".join(f"{x} AS form{k}" for k, x in enumerate(forms))} FROM documents),
+        known AS (SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, unnest([{", ".join(forms)}]) AS digest FROM (VALUES {texts}) AS t(license_id, text)) WHERE digest <> sha256('') GROUP BY digest),
+        notice AS (SELECT DISTINCT name, {canonical("lower(text)")} AS line FROM (VALUES {notices}) AS t(name, text)),
         found AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(*) AS notice_lines
                   FROM (SELECT doc_id, unnest(lines) AS line FROM d) JOIN notice USING (line) GROUP BY doc_id)
-        SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest, license_id, coalesce(notices, '') AS notices, coalesce(notice_lines, 0) AS notice_lines
-        FROM d LEFT JOIN known ON known.text_digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN found USING (doc_id)
+        SELECT doc_id, form0 AS text_digest, coalesce(a.license_id, b.license_id, c.license_id) AS license_id, coalesce(notices, '') AS notices, coalesce(notice_lines, 0) AS notice_lines
+        FROM d LEFT JOIN known a ON a.digest = form0 LEFT JOIN known b ON b.digest = form1 LEFT JOIN known c ON c.digest = form2 LEFT JOIN found USING (doc_id)
     """
 
 

@@ -2,9 +2,11 @@
 
 import functools
 import re
+import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +14,7 @@ from data import edge_docs, frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
 
-from stridelake.llm import decontaminate, license_texts, licenses, quality_crf, token_counts
+from stridelake.llm import decontaminate, license_texts, licenses, quality_crf, queries, token_counts
 from stridelake.llm.unit_encoder import UnitEncoder
 
 BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -172,6 +174,38 @@ def test_every_licence_is_found_in_other_guise(spark):
     assert got == want
 
 
+def wrapped(text, width):
+    """text with each paragraph wrapped at width; None: one line a paragraph, 0: all on one line."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text.strip())]
+    if width == 0:
+        return " ".join(paragraphs)
+    return "\n\n".join(p if width is None else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+
+
+def test_every_licence_is_found_at_any_width(spark):
+    """Copyright statements are wrapped with the rest; a further one is a paragraph of its own, on one line or two."""
+    docs, want = [], {}
+    for name, text in license_texts.TEXTS.items():
+        for width in (50, 55, 60, 66, 70, 72, 76, 80, 90, 100, None, 0):
+            for head in ("", "Copyright (c) 2019-2024 Some Body\n\n", "Copyright 2020 The Authors of a Very Long\nProject Name. All rights reserved.\n\n"):
+                want[len(docs)] = None if head and width == 0 else name
+                docs.append((len(docs), head + wrapped(text, width) if width != 0 or not head else "some words " + wrapped(text, width)))
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want
+
+
+def test_licence_sql_is_the_same_at_any_width(spark, tmp_path):
+    docs = [(k, f"Copyright 2021 X Y\n\n{wrapped(license_texts.TEXTS[n], width)}") for k, (n, width) in enumerate((n, w) for n in ("Apache-2.0", "GPL-2", "MIT", "BSD", "LGPL-3") for w in (50, 66, None, 0))]
+    spark.createDataFrame([*docs, (99, None), (100, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op5_license_scan"])
+    names = [d[0] for d in want.description]
+    got = queries.op5_license_scan(spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert sum(r.license_id is not None for r in got) >= 15
+
+
 def test_license_scan(spark):
     mit = license_texts.TEXTS["MIT"]
     docs = [(1, "Copyright (c) 2020 A. Nother\n\n" + mit.upper()), (2, mit.replace("License", "Licence").replace("\n\n", "\n").replace(",", " -- ")), (3, mit + " more"), (4, "Text.\n  released under the MIT  licence\nEnd"), (5, None), (6, ""), (None, "# LICENSED under CC BY-NC 4.0"), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\nReleased under the MIT license"), (8, "x\n" * 60_000 + "Released under the MIT License."), (9, mit.split("\n", 1)[1])]
