@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cosine, norm, verdict
-from .enroll import best_match, require_enrolled
-
-#: Signatures that are broadcast to be compared with every probe: at most so many rows, else they are shuffled.
-BROADCAST_ROWS = 100_000
-
-
-def _close(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
+from ..functions.geometry import cosine, verdict
+from .enroll import require_enrolled
+from .search import best_matches
 
 def verify_claims(claims: DataFrame, signatures: DataFrame, dims: int, threshold: float = 0.7737) -> DataFrame:
     """key, claimed_identity, score, is_authentic of claims (key, claimed_identity, e); an unenrolled claim is an error."""
@@ -25,16 +18,14 @@ def verify_claims(claims: DataFrame, signatures: DataFrame, dims: int, threshold
 
 
 def identify(probes: DataFrame, signatures: DataFrame, dims: int) -> DataFrame:
-    """key, best_identity, best_score of probes (key, e): every enrolled identity is compared, as one-to-many search means."""
-    s = _close(signatures.select(F.col("identity").alias("claimed_identity"), "sig", norm(F.col("sig"), dims).alias("norm_sig")))
-    pairs = probes.select("key", "e", norm(F.col("e"), dims).alias("norm_e")).crossJoin(s)
-    score = cosine(F.col("e"), F.col("sig"), dims, F.col("norm_e"), F.col("norm_sig"))
-    scored = pairs.select("key", F.lit(None).cast("string").alias("true_identity"), "claimed_identity", score.alias("score"))
-    return best_match(scored, "key").select("key", "best_identity", "best_score")
+    """key, best_identity, best_score of probes (key, e): the best of all enrolled identities, of equal ones the last by name."""
+    best = best_matches(probes, signatures, 1, dims, last_name=True)
+    return best.select("key", F.col("claimed_identity").alias("best_identity"), F.col("score").alias("best_score"))
 
 
 def verdicts(claims: DataFrame, signatures: DataFrame, dims: int, threshold: float = 0.7737) -> DataFrame:
     """key, claimed_identity, score, best_identity, best_score, verdict of claims."""
     own = verify_claims(claims, signatures, dims, threshold)
+    own = own.withColumn("key", F.col("key").cast("string"))
     all_ = own.join(identify(claims.select("key", "e"), signatures, dims), "key")
     return all_.select("key", "claimed_identity", "score", "best_identity", "best_score", verdict(F.col("best_score"), F.col("best_identity"), F.col("claimed_identity"), F.col("score"), threshold).alias("verdict"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import names
-from ..operators import attribution, augment, enroll, features, head, history, lookup, metrics, preserve, sequence, summary, train, verify
+from ..operators import attribution, augment, enroll, features, head, history, lookup, metrics, preserve, search, sequence, summary, train, verify
 from ..sources import files
 from ..sources.surrogate import label_scores, pose_frames, scored_pairs, series, signatures, table, vectors
 from . import sql as q
@@ -287,12 +287,17 @@ def person_split(spark, sf):
 
 @query(f"WITH {q.SCORED} SELECT vec_id, true_identity, arg_max(claimed_identity, (score, claimed_identity)) AS best_identity, max(score) AS best_score FROM sp GROUP BY vec_id, true_identity")
 def identify_1_to_n(spark, sf):
-    return enroll.best_match(scored_pairs(spark, sf))
+    v = vectors(spark, sf)
+    best = verify.identify(v.select(F.concat_ws("|", "vec_id", "identity").alias("key"), "e"), signatures(v), 64)
+    own = F.split("key", "\\|", 2)
+    return best.select(own[0].cast("long").alias("vec_id"), own[1].alias("true_identity"), "best_identity", "best_score")
 
 
 @query(f"WITH {q.SCORED} SELECT * FROM (SELECT vec_id, claimed_identity, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, claimed_identity)::INT AS rank FROM sp) WHERE rank <= 5")
 def top5_scores(spark, sf):
-    return enroll.top_scores(scored_pairs(spark, sf), 5).select("vec_id", "claimed_identity", "score", "rank")
+    v = vectors(spark, sf)
+    best = search.best_matches(v.select(F.col("vec_id").alias("key"), "e"), signatures(v), 5, 64)
+    return enroll.top_scores(best, 5, "key").select(F.col("key").cast("long").alias("vec_id"), "claimed_identity", "score", "rank")
 
 
 #: Identities in a ring by the digests of their names.
@@ -301,20 +306,14 @@ _VERDICT = f"""{_RING}, m AS (SELECT vec_id, true_identity, arg_max(claimed_iden
     cl AS (SELECT vec_id, true_identity, CASE WHEN vec_id % 2 = 0 THEN true_identity ELSE next_identity END AS claimed_identity FROM m JOIN rg ON rg.identity = true_identity)"""
 
 
-def _claims(pairs: DataFrame) -> DataFrame:
-    """Every other probe claims the next identity instead of its own."""
-    ring = enroll.next_in_ring(pairs.select(F.col("true_identity").alias("identity")).distinct()).withColumnRenamed("identity", "true_identity")
-    claim = F.when(F.col("vec_id") % 2 == 0, F.col("true_identity")).otherwise(F.col("next_identity"))
-    return pairs.join(ring, "true_identity").where(F.col("claimed_identity") == claim).select("vec_id", "claimed_identity", F.col("score").alias("own_score"))
-
-
 @query(f"""WITH {q.SCORED}, {_VERDICT} SELECT cl.claimed_identity, CASE WHEN score > 0.4 THEN 'AUTHENTIC' WHEN top > 0.4 AND best <> cl.claimed_identity THEN 'IDENTITY_MISMATCH' ELSE 'SUSPECTED_FAKE' END AS verdict, count(*) AS n
     FROM cl JOIN m USING (vec_id) JOIN sp ON sp.vec_id = cl.vec_id AND sp.claimed_identity = cl.claimed_identity GROUP BY ALL""")
 def three_way_verdict(spark, sf):
-    pairs = scored_pairs(spark, sf)
-    both = enroll.best_match(pairs).join(_claims(pairs), "vec_id")
-    v = geo.verdict(F.col("best_score"), F.col("best_identity"), F.col("claimed_identity"), F.col("own_score"), 0.4)
-    return both.groupBy("claimed_identity", v.alias("verdict")).agg(F.count("*").alias("n"))
+    v = vectors(spark, sf)
+    s = signatures(v).select("identity", "sig")
+    claim = F.when(F.col("vec_id") % 2 == 0, F.col("identity")).otherwise(F.col("next_identity"))  # every other probe claims the next identity
+    claims = v.join(enroll.next_in_ring(s.select("identity")), "identity").select(F.col("vec_id").cast("string").alias("key"), claim.alias("claimed_identity"), "e")
+    return verify.verdicts(claims, s, 64, 0.4).groupBy("claimed_identity", "verdict").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {q.SCORED}, {_RING} SELECT a.vec_id, a.score AS own_score, b.score AS other_score, a.score - b.score > 0 AS own_wins FROM sp a JOIN rg ON rg.identity = a.true_identity JOIN sp b ON b.vec_id = a.vec_id AND b.claimed_identity = next_identity WHERE a.label = 1""")
