@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import swapped_names
+from ..functions.names import stem, swapped_names
 
 #: Orders of views, by what the clip is for.
 ORDERS = {
@@ -32,3 +32,8 @@ def with_originals(swapped: DataFrame, clips: DataFrame, order: tuple[str, ...]
     """name, body, face, path of swapped videos (name): path is the preferred clip of the body's person, null where none is."""
     named = swapped.select("name", swapped_names(F.col("name")).alias("_n")).select("name", "_n.body", "_n.face")
     return named.join(preferred(clips, order, any_last).withColumnRenamed("identity", "body"), "body", "left").select("name", "body", "face", "path")
+
+
+def one_of_each(videos: DataFrame) -> DataFrame:
+    """stem, path: of videos (path) of several roots one of each name, the first by path."""
+    return videos.groupBy(stem(F.col("path")).alias("stem")).agg(F.min("path").alias("path"))

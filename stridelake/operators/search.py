@@ -191,6 +191,12 @@ def _reached(pivots, ends: list[tuple[int, int, float]]):
 
 def best_matches(probes: DataFrame, enrolled: DataFrame, k: int, dims: int, last_name: bool = False, few: int = FEW, pivots: int = PIVOTS) -> DataFrame:
     """key, claimed_identity, score of the k best of enrolled (identity, sig) for each of probes (key, e)."""
+    kind = dict(probes.dtypes)["key"]
+    found = _found(probes, enrolled, k, dims, last_name, few, pivots)
+    return found if kind == "string" else found.withColumn("key", F.col("key").cast(kind))
+
+
+def _found(probes: DataFrame, enrolled: DataFrame, k: int, dims: int, last_name: bool, few: int, pivots: int) -> DataFrame:
     import numpy as np
 
     probes = probes.select(F.col("key").cast("string").alias("key"), "e").where("e is not null")

@@ -1,13 +1,10 @@
 """Training of a verifier on time-pooled comparison features: a distributed logistic regression.
 
-It stands in for a network that a GPU trains; its figures are its own. Folds and variants are few and known, so they are
-trained one after another, each over all executors.
+A plain verifier beside the head (descent.py trains that one); its figures are its own. Folds and variants are in folds.py.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +35,3 @@ def score(model, rows: DataFrame) -> DataFrame:
 
     out = model.transform(rows.withColumn("features", array_to_vector("x")))
     return out.select("key", "true_identity", "claimed_identity", "label", vector_to_array("probability")[1].alias("score"))
-
-
-def leave_one_out(rows: DataFrame, people: list[str]) -> DataFrame:
-    """Scores of each person's probes by a model that saw none of them, with the fold's name."""
-    folds = []
-    for person in people:
-        model = fit(rows.where((F.col("true_identity") != person) & (F.col("claimed_identity") != person)))
-        folds.append(score(model, rows.where(F.col("true_identity") == person)).withColumn("test_person", F.lit(person)))
-    return reduce(DataFrame.unionByName, folds)
-
-
-def ablation(pairs: DataFrame, videos: DataFrame, signatures: DataFrame) -> DataFrame:
-    """variant, key, label, score: the same training on parts of the features."""
-    out = []
-    for name, dims in VARIANTS.items():
-        rows = pair_features(pairs, videos, signatures, dims)
-        out.append(score(fit(rows), rows).withColumn("variant", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)

@@ -26,6 +26,5 @@ def identify(probes: DataFrame, signatures: DataFrame, dims: int) -> DataFrame:
 def verdicts(claims: DataFrame, signatures: DataFrame, dims: int, threshold: float = 0.7737) -> DataFrame:
     """key, claimed_identity, score, best_identity, best_score, verdict of claims."""
     own = verify_claims(claims, signatures, dims, threshold)
-    own = own.withColumn("key", F.col("key").cast("string"))
     all_ = own.join(identify(claims.select("key", "e"), signatures, dims), "key")
     return all_.select("key", "claimed_identity", "score", "best_identity", "best_score", verdict(F.col("best_score"), F.col("best_identity"), F.col("claimed_identity"), F.col("score"), threshold).alias("verdict"))

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import names
-from ..operators import attribution, augment, enroll, features, head, history, lookup, metrics, preserve, search, sequence, summary, train, verify
+from ..operators import attribution, augment, descent, enroll, features, folds, gradients, head, history, lookup, metrics, preserve, search, sequence, summary, train, verify
+from ..schema import VerifierConfig
 from ..sources import files
+from ..sources.shared import written
 from ..sources.surrogate import label_scores, pose_frames, scored_pairs, series, signatures, table, vectors
 from . import sql as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-THRESHOLD = 0.7737
+CONFIG = VerifierConfig()
+THRESHOLD = CONFIG.threshold
 
 
 def query(oracle: str | None = None):
@@ -33,15 +36,6 @@ def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def values(rows: list[tuple]) -> str:
-    show = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
-
-
 # --- frames and features -------------------------------------------------------------------------------------------
 
 
@@ -297,7 +291,7 @@ def identify_1_to_n(spark, sf):
 def top5_scores(spark, sf):
     v = vectors(spark, sf)
     best = search.best_matches(v.select(F.col("vec_id").alias("key"), "e"), signatures(v), 5, 64)
-    return enroll.top_scores(best, 5, "key").select(F.col("key").cast("long").alias("vec_id"), "claimed_identity", "score", "rank")
+    return enroll.top_scores(best, 5, "key").select(F.col("key").alias("vec_id"), "claimed_identity", "score", "rank")
 
 
 #: Identities in a ring by the digests of their names.
@@ -312,7 +306,7 @@ def three_way_verdict(spark, sf):
     v = vectors(spark, sf)
     s = signatures(v).select("identity", "sig")
     claim = F.when(F.col("vec_id") % 2 == 0, F.col("identity")).otherwise(F.col("next_identity"))  # every other probe claims the next identity
-    claims = v.join(enroll.next_in_ring(s.select("identity")), "identity").select(F.col("vec_id").cast("string").alias("key"), claim.alias("claimed_identity"), "e")
+    claims = v.join(enroll.next_in_ring(s.select("identity")), "identity").select(F.col("vec_id").alias("key"), claim.alias("claimed_identity"), "e")
     return verify.verdicts(claims, s, 64, 0.4).groupBy("claimed_identity", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -534,56 +528,71 @@ def accuracy_bands(spark, sf):
 
 # --- names, files, plans of work ---------------------------------------------------------------------------------------
 
-NAMES = [("Ingrid_F1",), ("Ingrid_F_hflip",), ("Ingrid_F1_dark_up",), ("X_Y_F1",), ("Lone",), ("Mia_front",), ("Mia_S_x",), ("X_Y_side",)]
-_PARTS = f"WITH n(name) AS {values(NAMES)}, p AS (SELECT name, string_split(name, '_') AS w FROM n)"
+#: What names of videos end in, each of the event that it is made from.
+ENDINGS = ("_F1", "_F_hflip", "_F1_dark_up", "", "_front", "_S_x", "_side", "_S2")
+_NAMES = f"n AS (SELECT DISTINCT 'P' || user_id || CASE WHEN event_id % 5 = 0 THEN '_Q' ELSE '' END || {list(ENDINGS)}[event_id % 8 + 1] AS name FROM events)"
 _VIEWS = "('" + "', '".join(names.VIEWS) + "')"
+_PARTS = f"WITH {_NAMES}, p AS (SELECT name, string_split(name, '_') AS w FROM n)"
+
+
+def _nth(choices, n: str) -> Column:
+    """The choice that column n picks, in turn."""
+    return F.element_at(F.array(*map(F.lit, choices)), (F.col(n) % len(choices) + 1).cast("int"))
+
+
+def _names(spark, sf) -> DataFrame:
+    """Names of videos: user, a second part for every fifth event, and an ending."""
+    person = F.concat(F.lit("P"), "user_id", F.when(F.col("event_id") % 5 == 0, "_Q").otherwise(""))
+    return table(spark, sf, "events").select(F.concat(person, _nth(ENDINGS, "event_id")).alias("name")).distinct()
 
 
 @query(_PARTS + f" SELECT name, CASE WHEN len(w) >= 2 AND w[-1] IN {_VIEWS} THEN array_to_string(w[1 : len(w) - 1], '_') WHEN len(w) >= 3 AND w[-2] IN {_VIEWS} THEN array_to_string(w[1 : len(w) - 2], '_') ELSE w[1] END AS identity FROM p")
 def parse_identity_a(spark, sf):
-    return literal(spark, NAMES, "name string").select("name", names.identity_a(F.col("name")).alias("identity"))
+    return _names(spark, sf).select("name", names.identity_a(F.col("name")).alias("identity"))
 
 
 @query(_PARTS + " SELECT name, regexp_replace(name, '_[^_]*$', '') AS identity FROM p")
 def parse_identity_b(spark, sf):
-    return literal(spark, NAMES, "name string").select("name", names.identity_b(F.col("name")).alias("identity"))
+    return _names(spark, sf).select("name", names.identity_b(F.col("name")).alias("identity"))
 
 
 @query(_PARTS + " SELECT name, w[1] AS identity, coalesce(w[2], 'unknown') AS view, len(w) > 2 AS is_augmented FROM p")
 def parse_identity_c(spark, sf):
-    return literal(spark, NAMES, "name string").select("name", names.identity_c(F.col("name")).alias("c")).select("name", "c.*")
-
+    return _names(spark, sf).select("name", names.identity_c(F.col("name")).alias("c")).select("name", "c.*")
 
-SWAPS = [("Mia_body_Ann_face",), ("A_B_body_C_face",)]
 
-
-@query(f"WITH n(name) AS {values(SWAPS)} SELECT name, string_split(name, '_body_')[1] AS body, replace(string_split(name, '_body_')[2], '_face', '') AS face FROM n")
+@query("""WITH n AS (SELECT DISTINCT 'P' || user_id || '_body_P' || (event_id % 20) || CASE WHEN event_id % 3 = 0 THEN '_R' ELSE '' END || '_face' AS name FROM events)
+    SELECT name, string_split(name, '_body_')[1] AS body, replace(string_split(name, '_body_')[2], '_face', '') AS face FROM n""")
 def parse_swapped(spark, sf):
-    return literal(spark, SWAPS, "name string").select("name", names.swapped_names(F.col("name")).alias("c")).select("name", "c.*")
+    face = F.concat(F.lit("_body_P"), (F.col("event_id") % 20).cast("string"), F.when(F.col("event_id") % 3 == 0, "_R").otherwise(""), F.lit("_face"))
+    swapped = table(spark, sf, "events").select(F.concat(F.lit("P"), "user_id", face).alias("name")).distinct()
+    return swapped.select("name", names.swapped_names(F.col("name")).alias("c")).select("name", "c.*")
 
 
 @query(_PARTS + " SELECT name FROM p WHERE len(w) = 2 AND regexp_matches(w[2], '^[FS][1-3]$')")
 def originals_only(spark, sf):
-    return literal(spark, NAMES, "name string").where(F.col("name").rlike("^[^_]+_[FS][1-3]$"))
+    return _names(spark, sf).where(F.col("name").rlike("^[^_]+_[FS][1-3]$"))
 
 
-CLIPS = [("Ann", "S1", "a1"), ("Ann", "F2", "a2"), ("Bob", "S2", "b1"), ("Bob", "S1", "b2"), ("Cy", "X", "c1"), ("Dee", "F1", "d1"), ("Dee", "F3", "d2")]
-ORDER = ("F1", "F2", "S1", "F3")
+#: Views of clips, each of the event that it is made from.
+CLIP_VIEWS = ("S1", "F2", "S2", "X", "F1", "F3", "Y")
+ORDER = lookup.ORDERS["original"]
 
 
-@query(f"""WITH n(identity, view, path) AS {values(CLIPS)}, k AS (SELECT *, list_position(['{"', '".join(ORDER)}'], view) AS rank FROM n) SELECT identity, arg_min(path, rank) AS path FROM k WHERE rank IS NOT NULL GROUP BY identity""")
+@query(f"""WITH n AS (SELECT user_id || '-' || event_id // 40 AS identity, {list(CLIP_VIEWS)}[event_id % 7 + 1] AS view, 'c' || event_id AS path FROM events), k AS (SELECT *, list_position({list(ORDER)}, view) AS rank FROM n)
+    SELECT identity, arg_min(path, (rank, path)) AS path FROM k WHERE rank > 0 GROUP BY identity""")
 def preferred_view(spark, sf):
-    clips = literal(spark, CLIPS, "identity string, view string, path string")
-    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("view"))
-    return clips.where(rank > 0).groupBy("identity").agg(F.min_by("path", rank).alias("path"))
-
-
-CHECKPOINTS = [("m/checkpoint_epoch_9_best.pth",), ("m/checkpoint_epoch_30_best.pth",), ("m/checkpoint_epoch_100.pth",), ("m/other.pth",)]
+    """Each user's clips of forty events: the one that the order of views prefers."""
+    group = F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 40).cast("string"))
+    clips = table(spark, sf, "events").select(group.alias("identity"), _nth(CLIP_VIEWS, "event_id").alias("view"), F.concat(F.lit("c"), "event_id").alias("path"))
+    return lookup.preferred(clips, ORDER)
 
 
-@query(f"WITH n(path) AS {values(CHECKPOINTS)}, k AS (SELECT path, regexp_extract(path, 'epoch_([0-9]+)_best', 1) AS e FROM n) SELECT arg_max(path, e::INT) AS path, max(e::INT) AS epoch FROM k WHERE e <> ''")
+@query("""WITH n AS (SELECT 'm/checkpoint_epoch_' || event_id || CASE WHEN event_id % 7 = 3 THEN '_best' ELSE '' END || '.pth' AS path FROM events), k AS (SELECT path, regexp_extract(path, 'epoch_([0-9]+)_best', 1) AS e FROM n)
+    SELECT arg_max(path, e::INT) AS path, max(e::INT) AS epoch FROM k WHERE e <> ''""")
 def latest_checkpoint(spark, sf):
-    return files.latest_best(literal(spark, CHECKPOINTS, "path string"))
+    best = F.when(F.col("event_id") % 7 == 3, "_best").otherwise("")
+    return files.latest_best(table(spark, sf, "events").select(F.concat(F.lit("m/checkpoint_epoch_"), "event_id", best, F.lit(".pth")).alias("path")))
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
@@ -594,13 +603,17 @@ def incremental_antijoin(spark, sf):
 
 # --- history ---------------------------------------------------------------------------------------------------------------
 
-HISTORY = [(r, e, v) for r, vs in {"a": (50.0, 60.0, 60.0005, 59.0, 60.0009, 61.0, 60.0, 60.5), "b": (10.0, 9.0, 8.0, 7.0, 6.0, 20.0), "c": (0.0, 1.0)}.items() for e, v in enumerate(vs, 1)]
-_HISTORY = f"h(run, epoch, v) AS (SELECT run, epoch, v::DOUBLE FROM {values(HISTORY)} AS t(run, epoch, v))"
+#: A run is a user; its epochs are the user's events in order of time.
+_HISTORY = f"{q.SERIES}, h AS (SELECT user_id::VARCHAR AS run, (frame_idx + 1)::INT AS epoch, value AS v FROM s)"
+
+
+def _history(spark, sf) -> DataFrame:
+    return series(spark, sf).select(F.col("user_id").cast("string").alias("run"), (F.col("frame_idx") + 1).cast("int").alias("epoch"), F.col("value").alias("v"))
 
 
 @query(f"WITH {_HISTORY} SELECT run, epoch, v > coalesce(max(v) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS is_best FROM h")
 def best_so_far(spark, sf):
-    return history.best_so_far(literal(spark, HISTORY, "run string, epoch int, v double"), "v").select("run", "epoch", "is_best")
+    return history.best_so_far(_history(spark, sf), "v").select("run", "epoch", "is_best")
 
 
 @query(f"""WITH RECURSIVE {_HISTORY}, f AS (SELECT run, 0 AS epoch, NULL::DOUBLE AS best, 0 AS bad, NULL::INT AS stop FROM h GROUP BY run
@@ -608,7 +621,7 @@ def best_so_far(spark, sf):
             CASE WHEN f.stop IS NOT NULL THEN f.stop WHEN NOT (best IS NULL OR v > best + 0.001) AND bad + 1 >= 3 THEN h.epoch END FROM f JOIN h ON h.run = f.run AND h.epoch = f.epoch + 1)
     SELECT run, max(stop) AS stop_epoch, arg_max(best, epoch) AS best FROM f GROUP BY run""")
 def early_stopping(spark, sf):
-    return history.early_stop(literal(spark, HISTORY, "run string, epoch int, v double"), "v", 3)
+    return history.early_stop(_history(spark, sf), "v", 3)
 
 
 @query(f"""WITH RECURSIVE {_HISTORY}, f AS (SELECT run, 0 AS epoch, '-inf'::DOUBLE AS best, 0 AS bad, 0.001::DOUBLE AS lr FROM h GROUP BY run
@@ -617,7 +630,7 @@ def early_stopping(spark, sf):
               FROM f JOIN h ON h.run = f.run AND h.epoch = f.epoch + 1)))
     SELECT run, epoch, round(lr, 9) AS lr FROM f WHERE epoch > 0""")
 def plateau_lr(spark, sf):
-    return history.plateau_rates(literal(spark, HISTORY, "run string, epoch int, v double"), "v", 0.001, 1).select("run", "epoch", F.round("lr", 9).alias("lr"))
+    return history.plateau_rates(_history(spark, sf), "v", 0.001, 1).select("run", "epoch", F.round("lr", 9).alias("lr"))
 
 
 # --- losses, encodings -------------------------------------------------------------------------------------------------
@@ -656,11 +669,12 @@ def attention_pool(spark, sf):
     return g.select("video_id", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
 
 
-@query(f"SELECT p AS position, d AS dim, {q.r('CASE WHEN d % 2 = 0 THEN sin(p * exp(-(d // 2 * 2) * ln(10000e0) / 64)) ELSE cos(p * exp(-(d // 2 * 2) * ln(10000e0) / 64)) END')} AS value FROM range(60) AS a(p), range(64) AS b(d)")
+@query(f"""WITH {q.PF} SELECT video_id, frame_idx, d AS dim, {q.r('e[d + 1] + CASE WHEN d % 2 = 0 THEN sin(frame_idx * exp(-(d // 2 * 2) * ln(10000e0) / 64)) ELSE cos(frame_idx * exp(-(d // 2 * 2) * ln(10000e0) / 64)) END')} AS value FROM pf, range(63) AS b(d)""")
 def positional_encoding(spark, sf):
-    g = spark.range(60).select(F.col("id").alias("position"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("dim"))
-    at = F.col("position") * F.exp(-(F.floor(F.col("dim") / 2) * 2) * F.log(F.lit(10000.0)) / 64)
-    return g.select("position", "dim", r6(F.when(F.col("dim") % 2 == 0, F.sin(at)).otherwise(F.cos(at))).alias("value"))
+    """Frames with the encoding of their places added: sines in even dimensions, cosines in odd ones."""
+    f = pose_frames(spark, sf).select("video_id", "frame_idx", F.posexplode(features.flat(F.col("lm"), 21)).alias("dim", "v"))
+    at = F.col("frame_idx") * F.exp(-(F.floor(F.col("dim") / 2) * 2) * F.log(F.lit(10000.0)) / 64)
+    return f.select("video_id", "frame_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("v") + F.when(F.col("dim") % 2 == 0, F.sin(at)).otherwise(F.cos(at))).alias("value"))
 
 
 # --- attribution -----------------------------------------------------------------------------------------------------------
@@ -718,17 +732,6 @@ def _videos(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pairs, videos, sig
 
 
-@query()
-def head_forward(spark, sf):
-    f = features.feature_frames(pose_frames(spark, sf))
-    whole = lambda df, key: df.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "feat"))), lambda x: x["feat"])).alias("seq"))  # noqa: E731  60 frames a key
-    videos = whole(f, "video_id").withColumn("identity", F.split("video_id", "_")[0])
-    sig = enroll.frame_signatures(f, "feat", 78).select("identity", "frame_idx", F.col("sig").alias("feat"))
-    claimed = whole(sig, "identity").withColumnRenamed("seq", "claimed")
-    pairs = videos.join(claimed, "identity").select(F.col("video_id").alias("pair_id"), F.col("seq").alias("video"), "claimed")
-    return head.score_pairs(pairs, head.initial_weights())
-
-
 @query()
 def train_verifier(spark, sf):
     rows = train.pair_features(*_videos(spark, sf))
@@ -737,18 +740,75 @@ def train_verifier(spark, sf):
 
 @query()
 def loocv_train(spark, sf):
-    rows = train.pair_features(*_videos(spark, sf)).cache()
-    people = sorted(r.true_identity for r in rows.select("true_identity").distinct().collect())  # one model is fit for each
-    return train.leave_one_out(rows, people).select("test_person", "key", "claimed_identity", "label", r6("score").alias("score"))
+    """Every person's probes by a fit without them, all folds from one pass."""
+    rows = written(train.pair_features(*_videos(spark, sf)), "pair-features")
+    return folds.leave_one_out(rows, 234).select("test_person", "key", "claimed_identity", "label", r6("score").alias("score"))
 
 
 @query()
 def ablation_grid(spark, sf):
-    scored = train.ablation(*_videos(spark, sf))
-    c = metrics.rates(metrics.counts(scored, F.col("score") > 0.5, "variant"))
+    """Outcomes by parts of the features, all variants from one pass."""
+    c = metrics.rates(metrics.counts(_variants(spark, sf), F.col("score") > 0.5, "variant"))
     return c.select("variant", "tp", "fp", "tn", "fn", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
 
 
+def _variants(spark, sf) -> DataFrame:
+    columns = {name: [78 * k + i for k in range(3) for i in dims] for name, dims in train.VARIANTS.items()}
+    return folds.variants(written(train.pair_features(*_videos(spark, sf)), "pair-features"), 234, columns)
+
+
+def _head_pairs(spark, sf) -> DataFrame:
+    """pair_id, identity, label, video, claimed: each video with its own person's mean sequence and with another's."""
+    f = features.feature_frames(pose_frames(spark, sf))
+    whole = lambda df, key: df.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "feat"))), lambda x: x["feat"])).alias("seq"))  # noqa: E731  60 frames a key
+    videos = whole(f.select(F.concat_ws("|", "video_id", "identity").alias("key"), "frame_idx", "feat"), "key").withColumn("true_identity", F.element_at(F.split("key", "\\|"), -1))
+    people = whole(enroll.frame_signatures(f, "feat", 78).select("identity", "frame_idx", F.col("sig").alias("feat")), "identity")
+    pairs = enroll.enrolled_pairs(videos.select("key", "true_identity"), people.select("identity"))
+    pairs = pairs.join(videos.select("key", F.col("seq").alias("video")), "key").join(people.select(F.col("identity").alias("claimed_identity"), F.col("seq").alias("claimed")), "claimed_identity")
+    return written(pairs.select(F.concat_ws("|", F.substring_index("key", "|", 1), "claimed_identity").alias("pair_id"), F.col("true_identity").alias("identity"), "label", "video", "claimed"), "head-pairs")
+
+
+@query()
+def head_forward(spark, sf):
+    """Scores of genuine and of false claims."""
+    return head.score_pairs(_head_pairs(spark, sf), head.initial_weights())
+
+
+@query()
+def head_training(spark, sf):
+    """Loss and accuracy by epoch, of a head that is fit on four people of five."""
+    pairs = _head_pairs(spark, sf)
+    parts = enroll.split_people(pairs.select("identity").distinct(), CONFIG.train_share, CONFIG.seed)
+    pairs = written(pairs.join(parts, "identity"), "split-pairs")
+    fit = descent.fit_head(pairs.where("part = 'train'"), pairs.where("part = 'validation'"), 6, config=CONFIG)
+    return descent.curve(spark, fit).select("run", "epoch", *[r6(c).alias(c) for c in ("train_loss", "train_accuracy", "val_loss", "val_accuracy")], "lr")
+
+
+def _gradients(spark, sf) -> DataFrame:
+    return gradients.attribute(_head_pairs(spark, sf), head.initial_weights())
+
+
+@query()
+def input_attribution(spark, sf):
+    """Size of each input times the slope of the predicted class's logit by it."""
+    return _gradients(spark, sf).select("sample_id", "frame_idx", "dim", r6("value").alias("value"))
+
+
+@query()
+def gradient_rank_joints(spark, sf):
+    return attribution.joint_importance(_gradients(spark, sf)).select("joint", r6("importance").alias("importance"), "rank")
+
+
+@query()
+def gradient_rollup(spark, sf):
+    return attribution.group_shares(_gradients(spark, sf)).select("feature_group", r6("share").alias("share"))
+
+
+@query()
+def gradient_temporal(spark, sf):
+    return attribution.temporal(_gradients(spark, sf)).select("sample_id", "frame_idx", r6("weight").alias("weight"))
+
+
 # --- reports and plot data -------------------------------------------------------------------------------------------------
 
 
@@ -806,15 +866,15 @@ def global_norm(spark, sf):
     return vectors(spark, sf).groupBy("identity").agg(r6(F.sqrt(F.sum(geo.dot(F.col("e"), F.col("e"), 64)))).alias("norm"))
 
 
-ROOTS = [("original", "v/Ann_F1.mp4"), ("original", "v/Bob_S1.mp4"), ("augmented", "w/Ann_F1.mp4"), ("augmented", "w/Ann_F1_hflip.mp4")]
-
-
-@query(f"WITH n(root, path) AS {values(ROOTS)} SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '') AS stem, min(path) AS path FROM n GROUP BY 1")
+@query("""WITH n AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'v/' ELSE 'w/' END || 'P' || user_id || '_' || event_id % 9 || CASE WHEN event_id % 3 = 1 THEN '_hflip' ELSE '' END || '.mp4' AS path FROM events)
+    SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '') AS stem, min(path) AS path FROM n GROUP BY 1""")
 def union_roots(spark, sf):
     """Videos of both roots, one of each stem: originals are copied among the augmented ones."""
-    rows = literal(spark, ROOTS, "root string, path string")
-    both = rows.where("root = 'original'").unionByName(rows.where("root = 'augmented'"))
-    return both.groupBy(names.stem(F.col("path")).alias("stem")).agg(F.min("path").alias("path"))
+    e = table(spark, sf, "events").withColumn("name", F.concat(F.lit("P"), "user_id", F.lit("_"), (F.col("event_id") % 9).cast("string")))
+    path = lambda root, kind: F.concat(F.lit(root), "name", F.lit(kind + ".mp4")).alias("path")
+    originals = e.where("event_id % 3 = 0").select(path("v/", ""))
+    augmented = e.where("event_id % 3 = 1").select(path("w/", "_hflip")).unionByName(e.where("event_id % 3 = 2").select(path("w/", "")))
+    return lookup.one_of_each(originals.unionByName(augmented))
 
 
 @query(f"WITH {q.PF} SELECT video_id, arg_max(frame_idx, (round(abs(e[1] - e[4]) * abs(e[38] - e[2]), 9), -frame_idx)) AS frame_idx FROM pf GROUP BY video_id")
@@ -877,7 +937,7 @@ def embedding_plane(spark, sf):
 
 @query()
 def ablation_scores(spark, sf):
-    return train.ablation(*_videos(spark, sf)).select("variant", "key", "claimed_identity", "label", r6("score").alias("score"))
+    return _variants(spark, sf).select("variant", "key", "claimed_identity", "label", r6("score").alias("score"))
 
 
 # --- reports, lookups and claims --------------------------------------------------------------------------------------------

@@ -117,3 +117,38 @@ def test_long_gradients_are_shortened():
     g = np.full(fit.first.size, 10.0)
     fit.step(g, 0.1, 0.0, 1.0)
     assert np.isclose(np.linalg.norm(fit.first) / (1 - descent.FIRST), 1.0)
+
+
+def test_queries_of_the_head(spark):
+    """Whole outputs against one pair after another."""
+    from stridelake.plans import catalog
+
+    sf, w = "/root/testdata/sf0.001", head.initial_weights()
+    rows = {r.pair_id: r for r in catalog._head_pairs(spark, sf).collect()}
+    assert {r.label for r in rows.values()} == {0, 1} and len(rows) == 2 * len({k.split("|")[0] for k in rows})
+    scores = {r.pair_id: r for r in catalog.QUERIES["head_forward"](spark, sf).collect()}
+    got = {}
+    for r in catalog.QUERIES["input_attribution"](spark, sf).collect():
+        got.setdefault(r.sample_id, np.empty((60, 78)))[r.frame_idx, r.dim] = r.value
+    assert scores.keys() == rows.keys() == got.keys()
+    joints, groups = np.zeros(12), np.zeros(3)
+    for k, r in rows.items():
+        a, b = (np.array(x).reshape(1, 60, 78) for x in (r.video, r.claimed))
+        logits, way = gradients.forward(w, a, b)
+        p = gradients.softmax(logits)[0]
+        assert abs(scores[k].p_authentic - p[1]) < 1e-4 and abs(scores[k].confidence - p.max()) < 1e-4
+        value = np.abs(a * gradients.backward(w, way, np.eye(2)[logits.argmax(1)])[1])[0]
+        assert np.abs(value - got[k]).max() < 2e-6
+        at = np.unravel_index(value.argmax(), value.shape)
+        step = np.zeros(a.shape)
+        step[(0, *at)] = 1e-6
+        slope = (head.forward(w, a + step, b) - head.forward(w, a - step, b))[0, logits.argmax()] / 2e-6
+        assert abs(abs(a[(0, *at)] * slope) - value[at]) < 1e-4
+        joints += (value[:, :36].reshape(-1, 12, 3).sum((0, 2)) + value[:, 42:].reshape(-1, 12, 3).sum((0, 2))) / len(rows)
+        groups += (value[:, :36].sum(), value[:, 36:42].sum(), value[:, 42:].sum())
+    ranked = {r.joint: r.importance for r in catalog.QUERIES["gradient_rank_joints"](spark, sf).collect()}
+    assert np.allclose([ranked[j] for j in range(12)], joints / joints.max(), atol=1e-5)
+    shares = {r.feature_group: r.share for r in catalog.QUERIES["gradient_rollup"](spark, sf).collect()}
+    assert np.allclose([shares[g] for g in ("coords", "angles", "velocities")], groups / groups.sum(), atol=1e-5)
+    curve = catalog.QUERIES["head_training"](spark, sf).orderBy("epoch").collect()
+    assert [r.epoch for r in curve] == list(range(1, 7)) and curve[-1].train_loss < curve[0].train_loss

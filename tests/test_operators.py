@@ -199,10 +199,6 @@ def test_streams(spark, tmp_path):
     query = streams.windowed_means(stream, "1 day", "400 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == batch.count()
-    one = streams.streaming_velocity(streams.event_stream(spark, str(source), batch.schema, 10)).writeStream.format("memory").queryName("v").outputMode("append").trigger(availableNow=True).start()
-    one.awaitTermination()
-    assert spark.table("v").count() == batch.count()
-    assert spark.table("v").where("velocity is null").count() == batch.select("user_id").distinct().count()
 
 
 def test_entry(spark):
@@ -225,7 +221,7 @@ def test_command_line(spark, capsys, tmp_path):
     assert main(["queries"]) == 0 and "roc_auc" in capsys.readouterr().out
     assert main(["sql", "roc_auc"]) == 0 and "SELECT" in capsys.readouterr().out
     assert main(["run", "parse_identity_a", "--tables", SF, "--out", str(tmp_path / "o")]) == 0
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 8
+    assert spark.read.parquet(str(tmp_path / "o")).count() == entry.queries()["parse_identity_a"](spark, SF).count() > 100
 
 
 @pytest.mark.parametrize("n,k", [(1, 1), (4, 1), (1, 3), (7, 4), (10, 25), (33, 33)])
