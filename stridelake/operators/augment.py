@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import gaussian
+
 #: Names of spatial and temporal augmentations.
 SPATIAL = ("hflip", "bright_up", "bright_down", "contrast_up", "rotate_left", "rotate_right", "blur", "color_jitter", "grayscale", "combined_1", "noise", "zoom_in")
 TEMPORAL = ("slow", "fast", "reverse")
@@ -31,12 +31,10 @@ def zoom(lm: Column, factor: float, slots: int = 12) -> Column:
 
 
 def noise(lm: Column, key: Column, size: float, slots: int = 12) -> Column:
-    """Noise of about the given spread, fixed by key: the sum of the four 16-bit parts of a hash, as even numbers."""
+    """Gaussian noise of the given spread on x and y, fixed by key, slot and axis."""
 
     def g(j: int, axis: int) -> Column:
-        h = F.xxhash64(key, F.lit(j), F.lit(axis))
-        parts = sum((F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)), F.lit(0))
-        return (parts / 65535.0 - 2) * (size * math.sqrt(3))
+        return gaussian(key, j, axis) * size
 
     return F.array(*[_point(lm[j]["x"] + g(j, 0), lm[j]["y"] + g(j, 1), lm[j]["z"]) for j in range(slots)])
 

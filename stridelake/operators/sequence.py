@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import gaussian
+
 
 def by(key: str):
     return Window.partitionBy(key).orderBy("frame_idx")
@@ -103,6 +105,15 @@ def reverse(df: DataFrame, key: str) -> DataFrame:
     return with_length(df, key).withColumn("frame_idx", F.col("n") - 1 - F.col("frame_idx")).drop("n")
 
 
+def jitter(df: DataFrame, key: str, strength: float = 0.1) -> DataFrame:
+    """Every place i of a key gets the row whose place is int(gaussian * strength * n) further, within the ends; fixed by key and i."""
+    df = with_length(df, key)
+    move = (gaussian(F.col(key), F.col("frame_idx")) * F.lit(float(strength)) * F.col("n")).cast("int")
+    place = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("frame_idx") + move)).cast("int")
+    wanted = df.select(key, F.col("frame_idx").alias("i"), place.alias("frame_idx"))
+    return df.drop("n").join(wanted, [key, "frame_idx"])
+
+
 def change_speed(df: DataFrame, key: str, factor: float) -> DataFrame:
     """max(1, int(n / factor)) rows a key, each the source row nearest to its even place, halves to the even one."""
     df = with_length(df, key)

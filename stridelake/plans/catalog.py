@@ -11,8 +11,8 @@ from ..functions import geometry as geo
 from ..functions import names
 from ..operators import attribution, augment, descent, enroll, features, folds, gradients, head, history, lookup, metrics, preserve, search, sequence, summary, train, verify
 from ..schema import VerifierConfig
-from ..sources import files
-from ..sources.shared import written
+from ..sources import extraction, files
+from ..sources.shared import shared_path, written
 from ..sources.surrogate import label_scores, pose_frames, scored_pairs, series, signatures, table, vectors
 from . import sql as q
 
@@ -177,6 +177,13 @@ def speed_change(spark, sf):
     return sequence.change_speed(series(spark, sf), "user_id", 1.2).select("user_id", F.col("i").cast("long").alias("i"), "event_id")
 
 
+@query(f"""WITH {q.SERIES}, p AS (SELECT user_id, frame_idx AS i, greatest(0, least(n - 1, frame_idx + trunc({q.gaussian('user_id', 'frame_idx')} * 0.1e0 * n)::BIGINT)) AS frame_idx FROM s)
+    SELECT user_id, i, event_id FROM p JOIN s USING (user_id, frame_idx)""")
+def temporal_jitter(spark, sf):
+    """Each user's events in a slightly shuffled order: places moved by a tenth of the length, spread as a normal number."""
+    return sequence.jitter(series(spark, sf), "user_id", 0.1).select("user_id", F.col("i").cast("long").alias("i"), "event_id")
+
+
 # --- augmentation ------------------------------------------------------------------------------------------------------
 
 
@@ -203,7 +210,8 @@ def zoom(spark, sf):
     return _points(pose_frames(spark, sf), augment.zoom(F.col("lm"), 1.1))
 
 
-@query()
+@query(f"""WITH {q.PF}, g AS (SELECT video_id, frame_idx, e, slot, video_id || '|' || frame_idx AS key FROM pf, range(12) AS t(slot))
+    SELECT video_id, frame_idx, slot, {q.r(f"e[3 * slot + 1] + 0.01 * {q.gaussian('key', 'slot', '0')}")} AS x, {q.r(f"e[3 * slot + 2] + 0.01 * {q.gaussian('key', 'slot', '1')}")} AS y, {q.r("e[3 * slot + 3]")} AS z FROM g""")
 def landmark_noise(spark, sf):
     f = pose_frames(spark, sf)
     return _points(f, augment.noise(F.col("lm"), F.concat_ws("|", "video_id", F.col("frame_idx").cast("string")), 0.01))
@@ -595,6 +603,16 @@ def latest_checkpoint(spark, sf):
     return files.latest_best(table(spark, sf, "events").select(F.concat(F.lit("m/checkpoint_epoch_"), "event_id", best, F.lit(".pth")).alias("path")))
 
 
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) + 0e0 AS total FROM events GROUP BY user_id")
+def extraction_log(spark, sf):
+    """Sums of each user's events by an extraction that was stopped after one batch and went on."""
+    users, path = table(spark, sf, "events").select("user_id").distinct(), shared_path(spark, "extraction")
+    work = lambda own: table(spark, sf, "events").join(own, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    extraction.extract(users, "user_id", work, path, most=1)
+    extraction.extract(users, "user_id", work, path, batch=500)
+    return extraction.extracted(spark, path).select("user_id", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
 def incremental_antijoin(spark, sf):
     e = table(spark, sf, "events")

@@ -25,6 +25,13 @@ def r(x: str) -> str:
     return f"round({x}, 6) + 0e0"
 
 
+def gaussian(*key: str) -> str:
+    """A standard normal number for a key, as functions.draws has it."""
+    digest = "md5(" + " || '|' || ".join(f"({k})::VARCHAR" for k in key) + ")"
+    u = lambda nth: f"((('0x' || substr({digest}, {8 * nth + 1}, 8))::BIGINT + 0.5e0) / 4294967296e0)"
+    return f"(sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}))"
+
+
 def xyz(e: str, j: int, k: int) -> str:
     return f"{e}[{3 * j + k + 1}]"
 
