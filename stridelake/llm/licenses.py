@@ -46,19 +46,33 @@ def canonical(text: Column) -> Column:
 
 
 def own_lines(text: Column) -> Column:
-    """The lower-case lines of text that state no copyright."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~F.rlike(x, F.lit(COPYRIGHT_LINE)))
+    """The lines of a lower-case text that state no copyright."""
+    return F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit(COPYRIGHT_LINE)))
 
 
 def _own_paragraphs(text: Column) -> Column:
-    joined = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), PARAGRAPH), lambda x: F.regexp_replace(x, BLANKS, " "))
+    joined = F.transform(F.split(text, PARAGRAPH), lambda x: F.regexp_replace(x, BLANKS, " "))
     return F.filter(joined, lambda x: ~(F.rlike(x, F.lit(COPYRIGHT_LINE)) & (F.size(F.split(F.trim(x), " ")) <= STATEMENT)))
 
 
-def digests(text: Column) -> list[Column]:
-    """SHA-256 of the canonical text: without copyright lines, without copyright paragraphs, with both."""
-    forms = (F.array_join(own_lines(text), " "), F.array_join(_own_paragraphs(text), " "), F.lower(F.coalesce(text, F.lit(""))))
-    return [F.sha2(canonical(x), 256) for x in forms]
+#: One of these is in every line that COPYRIGHT_LINE matches.
+MARKERS = ("copyright", "(c)", "©", "all rights reserved")
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(canonical(text), 256)
+
+
+def with_digests(rows: DataFrame, names: list[str], low: str) -> DataFrame:
+    """rows with the SHA-256 of the canonical text: without copyright lines, without copyright paragraphs, with both.
+
+    low: the column of lower-case texts. Where a text has no marker the three are one, which is found once.
+    """
+    text = F.col(low)
+    marked = F.exists(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(text, m))
+    rows = rows.withColumn(names[0], _digest(F.array_join(own_lines(text), " ")))
+    forms = (F.array_join(_own_paragraphs(text), " "), text)
+    return rows.withColumns({n: F.when(marked, _digest(x)).otherwise(F.col(names[0])) for n, x in zip(names[1:], forms)})
 
 
 def _constants(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -71,7 +85,9 @@ def _constants(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 def known_digests(spark: SparkSession, texts: dict[str, str] = TEXTS) -> DataFrame:
     """text_digest, license_id of entire texts, in all their editions."""
     rows = _constants(spark, [(n, t) for n in sorted(texts) for t in editions(texts[n])])
-    rows = rows.select(F.explode(F.array(*digests(F.col("text")))).alias("text_digest"), F.col("name").alias("license_id"))
+    forms = ["form0", "form1", "form2"]
+    rows = with_digests(rows.withColumn("low", F.lower("text")), forms, "low")
+    rows = rows.select(F.explode(F.array(*forms)).alias("text_digest"), F.col("name").alias("license_id"))
     return rows.where(F.col("text_digest") != F.sha2(F.lit(""), 256)).groupBy("text_digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -91,9 +107,9 @@ def license_scan(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[s
         raise ValueError("at most 62 kinds of notices")
     known = known_lines(docs.sparkSession, notices)
     whole = known_digests(docs.sparkSession, texts)
-    text = F.col("text").cast("string")
-    forms = [x.alias(f"form{k}") for k, x in enumerate(digests(text))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *forms, F.transform(own_lines(text), canonical).alias("lines"))
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = with_digests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low")), ["form0", "form1", "form2"], "low")
+    rows = rows.withColumn("lines", F.transform(own_lines(F.col("low")), canonical)).drop("low")
     texts_, bits = F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values()))
     # a notice's line is found among few; most lines end this filter
     hits = F.filter("lines", lambda x: F.array_contains(texts_, x)) if known else F.array().cast("array<string>")
