@@ -37,6 +37,13 @@ def cosine(a: Column, b: Column, n: int, norm_a: Column | None = None, norm_b: C
     return dot(a, b, n) / ((norm(a, n) if norm_a is None else norm_a) * (norm(b, n) if norm_b is None else norm_b) + EPS)
 
 
+def euclidean(a: Column, b: Column, n: int) -> Column:
+    """Distance of the directions of two vectors, with EPS under the root."""
+    na, nb = F.greatest(norm(a, n), F.lit(1e-12)), F.greatest(norm(b, n), F.lit(1e-12))
+    gaps = F.zip_with(a, b, lambda x, y: (x / na - y / nb) * (x / na - y / nb))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) + EPS)
+
+
 def distance(a: Column, b: Column, axes: str = "xy") -> Column:
     return F.sqrt(total((a[k] - b[k]) * (a[k] - b[k]) for k in axes))
 

@@ -33,6 +33,22 @@ def identity_c(name: Column) -> Column:
     return F.struct(parts[0].alias("identity"), F.coalesce(F.get(parts, 1), F.lit("unknown")).alias("view"), (F.size(parts) > 2).alias("is_augmented"))
 
 
+#: Views of originals by exact name, and what marks an augmented one.
+ORIGINAL_VIEWS, MARK = ("F1", "F2", "F3", "S1", "S2", "S3"), "_aug"
+
+
+def is_original(name: Column, rule: str) -> Column:
+    """Whether a name is of an original: by "parts" (two at most), by "view" (two, the last one of ORIGINAL_VIEWS), by "mark" (no MARK)."""
+    parts = F.split(name, "_")
+    if rule == "parts":
+        return F.size(parts) <= 2
+    if rule == "view":
+        return (F.size(parts) == 2) & F.get(parts, 1).isin(*ORIGINAL_VIEWS)
+    if rule == "mark":
+        return ~F.contains(F.lower(name), F.lit(MARK))
+    raise ValueError(f"no rule {rule}")
+
+
 def swapped_names(name: Column) -> Column:
     """struct of body and face of a name {body}_body_{face}_face."""
     parts = F.split(name, "_body_")

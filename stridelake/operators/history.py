@@ -1,4 +1,4 @@
-"""Training history (run, epoch, value): best so far, early stopping, learning rate on a plateau.
+"""Training history (run, epoch, value): best so far, early stopping, learning rate on a plateau, running means.
 
 The last two depend on all epochs before in order, so they are folds over a run's epochs in one array; a run has few.
 """
@@ -15,6 +15,12 @@ def best_so_far(h: DataFrame, value: str) -> DataFrame:
     return h.withColumn("is_best", F.col(value) > F.coalesce(F.max(value).over(before), F.lit(0.0)))
 
 
+def running_mean(h: DataFrame, key: str, order: list[str], value: str, weight: str) -> DataFrame:
+    """h with mean: the weighted mean of a key's rows up to each one; null while the weights sum to 0."""
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return h.withColumn("mean", F.try_divide(F.sum(F.col(value) * F.col(weight)).over(upto), F.sum(weight).over(upto).cast("double")))
+
+
 def _in_order(h: DataFrame, value: str) -> DataFrame:
     return h.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", F.col(value).cast("double").alias("v")))).alias("h"))
 

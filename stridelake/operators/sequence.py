@@ -88,6 +88,16 @@ def sample_uniform(df: DataFrame, key: str, k: int) -> DataFrame:
     return with_length(df, key).withColumn("i", F.explode(targets(F.col("n"), k, F.col("frame_idx")))).drop("n")
 
 
+def sample_band(df: DataFrame, key: str, k: int, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """k rows a key (2 or more), evenly spaced from low * n to high * n, places cut down; column i is the place in the sample."""
+    df = with_length(df, key)
+    wanted = df.where("frame_idx = 0").select(F.col(key), F.col("n"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    begin, end = F.col("n") * F.lit(float(low)), F.col("n") * F.lit(float(high))
+    place = F.when(F.col("i") == k - 1, end).otherwise(begin + F.col("i") * ((end - begin) / F.lit(float(k - 1))))
+    wanted = wanted.select(key, "i", F.least(F.floor(place), F.col("n") - 1).cast("int").alias("frame_idx"))
+    return df.drop("n").join(wanted, [key, "frame_idx"])
+
+
 def tile(df: DataFrame, key: str, length: int = 60) -> DataFrame:
     """The first `length` rows, or the sequence over and over until there are so many."""
     df = with_length(df, key).where(F.col("frame_idx") < length)

@@ -155,6 +155,14 @@ def frame_sample_uniform(spark, sf):
     return sequence.sample_uniform(series(spark, sf), "user_id", 20).select("user_id", F.col("i").cast("long").alias("i"), "event_id")
 
 
+@query(f"""WITH {q.SERIES}, c AS (SELECT DISTINCT user_id, n FROM s),
+    p AS (SELECT user_id, i, least(n - 1, floor(CASE WHEN i = 19 THEN n * 0.9e0 ELSE n * 0.1e0 + i * ((n * 0.9e0 - n * 0.1e0) / 19e0) END)::BIGINT) AS frame_idx FROM c, range(20) AS t(i))
+    SELECT user_id, i, event_id FROM p JOIN s USING (user_id, frame_idx)""")
+def frame_sample_band(spark, sf):
+    """Twenty events a user, evenly spaced over the middle four fifths."""
+    return sequence.sample_band(series(spark, sf), "user_id", 20).select("user_id", F.col("i").cast("long").alias("i"), "event_id")
+
+
 @query(f"WITH {q.SERIES} SELECT user_id, i, event_id FROM s JOIN range(60) AS t(i) ON frame_idx = i % n WHERE frame_idx < 60")
 def tile_or_truncate(spark, sf):
     return sequence.tile(series(spark, sf), "user_id").select("user_id", F.col("i").cast("long").alias("i"), "event_id")
@@ -537,7 +545,7 @@ def accuracy_bands(spark, sf):
 # --- names, files, plans of work ---------------------------------------------------------------------------------------
 
 #: What names of videos end in, each of the event that it is made from.
-ENDINGS = ("_F1", "_F_hflip", "_F1_dark_up", "", "_front", "_S_x", "_side", "_S2")
+ENDINGS = ("_F1", "_F_hflip", "_F1_dark_up", "", "_front", "_S_Aug1", "_side", "_S2")
 _NAMES = f"n AS (SELECT DISTINCT 'P' || user_id || CASE WHEN event_id % 5 = 0 THEN '_Q' ELSE '' END || {list(ENDINGS)}[event_id % 8 + 1] AS name FROM events)"
 _VIEWS = "('" + "', '".join(names.VIEWS) + "')"
 _PARTS = f"WITH {_NAMES}, p AS (SELECT name, string_split(name, '_') AS w FROM n)"
@@ -579,7 +587,12 @@ def parse_swapped(spark, sf):
 
 @query(_PARTS + " SELECT name FROM p WHERE len(w) = 2 AND regexp_matches(w[2], '^[FS][1-3]$')")
 def originals_only(spark, sf):
-    return _names(spark, sf).where(F.col("name").rlike("^[^_]+_[FS][1-3]$"))
+    return _names(spark, sf).where(names.is_original(F.col("name"), "view"))
+
+
+@query(_PARTS + " SELECT name, len(w) <= 2 AS by_parts, len(w) = 2 AND w[2] IN ('F1', 'F2', 'F3', 'S1', 'S2', 'S3') AS by_view, NOT contains(lower(name), '_aug') AS by_mark FROM p")
+def originals_by_rule(spark, sf):
+    return _names(spark, sf).select("name", *[names.is_original(F.col("name"), rule).alias(f"by_{rule}") for rule in ("parts", "view", "mark")])
 
 
 #: Views of clips, each of the event that it is made from.
@@ -855,6 +868,14 @@ def running_weighted_mean(spark, sf):
     return g.where("w <> 0").select("user_id", "event_type", r6(F.col("s") / F.col("w")).alias("weighted_mean"))
 
 
+@query(f"""WITH {q.SERIES} SELECT event_id, round(sum(value * (event_id % 7)) OVER w / nullif(sum(event_id % 7) OVER w, 0)::DOUBLE, 9) + 0e0 AS mean FROM s
+    WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_mean(spark, sf):
+    """The weighted mean of each user's events up to every one."""
+    h = series(spark, sf).withColumn("weight", F.col("event_id") % 7)
+    return history.running_mean(h, "user_id", ["frame_idx"], "value", "weight").select("event_id", (F.round("mean", 9) + F.lit(0.0)).alias("mean"))
+
+
 @query(_FOLDS + f" SELECT arg_max(test_person, (accuracy, test_person)) AS best, {q.r('max(accuracy) - avg(accuracy)')} AS over_mean FROM m")
 def best_variant(spark, sf):
     return fold_metrics(scored_pairs(spark, sf)).agg(F.max_by("test_person", F.struct("accuracy", "test_person")).alias("best"), r6(F.max("accuracy") - F.avg("accuracy")).alias("over_mean"))
@@ -937,6 +958,14 @@ def unit_similarity(spark, sf):
     return v.join(s, "identity").select("vec_id", F.col("identity").alias("claimed_identity"), r6((geo.cosine(F.col("e"), F.col("sig"), 64) + 1) / 2).alias("similarity"))
 
 
+@query(f"""WITH {q.SCORED}, u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS a, list_transform(sig, lambda x: x / sqrt(list_dot_product(sig, sig))) AS b FROM v JOIN sig ON identity = claimed_identity)
+    SELECT vec_id, {q.r('sqrt(list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) ** 2)) + 1e-8)')} AS distance FROM u""")
+def unit_distance(spark, sf):
+    """Distance of each vector's direction to that of its person's signature."""
+    v = vectors(spark, sf)
+    return v.join(signatures(v).select("identity", "sig"), "identity").select("vec_id", r6(geo.euclidean(F.col("e"), F.col("sig"), 64)).alias("distance"))
+
+
 @query(f"""WITH {q.SCORED}, m AS (SELECT vec_id, max(score) FILTER (label = 1) * 5 AS a, max(score) FILTER (label = 0) * 5 AS b FROM sp GROUP BY vec_id)
     SELECT vec_id, {q.r('exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b)))')} AS p_authentic, {q.r('greatest(exp(a - greatest(a, b)), exp(b - greatest(a, b))) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b)))')} AS confidence FROM m""")
 def softmax_confidence(spark, sf):
