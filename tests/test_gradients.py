@@ -132,6 +132,8 @@ def test_queries_of_the_head(spark):
         got.setdefault(r.sample_id, np.empty((60, 78)))[r.frame_idx, r.dim] = r.value
     assert scores.keys() == rows.keys() == got.keys()
     joints, groups = np.zeros(12), np.zeros(3)
+    frames = {(r.sample_id, r.frame_idx): r.weight for r in catalog.QUERIES["gradient_temporal"](spark, sf).collect()}
+    assert len(frames) == 60 * len(rows)
     for k, r in rows.items():
         a, b = (np.array(x).reshape(1, 60, 78) for x in (r.video, r.claimed))
         logits, way = gradients.forward(w, a, b)
@@ -139,6 +141,8 @@ def test_queries_of_the_head(spark):
         assert abs(scores[k].p_authentic - p[1]) < 1e-4 and abs(scores[k].confidence - p.max()) < 1e-4
         value = np.abs(a * gradients.backward(w, way, np.eye(2)[logits.argmax(1)])[1])[0]
         assert np.abs(value - got[k]).max() < 2e-6
+        by_frame = value.sum(axis=1)
+        assert np.allclose([frames[k, t] for t in range(60)], by_frame / by_frame.max(), atol=1e-5)
         at = np.unravel_index(value.argmax(), value.shape)
         step = np.zeros(a.shape)
         step[(0, *at)] = 1e-6
