@@ -11,7 +11,7 @@ from ..functions import geometry as geo
 from ..functions import names
 from ..operators import attribution, augment, descent, enroll, features, folds, gradients, head, history, lookup, metrics, preserve, search, sequence, summary, train, verify
 from ..schema import VerifierConfig
-from ..sources import extraction, files
+from ..sources import extraction, files, run_log
 from ..sources.shared import shared_path, written
 from ..sources.surrogate import label_scores, pose_frames, scored_pairs, series, signatures, table, vectors
 from . import sql as q
@@ -1068,3 +1068,93 @@ def claims_verified(spark, sf):
     claim = F.when(F.col("vec_id") % 2 == 0, F.col("identity")).otherwise(F.col("next_identity"))
     claims = v.join(enroll.next_in_ring(s.select("identity")), "identity").select(F.col("vec_id").alias("key"), claim.alias("claimed_identity"), "e")
     return verify.verify_claims(claims, s, 64, 0.4).select("key", "claimed_identity", r6(F.round("score", 9)).alias("score"), "is_authentic")
+
+
+# --- tables of text, checks of a write, scalars, plot data ------------------------------------------------------------------
+
+_OVERALL = {"accuracy": "Accuracy (%)", "precision": "Precision (%)", "recall": "Recall (%)", "f1": "F1 Score (%)", "auc": "ROC-AUC (%)"}
+_TITLES = {"tp": "True Positive (TP)", "tn": "True Negative (TN)", "fp": "False Positive (FP)", "fn": "False Negative (FN)"}
+_FIXED = lambda x, k: f"printf('%.{k}f', round({x}, {k}))"
+_CELL = lambda x, width: f"lpad({_FIXED(f'100 * ({x})', 2)} || '%', {width}, ' ')"
+
+
+@query(_FOLDS + " SELECT place::INT AS place, line FROM (" + " UNION ALL ".join(f"SELECT {i} AS place, printf('%-30s %-20s ', '{t}', {_FIXED(f'100 * avg({c})', 2)}) || rpad('± ' || {_FIXED(f'100 * stddev_pop({c})', 2)}, 15, ' ') AS line FROM m" for i, (c, t) in enumerate(_OVERALL.items()))
+    + f" UNION ALL SELECT {len(_OVERALL)}, printf('%-30s %-20s ', 'Number of Folds', count(*)::VARCHAR) || rpad('—', 15, ' ') FROM m)")
+def report_overall(spark, sf):
+    return summary.overall_table(fold_metrics(scored_pairs(spark, sf)), _OVERALL)
+
+
+@query(f"WITH {q.LABELS}, {q.CONFUSION.replace('0.7737', '0.5')}, w AS (SELECT *, tp + tn + fp + fn AS total FROM c) SELECT place::INT AS place, line FROM ("
+    + " UNION ALL ".join(f"SELECT {i} AS place, printf('%-25s %-10d %s', '{t}', {k}, {_FIXED(f'100e0 * {k} / total', 1)} || '%') AS line FROM w" for i, (k, t) in enumerate(_TITLES.items()))
+    + " UNION ALL SELECT 4, printf('%-25s %-10d %s', 'TOTAL', total, '100.0%') FROM w)")
+def report_outcomes(spark, sf):
+    return summary.outcome_table(metrics.counts(label_scores(spark, sf), F.col("score") > 0.5), _TITLES)
+
+
+_FOLD_VALUES = ["accuracy", "f1", "precision", "recall", "auc"]
+
+
+@query(_FOLDS + " SELECT 0 AS part, test_person AS name, concat_ws(' ', rpad(test_person, 12, ' '), " + ", ".join(_CELL(c, 10) for c in _FOLD_VALUES) + ", lpad(n_samples::VARCHAR, 5, ' ')) AS line FROM m"
+    + "".join(f" UNION ALL SELECT {p}, '{t}', concat_ws(' ', rpad('{t}', 12, ' '), " + ", ".join(_CELL(f"{f}({c})", 10) for c in _FOLD_VALUES) + ", '     ') FROM m" for p, t, f in ((1, "MEAN", "avg"), (2, "STD", "stddev_pop"))))
+def report_folds(spark, sf):
+    return summary.fold_table(fold_metrics(scored_pairs(spark, sf)), "test_person", _FOLD_VALUES, "n_samples")
+
+
+@query()
+def report_variants(spark, sf):
+    """A line for each variant of the features; SQL cannot fit them."""
+    sizes = {name: 3 * len(dims) for name, dims in train.VARIANTS.items()}
+    c = metrics.rates(metrics.counts(_variants(spark, sf), F.col("score") > 0.5, "variant"))
+    size = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("variant"))
+    return summary.variant_table(c.withColumn("inputs", size), "variant", "inputs", ["accuracy", "f1", "precision", "recall"])
+
+
+@query(_ATTRIBUTION + f", g AS (SELECT CASE WHEN dim < 36 THEN 'coords' WHEN dim < 42 THEN 'angles' ELSE 'velocities' END AS name, sum(value) AS t FROM a GROUP BY 1), sh AS (SELECT name, t / sum(t) OVER () AS share FROM g) SELECT joint::VARCHAR AS name, rpad(joint::VARCHAR, 20, ' ') || ' ' || lpad({_FIXED('v / max(v) OVER ()', 4)}, 12, ' ') AS line FROM j UNION ALL SELECT name, rpad(name, 20, ' ') || ' ' || lpad({_FIXED('100 * share', 1)} || '%', 12, ' ') FROM sh")
+def report_importance(spark, sf):
+    a = attributions(spark, sf)
+    return summary.importance_table(attribution.joint_importance(a), "joint", "importance").unionByName(summary.importance_table(attribution.group_shares(a), "feature_group", "share", True))
+
+
+# the box of the upper landmarks stands for a face; every fifth person shows none
+@query(f"""WITH {q.PF}, n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM pf), a AS (SELECT identity, video_id, frame_idx, n, CASE WHEN identity::INT % 5 = 4 THEN 0 ELSE round(abs(e[1] - e[4]) * abs(e[38] - e[2]), 9) END AS area FROM n WHERE n >= 10),
+    k AS (SELECT DISTINCT video_id, n, i, least(n - 1, floor(CASE WHEN i = 19 THEN n * 0.9e0 ELSE n * 0.1e0 + i * ((n * 0.9e0 - n * 0.1e0) / 19e0) END))::INT AS spot FROM a, range(20) AS t(i)),
+    b AS (SELECT a.video_id, max(area) AS area, arg_min(frame_idx, (-area, frame_idx)) AS f FROM a JOIN k ON k.video_id = a.video_id AND spot = frame_idx WHERE area > 0 GROUP BY 1)
+    SELECT a.video_id, coalesce(f, a.n // 2)::INT AS frame_idx, {q.r('b.area')} AS area FROM a LEFT JOIN b USING (video_id) WHERE a.frame_idx = 0""")
+def best_face_frame(spark, sf):
+    lm = F.col("lm")
+    area = F.round(F.abs(lm[0]["x"] - lm[1]["x"]) * F.abs(lm[12]["y"] - lm[0]["y"]), 9)
+    seen = F.when(F.col("identity").cast("int") % 5 == 4, 0.0).otherwise(area)
+    return sequence.best_frames(pose_frames(spark, sf), "video_id", seen).select("video_id", "frame_idx", r6("area").alias("area"))
+
+
+@query(f"""WITH {q.FEATURES}, c AS (SELECT count(*) AS rows_, count(DISTINCT video_id) AS videos, max(frame_idx) AS last, count(*) FILTER (feat IS NULL) AS nulls, count(*) FILTER (len(feat) <> 78) AS other_sizes, sum(len(list_filter(feat, lambda x: x IS NULL OR isnan(x)))) AS null_numbers FROM ff)
+    SELECT 'write' AS run, 0 AS epoch, unnest(['rows', 'videos', 'last', 'nulls', 'other_sizes', 'null_numbers', 'complete']) AS name, unnest([rows_, videos, last, nulls, other_sizes, null_numbers, (rows_ = 60 * videos)::INT])::DOUBLE AS value FROM c""")
+def write_checks(spark, sf):
+    """What is observed while the feature frames are written, as scalars of the run."""
+    frames = features.feature_frames(pose_frames(spark, sf))
+    seen = run_log.write_checked(frames, shared_path(spark, "feature-frames"), run_log.frame_checks("video_id", "feat", 60, 78))
+    log = shared_path(spark, "run-log")
+    run_log.append_scalars(spark, log, "write", 0, run_log.frame_summary(seen, 60))
+    return spark.read.schema(run_log.SCALARS).parquet(log)
+
+
+@query(f"""WITH {q.SERIES} SELECT user_id::VARCHAR AS run, frame_idx::INT AS epoch, unnest(['value', 'best']) AS name, unnest([value, max(value) OVER w]) AS value FROM s
+    WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def run_scalars(spark, sf):
+    so_far = Window.partitionBy("user_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    h = series(spark, sf).withColumn("best", F.max("value").over(so_far))
+    return run_log.scalars(h, "user_id", "frame_idx", {"value": "value", "best": "best"})
+
+
+@query(f"""WITH {q.PF}, g AS (SELECT video_id, frame_idx, {q.angles()} AS g FROM pf) SELECT video_id, frame_idx, {q.r('frame_idx / 30e0')} AS seconds, a AS angle, {q.r('g[a + 1]')} AS degrees FROM g, range(6) AS t(a)""")
+def angle_series(spark, sf):
+    """Angles over time, long form."""
+    g = pose_frames(spark, sf).select("video_id", "frame_idx", F.posexplode(geo.joint_angles(F.col("lm"))).alias("angle", "degrees"))
+    return g.select("video_id", "frame_idx", r6(F.col("frame_idx") / 30.0).alias("seconds"), F.col("angle").cast("long").alias("angle"), r6("degrees").alias("degrees"))
+
+
+@query(_FOLDS + f" SELECT test_person, rank() OVER (ORDER BY accuracy DESC, test_person)::INT AS place, accuracy, {q.r('accuracy - avg(accuracy) OVER ()')} AS over_mean, CASE WHEN accuracy >= 0.9 THEN 'high' WHEN accuracy >= 0.7 THEN 'middle' ELSE 'low' END AS band FROM m")
+def fold_bars(spark, sf):
+    """Accuracies by fold in order, with what they lie over the mean."""
+    m = fold_metrics(scored_pairs(spark, sf)).select("test_person", "accuracy")
+    return summary.bars(m, "test_person", "accuracy").withColumn("over_mean", r6("over_mean"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,21 @@ def video_files(spark: SparkSession, root: str, recursive: bool = True, content:
     return files if content else files.drop("content")
 
 
+def videos_by_identity(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """identity (the folder of the file), paths (sorted), videos: of the videos below all roots; a root that is missing is warned of."""
+    there = []
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            there.append(video_files(spark, root).select("path"))
+        else:
+            warnings.warn(f"no folder {root}", stacklevel=2)
+    found = reduce(DataFrame.unionByName, there) if there else spark.createDataFrame([], "path string")
+    found = found.distinct().withColumn("identity", F.element_at(F.split("path", "/"), -2))
+    # a person has a bounded number of videos
+    return found.groupBy("identity").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.count("*").alias("videos"))
+
+
 def decoded_frames(files: DataFrame, decoder: Callable, schema: str) -> DataFrame:
     """Rows that `decoder` makes of each (path, content); a file that fails gives one row with its error alone.
 
