@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.shared import written
+
+#: Ranges of values, and distinct scores (of a key) that one has on average: more ranges for more scores, up to MOST_RANGES.
+RANGES, RANGE_ROWS, MOST_RANGES = 64, 200_000, 2048
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -48,15 +51,18 @@ def eps_rates(c: DataFrame, eps: float = 1e-8) -> DataFrame:
     return c.withColumns(out)
 
 
-def running_totals(df: DataFrame, keys: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """score, pos, neg, tp, fp, next_pos, next_neg, n_pos, n_neg: one row a distinct score, totals from the largest down.
 
-    With keys, each key's curve is its own; its ranges are of the scores of all.
+    With keys, each key's curve is its own; its ranges are of the scores of all. Sums by score are written once: what made
+    the scores runs a single time, when this is called.
     """
     keys = keys or []
     g = df.groupBy(*keys, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    # the edges of the ranges are one row of fewer than `ranges` numbers; they read the exchange that g is made of
-    edges = g.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("_edges"))
+    g = written(g, "score-sums")
+    ranges = ranges or min(MOST_RANGES, max(RANGES, g.count() // RANGE_ROWS))
+    # the edges of the ranges are one row of fewer than `ranges` numbers
+    edges = g.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 16 * ranges).alias("_edges"))
     g = g.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("_edges", lambda e: F.col("score") < e))).drop("_edges")
     top = F.max_by(F.struct("pos", "neg"), "score").alias("top")
     sums = g.groupBy(*keys, "range").agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"), top)
