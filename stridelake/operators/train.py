@@ -31,7 +31,7 @@ def fit(rows: DataFrame, ridge: float = 0.01, rounds: int = 20):
 
 
 def score(model, rows: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    out = model.transform(rows.withColumn("features", array_to_vector("x")))
-    return out.select("key", "true_identity", "claimed_identity", "label", vector_to_array("probability")[1].alias("score"))
+    """The model's probabilities as a column expression of its coefficients."""
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    logit = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(float(model.intercept)), lambda t, v: t + v)
+    return rows.select("key", "true_identity", "claimed_identity", "label", (1 / (1 + F.exp(-logit))).alias("score"))

@@ -1,6 +1,8 @@
 """What is known of a run: scalars by epoch in long form, and checks that are taken while a table is written.
 
-Checks are aggregates observed in the write's own tasks, so no table is read again for them.
+Checks are aggregates observed in the write's own tasks, so no table is read again for them. In Spark 4.1 a session that has
+observed anything can't transform by a logistic regression that it has just fit (the model's summary holds the session, which
+is not serializable any more); train.score reads the coefficients instead.
 """
 
 from __future__ import annotations

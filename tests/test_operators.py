@@ -2,12 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stridelake.functions import geometry, names
 from stridelake.operators import augment, enroll, head, history, lookup, metrics, preserve, sequence, summary, train
-from stridelake.sources import files
+from stridelake.sources import files, run_log
 from stridelake.streaming import series as streams
 
 SF = "/root/testdata/sf0.001"
@@ -158,7 +159,17 @@ def test_training_learns(spark):
     rng = np.random.default_rng(3)
     rows = [(str(i), "p", "q", int(y), [float(y + rng.normal(0, 0.3)), float(rng.normal())]) for i, y in enumerate(rng.integers(0, 2, 80))]
     df = spark.createDataFrame(rows, "key string, true_identity string, claimed_identity string, label int, x array<double>")
-    assert metrics.roc_auc(train.score(train.fit(df), df)).first().auc > 0.9
+    model = train.fit(df)
+    assert metrics.roc_auc(train.score(model, df)).first().auc > 0.9
+    for r in df.join(train.score(model, df).select("key", "score"), "key").collect():
+        assert r.score == pytest.approx(model.predictProbability(Vectors.dense(r.x))[1])
+
+
+def test_a_fit_can_be_scored_after_a_checked_write(spark, tmp_path):
+    rows = [(str(i), "p", "q", i % 2, [float(i % 2), float(i)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "key string, true_identity string, claimed_identity string, label int, x array<double>")
+    assert run_log.write_checked(df, str(tmp_path / "t"), {"rows": F.count(F.lit(1))}) == {"rows": 20}
+    assert train.score(train.fit(df), df).where("score is not null").count() == 20
 
 
 def test_flip_twice_is_nothing(spark):
