@@ -619,10 +619,11 @@ def latest_checkpoint(spark, sf):
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) + 0e0 AS total FROM events GROUP BY user_id")
 def extraction_log(spark, sf):
     """Sums of each user's events by an extraction that was stopped after one batch and went on."""
-    users, path = table(spark, sf, "events").select("user_id").distinct(), shared_path(spark, "extraction")
-    work = lambda own: table(spark, sf, "events").join(own, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    extraction.extract(users, "user_id", work, path, most=1)
-    extraction.extract(users, "user_id", work, path, batch=500)
+    events, path = table(spark, sf, "events").select("user_id", "value"), shared_path(spark, "extraction")
+    users = events.select("user_id").distinct()
+    work = lambda own: own.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    extraction.extract(users, "user_id", work, path, most=1, rows=events)
+    extraction.extract(users, "user_id", work, path, batch=500, rows=events, at_once=8)
     return extraction.extracted(spark, path).select("user_id", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
 
 

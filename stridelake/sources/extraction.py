@@ -1,8 +1,8 @@
 """Extraction that goes on after it was stopped: batches of keys, each committed by one manifest.
 
-Below a path: data/_batch=<id> has a batch's rows, log/<id> the keys of a committed batch. A manifest is written beside the log
-and renamed into it when the batch's rows are there, so a batch counts either whole or not at all. Rows of a batch that was
-stopped before are never read, and its keys are done again. Nothing has to be cleaned up before a run goes on.
+Below a path: data/_batch=<id> has a batch's rows, log/<id> the keys of a committed batch. A run writes the manifests of its batches
+beside the log, and each is renamed into it when the batch's rows are there, so a batch counts either whole or not at all. Rows of
+a batch that was stopped before are never read, and its keys are done again. Nothing has to be cleaned up before a run goes on.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import new_rows
-from .shared import written
+from .shared import shared_path, written
 
 BATCH = 50
+#: Tasks that rows are dealt to batches by, at most.
+PARTS = 2000
 
 
 def _store(spark: SparkSession, path: str):
@@ -36,33 +40,54 @@ def committed(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("recursiveFileLookup", "true").parquet(log) if _exists(spark, log) else None
 
 
-def extract(found: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, batch: int = BATCH, most: int | None = None) -> int:
+def extract(found: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, batch: int = BATCH, most: int | None = None, rows: DataFrame | None = None, at_once: int = 1) -> int:
     """Does `work` for the rows of found (one a key) whose keys are not committed, about `batch` keys at once; the number of batches.
 
     `most` batches are done at most, for runs of bounded time. Null keys are left out. Each batch is one distributed write.
+    Where the work needs more than found has, `rows` has it, with any number of rows a key: they are dealt to the batches in one
+    pass, and `work` is given those of its batch. A work that joins a table by itself reads all of it in every batch.
+    `at_once` batches run side by side; when one fails, none is begun after it.
     """
     spark = found.sparkSession
     found = found.where(F.col(key).isNotNull())
     done = committed(spark, path)
-    rest = found if done is None else new_rows(found, done, key)
+    rest = written(found if done is None else new_rows(found, done, key), "to-extract")
     number = math.ceil(rest.count() / batch)
-    rest = written(rest.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(max(1, number)))), "to-extract")
-    made = 0
-    for nth in range(number):
-        own = rest.where(F.col("_batch") == nth).drop("_batch")
-        if made == most:
-            break
-        if own.isEmpty():
-            continue
-        name = f"b{uuid.uuid4().hex}"
-        work(own).write.parquet(f"{path}/data/_batch={name}")
-        own.select(key).withColumn("_batch", F.lit(name)).coalesce(1).write.parquet(f"{path}/pending/{name}")
-        store, log = _store(spark, f"{path}/log")
-        store.mkdirs(log)
-        if not store.rename(_store(spark, f"{path}/pending/{name}")[1], _store(spark, f"{path}/log/{name}")[1]):
-            raise OSError(f"the manifest of batch {name} could not be renamed")
-        made += 1
-    return made
+    nth = F.pmod(F.xxhash64(key), F.lit(max(1, number)))
+    places = sorted(r[0] for r in rest.select(nth).distinct().collect())[:most]
+    if not places:
+        return 0
+    run = f"b{uuid.uuid4().hex}"
+    rest = rest.where(nth <= places[-1]).withColumn("_batch", F.concat(F.lit(f"{run}-"), nth.cast("string")))
+    parts = min(len(places), PARTS)
+    keys = rest.select(key, "_batch")
+    # keys are even by batch; rows of a key can be many, so a large batch of them is split over tasks and files
+    own = rest.repartition(parts, "_batch") if rows is None else rows.join(keys, key).hint("rebalance", parts, F.col("_batch"))
+    own.write.partitionBy("_batch").parquet(dealt := shared_path(spark, "dealt"))
+    own = spark.read.schema(own.schema).parquet(dealt)
+    keys.withColumn("_of", F.col("_batch")).repartition(parts, "_of").write.partitionBy("_of").parquet(f"{path}/pending/{run}")
+    failed = []
+
+    def one(name: str) -> int:
+        if failed:
+            return 0
+        try:
+            work(own.where(F.col("_batch") == name).drop("_batch")).write.parquet(f"{path}/data/_batch={name}")
+            store, log = _store(spark, f"{path}/log")
+            store.mkdirs(log)
+            if not store.rename(_store(spark, f"{path}/pending/{run}/_of={name}")[1], _store(spark, f"{path}/log/{name}")[1]):
+                raise OSError(f"the manifest of batch {name} could not be renamed")
+        except BaseException:
+            failed.append(name)
+            raise
+        return 1
+
+    with ThreadPoolExecutor(at_once) as pool:
+        try:
+            return sum(f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), f"{run}-{n}") for n in places])
+        except BaseException:
+            failed.append(run)
+            raise
 
 
 def extracted(spark: SparkSession, path: str) -> DataFrame | None:
